@@ -27,6 +27,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from .common import with_package
+
 #: Chunks and pairs kept by a Python worker; a full store starts anew.
 MAX_CHUNKS, MAX_PAIRS = 500_000, 500_000
 #: Characters of text per trie.
@@ -232,7 +234,7 @@ def default_vocabulary() -> str:
 
 def encode_documents(spark: SparkSession, docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids ARRAY<INT>, decoded STRING) of every row, without a shuffle."""
-    spec = spark.sparkContext.broadcast(load_spec(vocabulary))
+    spec = with_package(spark).sparkContext.broadcast(load_spec(vocabulary))
     kind = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +249,7 @@ def encode_documents(spark: SparkSession, docs: DataFrame, vocabulary: str, id_c
 
 def digest_documents(spark: SparkSession, docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): as encode_documents, but only digests leave the worker."""
-    spec = spark.sparkContext.broadcast(load_spec(vocabulary))
+    spec = with_package(spark).sparkContext.broadcast(load_spec(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(DigestCodec, spec.value)

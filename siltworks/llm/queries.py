@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, contentsort, jaccard, langid, lengthpack, licenses, linededup, rules, tokenpack, urlgraph
 from .common import table
 
 
@@ -12,6 +12,56 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(spark, table(spark, sf_dir, "documents"), bpe.default_vocabulary())
 
 
-QUERIES = {"op1_bpe": op1_bpe}
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_report(spark, table(spark, sf_dir, "documents"))
 
-ORACLE_SQL: dict[str, str] = {}
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.quality_report(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(spark, table(spark, sf_dir, "documents")).drop("blocks")
+
+
+def op5_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_report(spark, table(spark, sf_dir, "documents"))
+
+
+def op6_url_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlgraph.judge(spark, table(spark, sf_dir, "pages"))
+
+
+def op7_token_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokenpack.pack(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, pad=50256)
+
+
+def op8_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lengthpack.pack(spark, docs, lengthpack.byte_tokens(docs["text"]))
+
+
+def op9_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contentsort.dedup_report(spark, table(spark, sf_dir, "documents"))
+
+
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(spark, table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op2_langid": op2_langid,
+    "op3_quality_rules": op3_quality_rules,
+    "op4_licenses": op4_licenses,
+    "op5_line_runs": op5_line_runs,
+    "op6_url_graph": op6_url_graph,
+    "op7_token_pack": op7_token_pack,
+    "op8_length_buckets": op8_length_buckets,
+    "op9_content_sort": op9_content_sort,
+    "op10_jaccard": op10_jaccard,
+}
+
+ORACLE_SQL: dict[str, str] = {"op5_line_runs": linededup.ORACLE, "op9_content_sort": contentsort.ORACLE}
