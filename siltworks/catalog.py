@@ -1,4 +1,491 @@
 """Named queries of the corpus operators and the SQL that states their results."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import code as C
+from .functions import text as T
+from .operators import corpus, evaluate, monitor
+from .plans import code_corpus
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLE_SQL[f.__name__] = oracle.replace("count_if(", "count(*) FILTER (WHERE ")  # DuckDB counts conditions in 128 bits
+        return f
+
+    return add
+
+
+def portable(name: str, sql: str, *tables: str) -> None:
+    """A query that both engines read alike: table names stand in braces."""
+    QUERIES[name] = lambda spark, sf: spark.sql(sql, **{t: table(spark, sf, t) for t in tables})
+    ORACLE_SQL[name] = sql.format(**{t: t for t in tables})
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def code(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.sql(code_corpus.SQL, part=table(spark, sf, "part"))
+
+
+def files(spark: SparkSession, sf: str) -> DataFrame:
+    return T.file_metrics(code(spark, sf))
+
+
+# ---- DuckDB macros as text ----
+CODE = code_corpus.SQL.format(part="part")
+WS = T.WS
+SIMPLE = "regexp_replace(regexp_replace(text, '//[^\\n]*', '', 'g'), '(?s)/\\*.*?\\*/', '', 'g')"
+FUNC = T.FUNCTION
+CNT = lambda t, p: f"len(regexp_extract_all({t}, '{p.replace(chr(39), chr(39) * 2)}'))"
+STRIP = lambda t: f"regexp_replace({t}, '^{WS}+|{WS}+$', '', 'g')"
+SAFE = """array_to_string(list_transform(regexp_extract_all(text, '(?s)"(?:[^"\\\\]|\\\\+[^\\\\])*(?:"|\\\\*\\z)|''(?:[^''\\\\]|\\\\+[^\\\\])*(?:''|\\\\*\\z)|/\\*(?:.*?\\*/|.*\\z)|//[^\\n]*|\\\\+["'']?|[^"''/\\\\]+|.'), lambda x: CASE WHEN x LIKE '/*%' THEN ' ' WHEN x LIKE '//%' THEN '' ELSE x END), '')"""
+NORM = lambda t: STRIP(f"regexp_replace(regexp_replace(regexp_replace({t}, '{WS}+', ' ', 'g'), ' *([{{}}();,]) *', '\\1', 'g'), ' *([=+\\-*/%<>!&|^]) *', ' \\1 ', 'g')")
+METRICS = f"""f1 AS (SELECT *, {SIMPLE} AS c, string_split(text, chr(10)) AS ls, list_transform(string_split(text, chr(10)), lambda x: {STRIP('x')}) AS bs FROM src),
+files AS (SELECT * EXCLUDE (c, ls, bs, text), strlen(text) AS size_bytes, len(ls) AS lines_total, len(list_filter(bs, lambda x: x = '')) AS lines_blank,
+ len(list_filter(bs, lambda x: x <> '' AND (x LIKE '//%' OR x LIKE '/*%' OR x LIKE '%*/'))) AS lines_comments, len(list_filter(bs, lambda x: x <> '' AND NOT (x LIKE '//%' OR x LIKE '/*%' OR x LIKE '%*/'))) AS lines_code,
+ list_max(list_transform(ls, lambda x: length(x))) AS max_line_length, {CNT('c', FUNC)} AS functions, length(regexp_replace(text, '[\\x00-\\x7F]', '', 'g')) AS non_ascii_chars, contains(text, '#include') AS has_includes,
+ {CNT('c', T.BRANCHES)} + {CNT('c', T.JUMPS)} + {CNT('c', T.TERNARY)} AS complexity FROM f1)"""
+R6 = lambda a, b, k="": f"round({k}{a} / greatest({b}, 1), 6)"
+REPORT = f"""SELECT repo, count(*) AS total_files, sum(size_bytes)::BIGINT AS total_bytes, sum(lines_total)::BIGINT AS total_lines, sum(lines_code)::BIGINT AS code_lines, sum(lines_comments)::BIGINT AS comment_lines, sum(functions)::BIGINT AS functions, sum(non_ascii_chars)::BIGINT AS non_ascii, sum(complexity)::BIGINT AS complexity,
+ count_if(size_bytes < 1024) AS under_1kb, count_if(size_bytes >= 1024 AND size_bytes < 10240) AS kb_1_10, count_if(size_bytes >= 10240 AND size_bytes < 102400) AS kb_10_100, count_if(size_bytes >= 102400) AS over_100kb, count_if(NOT has_includes AND path LIKE '%.c') AS without_includes, count_if(max_line_length > 120) AS long_line_files FROM files GROUP BY repo"""
+FULL = f"SELECT *, {R6('comment_lines', 'total_lines')} AS comment_ratio, {R6('total_bytes', 'total_files')} AS avg_file_size, {R6('non_ascii', 'total_bytes')} AS non_ascii_ratio, {R6('functions', 'code_lines', '1000.0*')} AS function_density, {R6('complexity', 'code_lines', '100.0*')} AS complexity_score FROM ({REPORT})"
+
+
+# ---- file metrics and corpus ----
+@query(f"WITH src AS ({CODE}), {METRICS} {FULL}")
+def repo_quality_report(spark, sf):
+    return corpus.repository_report(files(spark, sf))
+
+
+@query(f"WITH src AS ({CODE}), {METRICS} SELECT * FROM files")
+def file_metrics(spark, sf):
+    return files(spark, sf).drop("text")
+
+
+@query(f"WITH src AS (SELECT doc_id, text FROM documents), {METRICS} SELECT * FROM files")
+def file_metrics_documents(spark, sf):
+    return T.file_metrics(table(spark, sf, "documents").select("doc_id", "text")).drop("text")
+
+
+@query("SELECT source, CASE WHEN strlen(text) < 1024 THEN '<1KB' WHEN strlen(text) < 10240 THEN '1-10KB' WHEN strlen(text) < 102400 THEN '10-100KB' ELSE '>100KB' END AS size_class, count(*) AS files FROM documents GROUP BY 1, 2")
+def size_histogram(spark, sf):
+    n = F.octet_length("text")
+    label = F.lit(">100KB")
+    for name, limit in reversed(corpus.SIZE_LIMITS):
+        label = F.when(n < limit, name).otherwise(label)
+    return table(spark, sf, "documents").groupBy("source", label.alias("size_class")).agg(F.count(F.lit(1)).alias("files"))
+
+
+@query(f"SELECT lower(regexp_extract(path, '[.][^.]*$')) AS ext, count(*) AS files FROM ({CODE}) GROUP BY 1")
+def ext_distribution(spark, sf):
+    return code(spark, sf).groupBy(F.lower(F.regexp_extract("path", "[.][^.]*$", 0)).alias("ext")).agg(F.count(F.lit(1)).alias("files"))
+
+
+@query(f"WITH g AS (SELECT source, {STRIP(f'''regexp_replace(text, '{WS}+', ' ', 'g')''')} AS t, count(*) AS c FROM documents GROUP BY ALL) SELECT source, sum(c)::BIGINT AS files, count_if(c > 1) AS groups, round(count_if(c > 1) / greatest(sum(c), 1), 6) AS duplicate_ratio FROM g GROUP BY source")
+def duplicate_ratio(spark, sf):
+    return corpus.duplicate_groups(table(spark, sf, "documents"), T.folded(F.col("text")), ["source"]).withColumn("duplicate_ratio", F.round("duplicate_ratio", 6))
+
+
+@query(f"""WITH src AS ({CODE}), {METRICS}, r AS ({FULL}), d AS (SELECT repo, count_if(c > 1) / sum(c) AS duplicate_ratio FROM (SELECT repo, {STRIP(f"regexp_replace(text, '{WS}+', ' ', 'g')")} AS t, count(*) AS c FROM src GROUP BY ALL) GROUP BY repo)
+SELECT repo, array_to_string(list_filter([CASE WHEN comment_ratio < 0.1 THEN 'low_comments' END, CASE WHEN non_ascii_ratio > 0.01 THEN 'non_ascii' END, CASE WHEN duplicate_ratio > 0.05 THEN 'duplicates' END, CASE WHEN avg_file_size > 50000 THEN 'large_files' END, CASE WHEN without_includes > 0 THEN 'no_includes' END, CASE WHEN long_line_files > 0.1 * total_files THEN 'long_lines' END], lambda x: x IS NOT NULL), ',') AS flags FROM r JOIN d USING (repo)""")
+def quality_flags(spark, sf):
+    dup = corpus.duplicate_groups(code(spark, sf), T.folded(F.col("text")), ["repo"]).select("repo", "duplicate_ratio")
+    return corpus.repository_report(files(spark, sf)).join(dup, "repo").select("repo", corpus.quality_flags().alias("flags"))
+
+
+# ---- cleaning ----
+@query(f"SELECT doc_id, md5({SAFE}) AS clean FROM ({CODE})")
+def strip_comments(spark, sf):
+    return code(spark, sf).select("doc_id", F.md5(T.remove_comments_safe(F.col("text"))).alias("clean"))
+
+
+@query(f"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '(?s)/\\*.*?\\*/', '', 'g'), '//[^\\n]*', '', 'g')) AS clean FROM ({CODE})")
+def strip_comments_simple(spark, sf):
+    return code(spark, sf).select("doc_id", F.md5(T.remove_comments(F.col("text"))).alias("clean"))
+
+
+PROCESSED = f"p AS (SELECT doc_id, repo, path, text AS o, {NORM(SAFE)} AS p FROM ({CODE}))"
+
+
+def processed(spark, sf):
+    return code(spark, sf).select("doc_id", "repo", "path", F.col("text").alias("o"), T.preprocess(F.col("text")).alias("p"))
+
+
+@query(f"WITH {PROCESSED} SELECT doc_id, p AS text FROM p")
+def preprocess_code(spark, sf):
+    return processed(spark, sf).select("doc_id", F.col("p").alias("text"))
+
+
+@query(f"WITH {PROCESSED} SELECT repo, path, coalesce(sum(strlen(p) + 1) OVER (ORDER BY repo, path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS line_offset FROM p WHERE p <> ''")
+def corpus_offsets(spark, sf):
+    docs = processed(spark, sf).where("p <> ''").select("repo", "path", F.col("p").alias("text"))
+    return corpus.offsets(docs, ["repo", "path"]).select("repo", "path", "line_offset")
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') IS NOT NULL AS structured, coalesce(json_extract_string(props, '$.k'), props) AS code FROM events")
+def json_or_text(spark, sf):
+    from .sources import json_or_text
+
+    return json_or_text(table(spark, sf, "events"), "props", "k string", "k").select("event_id", "structured", "code")
+
+
+# ---- semantic checks ----
+LOST = lambda p, g=0: f"len(list_filter(list_distinct(regexp_extract_all(o, '{p}', {g})), lambda x: NOT list_contains(regexp_extract_all(p, '{p}', {g}), x)))"
+CTRL = " + ".join(f"({CNT('o', rf'\b{w}\b')} <> {CNT('p', rf'\b{w}\b')})::INT" for w in C.CONTROL_WORDS)
+LITERAL = lambda t, op: f"((length({t}) - length(replace({t}, '{op}', ''))) // {len(op)})"
+OPS = " + ".join(f"(abs({LITERAL('o', op)} - {LITERAL('p', op)}) > 1)::INT" for op in C.OPERATORS)
+PAIRS = lambda t: f"list_transform(list_zip(regexp_extract_all({t}, '{C.SIGNATURE}', 1), regexp_extract_all({t}, '{C.SIGNATURE}', 2)), lambda x: concat(x[1], '|', x[2]))"
+ISSUES = f"""i AS (SELECT doc_id, repo, len(list_filter(list_distinct({PAIRS('o')}), lambda x: NOT list_contains({PAIRS('p')}, x))) AS signatures, {LOST(C.DECLARATION, 1)} AS declarations, {CTRL} AS control,
+ (len(regexp_extract_all(o, '{C.STRING_RE2}')) <> len(regexp_extract_all(p, '{C.STRING_RE2}')))::INT + {LOST(C.STRING_RE2)} AS strings, {LOST(C.MACRO)} AS macros, {OPS} AS operators FROM p)"""
+
+
+@query(f"WITH {PROCESSED}, {ISSUES} SELECT doc_id, (signatures + declarations + control + strings + macros + operators)::BIGINT AS issues, (signatures + control + macros)::BIGINT AS critical FROM i")
+def semantic_issue_counts(spark, sf):
+    s = processed(spark, sf).select("doc_id", C.semantic_issues(F.col("o"), F.col("p")).alias("s"))
+    return s.select("doc_id", F.size("s").cast("long").alias("issues"), F.size(F.filter("s", lambda x: x["severity"] == "critical")).cast("long").alias("critical"))
+
+
+@query(f"WITH {PROCESSED}, {ISSUES} SELECT check_name, severity, sum(n)::BIGINT AS issues, count_if(n > 0) AS documents FROM (SELECT unnest(['signature', 'declaration', 'control', 'string', 'macro', 'operator']) AS check_name, unnest(['critical', 'warning', 'critical', 'warning', 'critical', 'warning']) AS severity, unnest([signatures, declarations, control, strings, macros, operators]) AS n FROM i) GROUP BY 1, 2 HAVING sum(n) > 0")
+def issue_report(spark, sf):
+    s = processed(spark, sf).select("doc_id", F.explode(C.semantic_issues(F.col("o"), F.col("p"))).alias("s"))
+    return s.groupBy(F.col("s.check").alias("check_name"), F.col("s.severity").alias("severity")).agg(F.count(F.lit(1)).alias("issues"), F.count_distinct("doc_id").alias("documents"))
+
+
+KW = "[" + ", ".join(f"'{k}'" for k in C.KEYWORDS) + "]"
+
+
+@query(f"WITH {PROCESSED} SELECT doc_id, array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(o, '{C.IDENTIFIER}')), lambda x: NOT list_contains({KW}, x) AND NOT list_contains(regexp_extract_all(p, '{C.IDENTIFIER}'), x) AND length(x) > 2 AND x NOT LIKE '\\_%' ESCAPE '\\')), ',') AS lost FROM p")
+def lost_identifiers(spark, sf):
+    return processed(spark, sf).select("doc_id", F.array_join(C.lost_identifiers(F.col("o"), F.col("p")), ",").alias("lost"))
+
+
+@query(f"SELECT repo, sum({LITERAL('text', '{')} - {LITERAL('text', '}')})::BIGINT AS braces, sum({LITERAL('text', '(')} - {LITERAL('text', ')')})::BIGINT AS parens, sum({LITERAL('text', '[')} - {LITERAL('text', ']')})::BIGINT AS brackets FROM ({CODE}) GROUP BY repo")
+def brace_balance(spark, sf):
+    diff = lambda a, b: F.sum(C.literal_count(F.col("text"), a) - C.literal_count(F.col("text"), b))
+    return code(spark, sf).groupBy("repo").agg(diff("{", "}").alias("braces"), diff("(", ")").alias("parens"), diff("[", "]").alias("brackets"))
+
+
+# ---- tokens ----
+DUCK_CHARS = lambda t: f"list_filter(string_split({t}, ''), lambda x: x <> '')"
+DUCK_IDS = lambda t: f"list_transform({DUCK_CHARS(t)}, lambda x: CASE WHEN unicode(x) < 128 THEN unicode(x) + 5 ELSE 0 END)"
+
+
+def ids_of(text):
+    return C.char_ids(C.char_tokens(text))
+
+
+@query(f"SELECT doc_id, len(ids) AS n, list_sum(ids)::BIGINT AS id_sum, md5(array_to_string(ids, ',')) AS ids_md5 FROM (SELECT doc_id, {DUCK_IDS('text')} AS ids FROM documents)")
+def char_ids(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", ids_of(F.col("text")).alias("ids"))
+    return d.select("doc_id", F.size("ids").cast("long").alias("n"), F.aggregate("ids", F.lit(0).cast("long"), lambda s, x: s + x).alias("id_sum"), F.md5(F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").cast("binary")).alias("ids_md5"))
+
+
+KEYCHAR_RE2 = "(?s)(?:" + "|".join(sorted(C.KEYWORDS, key=lambda w: (-len(w), w))) + r")\b|."
+
+
+@query(f"SELECT doc_id, len(t) AS n, md5(array_to_string(t, chr(1))) AS tokens_md5 FROM (SELECT doc_id, regexp_extract_all(text, '{KEYCHAR_RE2}') AS t FROM ({CODE}))")
+def keychar_tokens(spark, sf):
+    d = code(spark, sf).select("doc_id", C.keychar_tokens(F.col("text")).alias("t"))
+    return d.select("doc_id", F.size("t").cast("long").alias("n"), F.md5(F.array_join("t", "\x01").cast("binary")).alias("tokens_md5"))
+
+
+@query("SELECT c_custkey, unnest(string_split(c_name, '')) AS token, generate_subscripts(string_split(c_name, ''), 1) - 1 AS s, generate_subscripts(string_split(c_name, ''), 1) AS e FROM customer")
+def token_spans(spark, sf):
+    return table(spark, sf, "customer").select("c_custkey", F.explode(C.spans(C.char_tokens(F.col("c_name")))).alias("x")).select("c_custkey", "x.token", F.col("x.start").cast("long").alias("s"), F.col("x.end").cast("long").alias("e"))
+
+
+@query(f"SELECT w AS token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[a-zA-Z_][a-zA-Z0-9_]*')) AS w FROM ({CODE})) GROUP BY 1")
+def vocab_freq(spark, sf):
+    return code(spark, sf).select(F.explode(F.regexp_extract_all("text", F.lit("[a-zA-Z_][a-zA-Z0-9_]*"), F.lit(0))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT lang, round(avg(u / n), 9) AS unk_ratio, count_if(u / n > 0.5) AS mostly_unknown FROM (SELECT lang, length(regexp_replace(text, '[\\x00-\\x7F]', '', 'g')) AS u, greatest(length(text), 1) AS n FROM documents) GROUP BY lang")
+def unk_ratio(spark, sf):
+    u = F.length(F.regexp_replace("text", r"[\x00-\x7F]", "")) / F.greatest(F.length("text"), F.lit(1))
+    return table(spark, sf, "documents").groupBy("lang").agg(F.round(F.avg(u), 9).alias("unk_ratio"), F.count_if(u > 0.5).alias("mostly_unknown"))
+
+
+@query(f"SELECT doc_id, list_sum(list_slice(ids, 1, 128))::BIGINT AS id_sum, least(len(ids), 128) AS real, 128 AS width FROM (SELECT doc_id, {DUCK_IDS('text')} AS ids FROM documents)")
+def encode_pad(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", ids_of(F.substring("text", 1, 129)).alias("ids"))
+    ids, mask = C.encoded(F.col("ids"), 128)
+    add = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x)
+    d = d.select("doc_id", ids.alias("ids"), mask.alias("mask"))
+    return d.select("doc_id", add("ids").alias("id_sum"), add("mask").alias("real"), F.size("ids").alias("width"))
+
+
+BATCH_D = f"d AS (SELECT doc_id // 8 AS batch_id, {DUCK_IDS('substr(text, 1, 200)')} AS ids, length(substr(text, 1, 200)) - length(replace(substr(text, 1, 200), chr(65533), '')) AS err FROM documents)"
+BATCH = f"""{BATCH_D}, v AS (SELECT batch_id, count(DISTINCT i) AS ids FROM (SELECT batch_id, unnest(ids) AS i FROM d) GROUP BY 1),
+s AS (SELECT batch_id, count(*) AS batch_size, avg(len(list_filter(ids, lambda x: x <> 0))) AS avg_sequence_length, sum(err)::BIGINT AS encoding_errors, max(list_max(ids)) AS top, count(DISTINCT ids) AS k FROM d GROUP BY 1),
+b AS (SELECT batch_id, batch_size, avg_sequence_length, encoding_errors, coalesce(v.ids, 0) / (coalesce(top, 0) + 1) AS vocab_coverage, CASE WHEN batch_size > 1 THEN 1 - k / batch_size ELSE 0.0 END AS duplicate_ratio FROM s LEFT JOIN v USING (batch_id))"""
+
+
+def batches(spark, sf):
+    t = F.substring("text", 1, 200)
+    d = table(spark, sf, "documents").select(F.floor(F.col("doc_id") / 8).cast("long").alias("batch_id"), ids_of(t).alias("ids"), C.literal_count(t, "�").alias("err"))
+    return monitor.batch_statistics(d, errors="err")
+
+
+@query(f"WITH {BATCH} SELECT batch_id, batch_size, round(avg_sequence_length, 6) AS avg_sequence_length, encoding_errors, round(vocab_coverage, 9) AS vocab_coverage, round(duplicate_ratio, 9) AS duplicate_ratio FROM b")
+def batch_quality(spark, sf):
+    return batches(spark, sf).select("batch_id", "batch_size", F.round("avg_sequence_length", 6).alias("avg_sequence_length"), "encoding_errors", F.round("vocab_coverage", 9).alias("vocab_coverage"), F.round("duplicate_ratio", 9).alias("duplicate_ratio"))
+
+
+@query(f"WITH {BATCH} SELECT batch_id, unnest(list_filter([CASE WHEN avg_sequence_length < 10 THEN 'low_length' END, CASE WHEN vocab_coverage < 0.3 THEN 'low_coverage' END, CASE WHEN duplicate_ratio > 0.1 THEN 'duplicates' END, CASE WHEN encoding_errors > 5 THEN 'encoding_errors' END], lambda x: x IS NOT NULL)) AS alert FROM b")
+def quality_alerts(spark, sf):
+    b = batches(spark, sf).withColumns({"semantic_issues": F.lit(0), "critical_semantic_issues": F.lit(0), "error_count": F.lit(0)})
+    return b.select("batch_id", F.explode(monitor.alerts({"min_vocab_coverage": 0.3, "max_duplicate_ratio": 0.1})).alias("alert"))
+
+
+@query("SELECT event_type, event_id, CASE WHEN n < 11 THEN 'insufficient_data' WHEN abs(a - b) < 0.01 THEN 'stable' WHEN a > b THEN 'improving' ELSE 'declining' END AS trend, round(w, 6) AS window_avg FROM (SELECT event_type, event_id, row_number() OVER o AS n, avg(value) OVER (o ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS a, avg(value) OVER (o ROWS BETWEEN 19 PRECEDING AND 10 PRECEDING) AS b, avg(value) OVER (o ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS w FROM events WINDOW o AS (PARTITION BY event_type, user_id ORDER BY ts, event_id))")
+def quality_trends(spark, sf):
+    order = ["ts", "event_id"]
+    w = Window.partitionBy("event_type", "user_id").orderBy(*order).rowsBetween(-99, 0)
+    return table(spark, sf, "events").select("event_type", "event_id", monitor.trend("value", order, ["event_type", "user_id"]).alias("trend"), F.round(F.avg("value").over(w), 6).alias("window_avg"))
+
+
+@query("WITH b AS (SELECT o_orderkey // 32 AS batch, o_orderpriority AS epoch, count(*) AS n, avg(o_totalprice) AS v FROM orders GROUP BY 1, 2) SELECT epoch, count(*) AS batches, sum(n)::BIGINT AS seen, round(avg(v), 4) AS mean_of_batches FROM b GROUP BY epoch")
+def epoch_summary(spark, sf):
+    b = table(spark, sf, "orders").groupBy(F.floor(F.col("o_orderkey") / 32).alias("batch"), F.col("o_orderpriority").alias("epoch")).agg(F.count(F.lit(1)).alias("n"), F.avg("o_totalprice").alias("v"))
+    return b.groupBy("epoch").agg(F.count(F.lit(1)).alias("batches"), F.sum("n").alias("seen"), F.round(F.avg("v"), 4).alias("mean_of_batches"))
+
+
+@query("WITH b AS (SELECT o_orderkey // 32 AS batch, o_orderpriority AS epoch, avg(o_totalprice) AS v FROM orders GROUP BY 1, 2), e AS (SELECT epoch, avg(v) AS v, count(*) AS n FROM b GROUP BY 1) SELECT count(*) AS epochs, sum(n)::BIGINT AS batches, round(avg(v), 4) AS mean_of_epochs FROM e")
+def training_summary(spark, sf):
+    b = table(spark, sf, "orders").groupBy(F.floor(F.col("o_orderkey") / 32).alias("batch"), F.col("o_orderpriority").alias("epoch")).agg(F.avg("o_totalprice").alias("v"))
+    e = b.groupBy("epoch").agg(F.avg("v").alias("v"), F.count(F.lit(1)).alias("n"))
+    return e.agg(F.count(F.lit(1)).alias("epochs"), F.sum("n").alias("batches"), F.round(F.avg("v"), 4).alias("mean_of_epochs"))
+
+
+portable("error_summary", "SELECT event_type, user_id, count(*) AS n, max(event_id) AS last_id FROM {events} WHERE value < 20 GROUP BY GROUPING SETS ((event_type), (user_id), (event_type, user_id), ())", "events")
+portable("last_errors", "SELECT event_type, event_id FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS k FROM {events}) WHERE k <= 5", "events")
+portable("batch_assignment", "SELECT o_orderstatus, (k - 1) / 8 - ((k - 1) % 8) / 8 AS batch, count(*) AS n FROM (SELECT o_orderstatus, CAST(row_number() OVER (PARTITION BY o_orderstatus, o_orderpriority ORDER BY o_orderkey) AS DOUBLE) AS k FROM {orders}) GROUP BY 1, 2", "orders")
+portable("sample_rows", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY md5(concat('7:', CAST(doc_id AS STRING))), doc_id) AS k FROM {documents}) WHERE k <= 5", "documents")
+portable("running_mean", "SELECT doc_id, round(avg(CAST(quality AS DOUBLE)) OVER (PARTITION BY toxic ORDER BY doc_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 9) AS mean10 FROM {labels}", "labels")
+portable("bom_topk", "SELECT n_name AS language, s_name AS name, s_acctbal AS stars FROM (SELECT n_name, s_name, s_acctbal, row_number() OVER (PARTITION BY n_name ORDER BY s_acctbal DESC, s_name) AS k FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey) WHERE k <= 3", "supplier", "nation")
+portable("bom_enrich", "SELECT s.s_suppkey, coalesce(a.c_custkey, b.c_custkey) AS matched FROM {supplier} s LEFT JOIN (SELECT c_name, min(c_custkey) AS c_custkey FROM {customer} GROUP BY c_name) a ON replace(s.s_name, 'Supplier', 'Customer') = a.c_name LEFT JOIN (SELECT c_nationkey, min(c_custkey) AS c_custkey FROM {customer} GROUP BY c_nationkey) b ON a.c_custkey IS NULL AND s.s_nationkey = b.c_nationkey", "supplier", "customer")
+portable("bom_required_fields", "SELECT CASE WHEN text IS NOT NULL AND lang IS NOT NULL AND source IS NOT NULL THEN 'ok' ELSE 'rejected' END AS state, count(*) AS n FROM {documents} GROUP BY 1", "documents")
+portable("anti_join", "SELECT d.doc_id FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id WHERE l.doc_id IS NULL", "documents", "labels")
+portable("top_labels", "SELECT event_type, c FROM (SELECT event_type, count(*) AS c, row_number() OVER (ORDER BY count(*) DESC, event_type) AS k FROM {events} GROUP BY event_type) WHERE k <= 5", "events")
+
+
+# ---- evaluation ----
+PRED = "m AS (SELECT l.doc_id, l.quality, l.toxic, least(length(d.text), 4000) / 4000.0 AS score, CASE WHEN length(d.text) % 7 = 0 THEN 1 - l.quality ELSE l.quality END AS pred FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"
+
+
+def predictions(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.length("text").alias("n"))
+    return table(spark, sf, "labels").join(d, "doc_id").select("doc_id", "quality", "toxic", (F.least("n", F.lit(4000)) / F.lit(4000.0)).alias("score"), F.when(F.col("n") % 7 == 0, 1 - F.col("quality")).otherwise(F.col("quality")).alias("pred"))
+
+
+@query(f"WITH {PRED}, n AS (SELECT count_if(score > 0.5 AND quality = 1) AS tp, count_if(score > 0.5 AND quality <> 1) AS fp, count_if(score <= 0.5 AND quality = 1) AS fn FROM m), r AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS p, coalesce(tp / nullif(tp + fn, 0), 0) AS r FROM n) SELECT tp, fp, fn, round(p, 9) AS precision, round(r, 9) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 9) AS f1 FROM r")
+def binary_metrics(spark, sf):
+    return evaluate.binary_metrics(predictions(spark, sf), "quality", "score").select("tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query(f"WITH {PRED}, r AS (SELECT quality, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS k FROM m) SELECT round((sum(k) FILTER (WHERE quality = 1) - count_if(quality = 1) * (count_if(quality = 1) + 1) / 2.0) / (count_if(quality = 1) * count_if(quality <> 1)), 9) AS auc FROM r")
+def roc_auc(spark, sf):
+    return evaluate.roc_auc(predictions(spark, sf), "quality", "score").select(F.round("auc", 9).alias("auc"))
+
+
+@query(f"WITH {PRED}, k AS (SELECT unnest([0, 1]) AS c), s AS (SELECT c, count_if(quality = c AND pred = c) AS tp, count_if(quality = c) AS sup, count_if(pred = c) AS ch FROM m, k GROUP BY c), q AS (SELECT *, coalesce(tp / nullif(ch, 0), 0) AS p, coalesce(tp / nullif(sup, 0), 0) AS r FROM s) SELECT round(sum(p * sup) / sum(sup), 9) AS precision, round(sum(r * sup) / sum(sup), 9) AS recall, round(sum(coalesce(2 * p * r / nullif(p + r, 0), 0) * sup) / sum(sup), 9) AS f1, round(sum(tp) / sum(sup), 9) AS accuracy FROM q")
+def weighted_prf(spark, sf):
+    return evaluate.weighted_prf(predictions(spark, sf), "quality", "pred").select(*[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1", "accuracy")])
+
+
+@query(f"WITH {PRED} SELECT count_if(pred = quality) AS right_n, count(*) AS total, round(count_if(pred = quality) / count(*), 9) AS accuracy FROM m WHERE doc_id % 5 <> 0")
+def token_accuracy(spark, sf):
+    m = predictions(spark, sf).withColumn("label", F.when(F.col("doc_id") % 5 == 0, evaluate.IGNORE).otherwise(F.col("quality"))).where(F.col("label") != evaluate.IGNORE)
+    return m.agg(F.count_if(F.col("pred") == F.col("label")).alias("right_n"), F.count(F.lit(1)).alias("total")).withColumn("accuracy", F.round(F.col("right_n") / F.greatest(F.col("total"), F.lit(1)), 9))
+
+
+@query("WITH b AS (SELECT user_id, avg(value / 100) AS loss FROM events WHERE value IS NOT NULL GROUP BY user_id) SELECT round(avg(loss), 9) AS average_loss, round(exp(avg(loss)), 9) AS perplexity, count(*) AS batches FROM b")
+def perplexity(spark, sf):
+    b = table(spark, sf, "events").where("value IS NOT NULL").groupBy("user_id").agg(F.avg(F.col("value") / 100).alias("loss"))
+    return b.agg(F.round(F.avg("loss"), 9).alias("average_loss"), F.round(F.exp(F.avg("loss")), 9).alias("perplexity"), F.count(F.lit(1)).alias("batches"))
+
+
+@query("WITH c AS (SELECT label, vec_id, embedding::DOUBLE[] AS e, lag(embedding::DOUBLE[]) OVER (PARTITION BY label ORDER BY vec_id) AS f FROM embeddings) SELECT label, count(*) AS pairs, round(avg(list_cosine_similarity(e, f)), 6) AS cosine FROM c WHERE f IS NOT NULL GROUP BY label")
+def cosine_by_label(spark, sf):
+    e = table(spark, sf, "embeddings").withColumn("f", F.lag("embedding").over(Window.partitionBy("label").orderBy("vec_id"))).where("f IS NOT NULL")
+    return e.groupBy("label").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg(evaluate.cosine(F.col("embedding"), F.col("f"))), 6).alias("cosine"))
+
+
+CONV = "c AS (SELECT conv_id * 1000 + turn AS id, regexp_extract_all(substr(text, 1, 2000), '[^ \\n]+') AS p, regexp_extract_all(substr(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), 1, 2000), '[^ \\n]+') AS r, text AS a, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations)"
+
+
+def turns(spark, sf):
+    c = table(spark, sf, "conversations").withColumn("b", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("b IS NOT NULL")
+    w = lambda x: F.regexp_extract_all(F.substring(x, 1, 2000), F.lit(r"[^ \n]+"), F.lit(0))
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("a"), "b", w("text").alias("p"), w("b").alias("r"))
+
+
+GRAMS = lambda t: " UNION ALL ".join(f"SELECT id, {n} AS n, unnest(list_transform(range(1, len({t}) - {n - 2}), lambda k: array_to_string(list_slice({t}, k, k + {n - 1}), ' '))) AS g FROM c WHERE b IS NOT NULL" for n in range(1, 5))
+
+
+@query(f"WITH {CONV}, gp AS (SELECT id, n, g, count(*) AS k FROM ({GRAMS('p')}) GROUP BY ALL), gr AS (SELECT id, n, g, count(*) AS k FROM ({GRAMS('r')}) GROUP BY ALL), h AS (SELECT gp.id, gp.n, sum(least(gp.k, coalesce(gr.k, 0))) / sum(gp.k) AS pr FROM gp LEFT JOIN gr USING (id, n, g) GROUP BY 1, 2), s AS (SELECT id, exp(avg(ln(greatest(pr, 1e-10)))) AS bleu FROM h GROUP BY id) SELECT c.id, round(coalesce(bleu, 0), 9) AS bleu FROM c LEFT JOIN s USING (id) WHERE b IS NOT NULL")
+def bleu(spark, sf):
+    return evaluate.bleu(turns(spark, sf), "id", "p", "r").select("id", F.round("bleu", 9).alias("bleu"))
+
+
+@query(f"WITH {CONV} SELECT count(*) AS pairs, count_if({STRIP('a')} = {STRIP('b')}) AS equal_n FROM c WHERE b IS NOT NULL")
+def exact_match(spark, sf):
+    return turns(spark, sf).agg(F.count(F.lit(1)).alias("pairs"), F.count_if(T.strip(F.col("a")) == T.strip(F.col("b"))).alias("equal_n"))
+
+
+SIM = " + ".join(f"coalesce(2.0 * least({CNT('o', p)}, {CNT('p', p)}) / nullif({CNT('o', p)} + {CNT('p', p)}, 0), 0)" for p in C.AST_SHAPES)
+
+
+@query(f"WITH {PROCESSED} SELECT doc_id, round(({SIM}) / 5, 9) AS similarity FROM p")
+def ast_similarity(spark, sf):
+    return processed(spark, sf).select("doc_id", F.round(C.ast_similarity(F.col("o"), F.col("p")), 9).alias("similarity"))
+
+
+@query(f"WITH {PRED}, f AS (SELECT doc_id % 5 AS fold, avg((pred = quality)::INT) AS a FROM m GROUP BY 1) SELECT count(*) AS folds, round(avg(a), 9) AS mean, round(stddev_pop(a), 9) AS std FROM f")
+def cv_scores(spark, sf):
+    f = predictions(spark, sf).groupBy((F.col("doc_id") % 5).alias("fold")).agg(F.avg((F.col("pred") == F.col("quality")).cast("int")).alias("a"))
+    return f.agg(F.count(F.lit(1)).alias("folds"), F.round(F.avg("a"), 9).alias("mean"), F.round(F.stddev_pop("a"), 9).alias("std"))
+
+
+@query(f"WITH {PRED}, s AS (SELECT count_if(toxic = 0) AS n0, count_if(toxic = 1) AS n1, avg(score) FILTER (WHERE toxic = 0) AS m0, avg(score) FILTER (WHERE toxic = 1) AS m1, var_samp(score) FILTER (WHERE toxic = 0) AS v0, var_samp(score) FILTER (WHERE toxic = 1) AS v1 FROM m) SELECT n0, n1, round((m0 - m1) / sqrt(((n0 - 1) * v0 + (n1 - 1) * v1) / (n0 + n1 - 2) * (1 / n0 + 1 / n1)), 6) AS t FROM s")
+def t_statistic(spark, sf):
+    return evaluate.t_test(predictions(spark, sf), "toxic", "score").withColumn("t", F.round("t", 6))
+
+
+@query()
+def t_pvalue(spark, sf):
+    return evaluate.t_test_p(predictions(spark, sf), "toxic", "score")
+
+
+@query()
+def t_interval(spark, sf):
+    return evaluate.interval(predictions(spark, sf), "quality", "score")
+
+
+DRAWS = 50
+
+
+@query(f"WITH {PRED}, x AS (SELECT score, row_number() OVER (ORDER BY doc_id) - 1 AS k, count(*) OVER () AS n FROM m), d AS (SELECT r.range AS rep, floor(concat('0x', substr(md5(concat(r.range, ':', x.k)), 1, 8))::BIGINT / 4294967296.0 * x.n)::BIGINT AS pick FROM x, range({DRAWS}) r), b AS (SELECT rep, avg(x.score) AS v FROM d JOIN x ON x.k = d.pick GROUP BY rep) SELECT round(quantile_cont(v, 0.025), 9) AS lower, round(quantile_cont(v, 0.975), 9) AS upper FROM b")
+def bootstrap_ci(spark, sf):
+    m = predictions(spark, sf)
+    x = m.select("score", (F.row_number().over(Window.orderBy("doc_id")) - 1).alias("k"), F.count(F.lit(1)).over(Window.partitionBy()).alias("n"))
+    d = x.select("k", "n", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))).alias("rep")).select("rep", F.floor(C.uniform(F.col("rep"), F.col("k")) * F.col("n")).alias("pick"))
+    b = d.join(x.select(F.col("k").alias("pick"), "score"), "pick").groupBy("rep").agg(F.avg("score").alias("v"))
+    return b.agg(F.round(F.percentile("v", F.lit(0.025)), 9).alias("lower"), F.round(F.percentile("v", F.lit(0.975)), 9).alias("upper"))
+
+
+# ---- masking ----
+@query("WITH t AS (SELECT c_custkey AS id, unnest(string_split(c_name, '')) AS c, generate_subscripts(string_split(c_name, ''), 1) - 1 AS i FROM customer), u AS (SELECT id, i, unicode(c) + 5 AS tok, concat('0x', substr(md5(concat(id, ':', i, ':a')), 1, 8))::BIGINT / 4294967296.0 AS a, concat('0x', substr(md5(concat(id, ':', i, ':b')), 1, 8))::BIGINT / 4294967296.0 AS b, concat('0x', substr(md5(concat(id, ':', i, ':c')), 1, 8))::BIGINT / 4294967296.0 AS r FROM t) SELECT id, i, CASE WHEN a >= 0.15 THEN tok WHEN b < 0.8 THEN 4 WHEN b < 0.9 THEN floor(r * 133)::INT ELSE tok END AS input_id, CASE WHEN a < 0.15 THEN tok ELSE -100 END AS label FROM u")
+def mask_mlm(spark, sf):
+    t = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.posexplode(ids_of(F.col("c_name"))).alias("i", "tok"))
+    a, b, r = (C.uniform(F.col("id"), F.col("i"), F.lit(x)) for x in "abc")
+    return t.select("id", F.col("i").cast("long").alias("i"), F.when(a >= 0.15, F.col("tok")).when(b < 0.8, 4).when(b < 0.9, F.floor(r * 133).cast("int")).otherwise(F.col("tok")).alias("input_id"), F.when(a < 0.15, F.col("tok")).otherwise(-100).alias("label"))
+
+
+@query("WITH w AS (SELECT p_partkey AS id, regexp_extract_all(p_name, '[a-zA-Z_][a-zA-Z0-9_]*') AS ws FROM part), k AS (SELECT id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS k FROM w) SELECT id, k, word, concat('0x', substr(md5(concat(id, ':', k, ':w')), 1, 8))::BIGINT / 4294967296.0 < 0.15 AS chosen FROM k")
+def mask_wwm(spark, sf):
+    w = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.posexplode(F.regexp_extract_all("p_name", F.lit(C.IDENTIFIER), F.lit(0))).alias("k", "word"))
+    return w.select("id", F.col("k").cast("long").alias("k"), "word", (C.uniform(F.col("id"), F.col("k"), F.lit("w")) < 0.15).alias("chosen"))
+
+
+# ---- vulnerabilities and labels ----
+Q = lambda p: p.replace("'", "''")
+FAM = {n: " + ".join(f"len(regexp_extract_all(text, '(?i)(?m){Q(p)}'))" for p in ps) for n, ps in C.VULNERABILITIES.items()}
+HEU = {n: f"len(regexp_extract_all(text, '(?i){Q(p)}'))" for n, (p, _) in C.HEURISTICS.items()}
+CTX = f"(regexp_matches(text, '(?i){C.INPUTS}') AND NOT regexp_matches(text, '(?i){C.SANITIZERS}'))::INT + (regexp_matches(text, '(?i){C.SESSION}') AND NOT regexp_matches(text, '(?i){C.SESSION_SAFE}'))::INT"
+TEXTS = f"x AS (SELECT doc_id, text FROM ({CODE}) UNION ALL SELECT 1000000000 + doc_id, text FROM documents UNION ALL SELECT 2000000000 + page_id, html FROM pages)"
+
+
+def texts(spark, sf):
+    d, p = table(spark, sf, "documents"), table(spark, sf, "pages")
+    return code(spark, sf).select("doc_id", "text").unionByName(d.select((F.col("doc_id") + 1000000000).alias("doc_id"), "text")).unionByName(p.select((F.col("page_id") + 2000000000).alias("doc_id"), F.col("html").alias("text")))
+
+
+@query(f"WITH {TEXTS}, s AS (SELECT doc_id, {' + '.join(FAM.values())} + {' + '.join(f'{w} * {HEU[n]}' for n, (_, w) in C.HEURISTICS.items())} + {CTX} AS score FROM x) SELECT doc_id, score::BIGINT AS score, (score > 0)::INT AS vulnerable FROM s")
+def vuln_scan(spark, sf):
+    t = F.col("text")
+    parts = [*C.family_counts(t).values(), *[C.HEURISTICS[n][1] * c for n, c in C.heuristic_counts(t).items()], *C.context_checks(t).values()]
+    return texts(spark, sf).select("doc_id", C._total(parts).cast("long").alias("score")).withColumn("vulnerable", (F.col("score") > 0).cast("int"))
+
+
+@query(f"WITH {TEXTS}, f AS (SELECT {', '.join(f'{e} AS {n}' for n, e in FAM.items())} FROM x) SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS family, count_if({n} > 0) AS documents, sum({n})::BIGINT AS matches FROM f" for n in FAM) + ")")
+def vuln_families(spark, sf):
+    t = texts(spark, sf).select(F.explode(F.array(*[F.struct(F.lit(n).alias("family"), c.alias("n")) for n, c in C.family_counts(F.col("text")).items()])).alias("f"))
+    return t.groupBy("f.family").agg(F.count_if(F.col("f.n") > 0).alias("documents"), F.sum("f.n").alias("matches"))
+
+
+def _duck_label() -> str:
+    no = {n: k for k, n in enumerate(C.LABELS)}
+    q = lambda ws: ", ".join(f"'{w}'" for w in ws.split())
+    plain = "replace(replace(t, '_', ''), '.', '')"
+    return "CASE " + " ".join(f"WHEN t IN ({q(ws)}) THEN {no[n]}" for n, ws in C.WORD_LABELS) + f""" WHEN t LIKE '"%"' OR t = '"' THEN {no['StringLiteral']} WHEN t LIKE '''%''' OR t = '''' THEN {no['CharacterLiteral']} WHEN regexp_matches({plain}, '^[0-9]+$') THEN {no['IntegerLiteral']} WHEN regexp_matches(regexp_replace({plain}, '[fFlL]', '', 'g'), '^[0-9]+$') THEN {no['FloatLiteral']} """ + " ".join(f"WHEN t IN ({q(ws)}) THEN {no[n]}" for n, ws in C.OPERATOR_LABELS) + f" WHEN regexp_matches(replace(t, '_', ''), '^[A-Za-z0-9]+$') THEN {no['VariableReference']} ELSE {no['Other']} END"
+
+
+TOKENS = f"k AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(text, '{Q(C.C_TOKEN_RE2)}'), lambda x: NOT (x LIKE '//%' OR x LIKE '/*%' OR x LIKE '#%'))) AS t FROM ({CODE})), l AS (SELECT doc_id, t, {_duck_label()} AS label FROM k)"
+
+
+def labelled(spark, sf):
+    return code(spark, sf).select("doc_id", F.explode(C.c_tokens(F.col("text"))).alias("t")).withColumn("label", C.token_label(F.col("t")))
+
+
+@query(f"WITH {TOKENS} SELECT doc_id, label, count(*) AS n FROM l GROUP BY 1, 2")
+def c_token_labels(spark, sf):
+    return labelled(spark, sf).groupBy("doc_id", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {TOKENS} SELECT label, count(*) AS n FROM l GROUP BY 1 ORDER BY n DESC, label LIMIT 5")
+def label_topk(spark, sf):
+    return labelled(spark, sf).groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(5)
+
+
+@query("SELECT l_returnflag, CASE WHEN b < 1024 THEN printf('%.1f B', b) WHEN b < 1048576 THEN printf('%.1f KB', b / 1024.0) WHEN b < 1073741824 THEN printf('%.1f MB', b / 1048576.0) ELSE printf('%.1f GB', b / 1073741824.0) END AS size FROM (SELECT l_returnflag, floor(sum(l_quantity)) AS b FROM lineitem GROUP BY 1)")
+def format_bytes(spark, sf):
+    return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.floor(F.sum("l_quantity")).cast("double").alias("b")).select("l_returnflag", T.format_bytes(F.col("b")).alias("size"))
+
+
+@query()
+def spm_tokens(spark, sf):
+    from .operators.tokenizers import piece_tokens
+
+    return piece_tokens(spark, table(spark, sf, "documents"))
+
+
+@query()
+def python_labels(spark, sf):
+    from .operators.tokenizers import python_token_counts
+
+    return python_token_counts(table(spark, sf, "pages"), "page_id", "url")
+
+
+STREAM = "WITH b AS (SELECT event_type AS epoch, event_id // 64 AS batch_id, avg(value) AS v, count(*) AS n FROM events GROUP BY 1, 2), t AS (SELECT epoch, batch_id, v, n, row_number() OVER o AS k, avg(v) OVER (o ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS a, avg(v) OVER (o ROWS BETWEEN 19 PRECEDING AND 10 PRECEDING) AS p FROM b WINDOW o AS (PARTITION BY epoch ORDER BY batch_id)) SELECT epoch, batch_id, round(v, 6) AS avg_value, n, CASE WHEN k < 11 THEN 'insufficient_data' WHEN abs(a - p) < 0.01 THEN 'stable' WHEN a > p THEN 'improving' ELSE 'declining' END AS trend FROM t"
+
+
+@query(STREAM)
+def stream_monitor(spark, sf):
+    """The stateful monitor over a stream of batch rows, run until it has read all there is."""
+    import os
+    import tempfile
+    import uuid
+
+    from .streaming import monitor as stream
+
+    b = table(spark, sf, "events").groupBy(F.col("event_type").alias("epoch"), F.floor(F.col("event_id") / 64).alias("batch_id")).agg(F.avg("value").alias("avg_value"), F.count(F.lit(1)).alias("n"))
+    shared = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "siltworks-streams")
+    at = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    b.write.parquet(f"{at}/in")
+    out = stream.trends(spark.readStream.schema(b.schema).parquet(f"{at}/in"))
+    out.writeStream.outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{at}/state").format("parquet").option("path", f"{at}/out").start().awaitTermination()
+    return spark.read.schema(stream.OUT).parquet(f"{at}/out").withColumn("avg_value", F.round("avg_value", 6))

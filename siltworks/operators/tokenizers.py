@@ -1,0 +1,61 @@
+"""Tokenizers that need Python: sentence pieces, and labels of Python tokens."""
+
+from __future__ import annotations
+
+import ast
+import io
+import os
+import tokenize
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def _package_path(spark: SparkSession) -> None:
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join([x for x in env.get("PYTHONPATH", "").split(os.pathsep) if x] + [root])
+
+
+def piece_tokens(spark: SparkSession, docs: DataFrame, model: str | None = None) -> DataFrame:
+    """(doc_id, n_pieces, round_trip) by a sentence-piece model, whose bytes go to the workers once."""
+    if model is None:
+        import public_tokenizers
+
+        model = public_tokenizers.path("piece_bpe_32k.model")
+    with open(model, "rb") as f:
+        held = spark.sparkContext.broadcast(f.read())
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import sentencepiece
+
+        sp = sentencepiece.SentencePieceProcessor(model_proto=held.value)
+        for f in frames:
+            ids = sp.encode(f["text"].fillna("").tolist(), num_threads=1)
+            back = [sp.decode(x) for x in ids]
+            yield pd.DataFrame({"doc_id": f["doc_id"], "n_pieces": [len(x) for x in ids], "round_trip": [2 * len(b) >= len(t or "") for b, t in zip(back, f["text"])]})
+
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_pieces long, round_trip boolean")
+
+
+def python_label(text: str) -> list[str]:
+    """A coarse label for each Python token; OTHER for each word where the text doesn't parse."""
+    try:
+        ast.parse(text)
+        tokens = list(tokenize.generate_tokens(io.StringIO(text).readline))
+    except (SyntaxError, ValueError, tokenize.TokenError, RecursionError, MemoryError):
+        return ["OTHER"] * len(text.split())
+    return [tokenize.tok_name[t.type] for t in tokens if t.string.strip()]
+
+
+def python_token_counts(df: DataFrame, key: str, column: str) -> DataFrame:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            got = [python_label(t or "") for t in f["t"]]
+            yield pd.DataFrame({key: f[key], "tokens": [len(x) for x in got], "others": [x.count("OTHER") for x in got]})
+
+    _package_path(df.sparkSession)
+    return df.select(key, F.col(column).alias("t")).mapInPandas(run, f"{key} long, tokens long, others long")

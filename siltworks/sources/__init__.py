@@ -1 +1,56 @@
+"""Readers. Files are rows (repo, path, text); nothing is collected."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.text import decoded
+
+EXTENSIONS = (".c", ".h", ".cpp", ".cc", ".cxx", ".hpp", ".hxx")
+BOM = "name string, author string, url string, stars int, language string, description string, commit_hash string"
+
+
+def source_files(spark: SparkSession, root: str, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
+    """(repo, path, text) of all files under root with these endings (case-sensitive): the glob prunes before any file is opened."""
+    glob = "*{" + ",".join(extensions) + "}"
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
+    rest = F.regexp_replace(F.col("path"), "^.*?" + root.rstrip("/").replace(".", r"\.") + "/", "")
+    return df.select(F.regexp_extract(rest, "^([^/]+)/", 1).alias("repo"), F.regexp_replace(rest, "^[^/]+/", "").alias("path"), decoded(F.col("content")).alias("text"))
+
+
+def bom(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """A JSON array of repositories: the rows with name, url and commit_hash, and the rejects."""
+    df = spark.read.schema(BOM).json(path, multiLine=True)
+    ok = F.col("name").isNotNull() & F.col("url").isNotNull() & F.col("commit_hash").isNotNull()
+    return df.where(ok), df.where(~ok)
+
+
+def lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value) of the non-blank lines."""
+    return spark.read.text(path).where(F.trim("value") != "")
+
+
+def json_or_text(df: DataFrame, column: str, schema: str, text_field: str) -> DataFrame:
+    """Each line as a struct ``record``: the JSON object it holds if the text field is there, else the raw line as that field."""
+    j = F.from_json(F.col(column), schema)
+    ok = j[text_field].isNotNull()
+    return df.withColumn("structured", F.coalesce(ok, F.lit(False))).withColumn("code", F.when(ok, j[text_field]).otherwise(F.col(column))).withColumn("record", j)
+
+
+def vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    """(token, id) from a JSON object of ids, or from the first column of a TSV file in file order."""
+    head = [r["value"] for r in spark.read.text(path).limit(1).collect()]
+    if head and head[0].lstrip()[:1] in ("{", "["):
+        whole = spark.read.text(path, wholetext=True)
+        return whole.select(F.explode(F.from_json("value", "map<string,int>")).alias("token", "id"))
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), "\n")).alias("id", "line"))
+    return rows.select(F.split("line", "\t")[0].alias("token"), "id")
+
+
+def training_log(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("step int, epoch int, loss double, accuracy double").json(path)
+
+
+def model_config(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.json(path, multiLine=True)
