@@ -117,17 +117,17 @@ def _texts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[tuple
 
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document (id, n, cls), and at the end the task's counters in pieces."""
+    """A row for each document (id, n, cls, bits), and at the end the task's counters in pieces."""
     counts, any_row = np.zeros(COUNTERS, np.int64), False
-    names = ["doc_id", "n", "cls", "piece", "counts"]
+    names = ["doc_id", "n", "cls", "bits", "piece", "counts"]
     for ids, texts in _texts(batches):
         sets = [shingle_set(t) for t in texts]
         counts += np.bincount(slot(np.concatenate(sets)), minlength=COUNTERS)
         any_row, k = True, len(sets)
-        yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([bitmap(s).tobytes() if len(s) else None for s in sets], pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
     if any_row:
         parts = [c.astype(np.uint32).tobytes() for c in np.split(counts, PIECES)]
-        yield pa.RecordBatch.from_arrays([pa.nulls(PIECES, pa.int64()), pa.nulls(PIECES, pa.int64()), pa.nulls(PIECES, pa.int64()), pa.array(range(PIECES), pa.int32()), pa.array(parts, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(PIECES, pa.int64()), pa.nulls(PIECES, pa.int64()), pa.nulls(PIECES, pa.int64()), pa.nulls(PIECES, pa.binary()), pa.array(range(PIECES), pa.int32()), pa.array(parts, pa.binary())], names)
 
 
 def _sum_pieces(key, rows):
@@ -167,25 +167,32 @@ def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [token[k : k + 1], n[k : k + 1], cls[k : k + 1]]
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (a, b, bits and set of each): the pairs that are similar enough. The bitmaps' bound first, then the sorted arrays."""
+def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (a, b, size and bits of each): the pairs whose overlap, bounded from above by the bitmaps, may be enough."""
     for b in batches:
-        cols, out = [b.column(k) for k in range(6)], []
-        for k in range(b.num_rows):
-            x, y = (np.frombuffer(cols[j][k].as_buffer(), np.uint64) for j in (4, 5))
-            least = needed(len(x) + len(y))
-            if min(len(x), len(y)) < least:
-                continue
-            p, q = (np.frombuffer(cols[j][k].as_buffer(), np.uint8) for j in (2, 3))
+        m, n = (np.asarray(b.column(k)) for k in (2, 3))
+        least, out = needed(m + n), []
+        for k in np.flatnonzero(np.minimum(m, n) >= least):
+            p, q = (np.frombuffer(b.column(j)[int(k)].as_buffer(), np.uint8) for j in (4, 5))
             p, q = (p, q) if len(p) <= len(q) else (q, p)
             while len(q) > len(p):
                 q = q[: len(q) // 2] ^ q[len(q) // 2 :]
-            if (len(x) + len(y) - int(np.bitwise_count(p ^ q).sum())) // 2 < least:
-                continue
-            if len(np.intersect1d(x, y, assume_unique=True)) >= least:
+            if (m[k] + n[k] - int(np.bitwise_count(p ^ q).sum())) // 2 >= least[k]:
+                out.append(int(k))
+        if out:
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(out)), b.column(1).take(pa.array(out))], ["a", "b"])
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (a, b, set of each): the pairs that are similar enough, by intersecting the sorted arrays."""
+    for b in batches:
+        out = []
+        for k in range(b.num_rows):
+            x, y = (np.frombuffer(b.column(j)[k].as_buffer(), np.uint64) for j in (2, 3))
+            if len(np.intersect1d(x, y, assume_unique=True)) >= needed(len(x) + len(y)):
                 out.append(k)
         if out:
-            yield pa.RecordBatch.from_arrays([cols[0].take(pa.array(out)), cols[1].take(pa.array(out))], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(out)), b.column(1).take(pa.array(out))], ["a", "b"])
 
 
 class _Tile:
@@ -268,11 +275,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     """(doc_id, n_shingles, component_id) of every row; ids are integers."""
     with_package(spark)
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").cast("binary").alias("text"))
-    both = staged(spark, texts.mapInArrow(_summaries, "doc_id long, n long, cls long, piece int, counts binary"), "sets")
+    both = staged(spark, texts.mapInArrow(_summaries, "doc_id long, n long, cls long, bits binary, piece int, counts binary"), "sets")
     rows = both.where("piece IS NULL").select("doc_id", "n", "cls")
     pieces = both.where("piece IS NOT NULL").select("piece", "counts").groupBy("piece").applyInArrow(_sum_pieces, "piece int, counts binary").collect()  # PIECES rows, 8 * COUNTERS bytes
     counts = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in sorted(pieces, key=lambda r: r["piece"])]) if pieces else np.zeros(COUNTERS, np.int64)
-    common = max(64, rows.count() // 1000) + 2 * int(counts.sum() // COUNTERS)
+    mean = counts.sum() / COUNTERS
+    common = int(mean + 4 * mean**0.5 + 8)  # above what unrelated shingles add to a counter
     sketch = spark.sparkContext.broadcast(np.minimum(counts, np.iinfo(np.uint32).max).astype(np.uint32))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,36 +304,42 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
         for _, got in _texts(batches):
             sets = [s for s in map(shingle_set, got) if len(s)]
             if sets:
-                yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), pa.array([bitmap(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "bits", "members"])
+                yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "members"])
 
     tokens = texts.mapInArrow(prefixes, "token long, n long, cls long")
     shared = staged(spark, tokens.repartition("token").sortWithinPartitions("token", "n", "cls").mapInArrow(_leaders, "token long, cls long, n long, leader long"), "shared")
-    classes = rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"))
-    met = shared.select("cls").distinct()
-    reps = classes.join(met, "cls").select(F.col("rep").alias("doc_id"))
-    sets = staged(spark, texts.join(reps, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(arrays, "cls long, bits binary, members binary"), "arrays")
+    least = both.where("cls IS NOT NULL").groupBy("cls").agg(F.min(F.struct("doc_id", "n", "bits")).alias("x"))
+    classes = staged(spark, least.select("cls", F.col("x.doc_id").alias("rep"), F.col("x.n").alias("n"), F.col("x.bits").alias("bits")), "classes")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        a = sets.select(F.col("cls").alias("a"), F.col("bits").alias("bits_a"), F.col("members").alias("set_a"))
-        b = sets.select(F.col("cls").alias("b"), F.col("bits").alias("bits_b"), F.col("members").alias("set_b"))
-        return pairs.join(b, "b").join(a, "a").select("a", "b", "bits_a", "bits_b", "set_a", "set_b").mapInArrow(_verified, "a long, b long")
+        """Links among pairs (a, b) that the bitmaps left: only the sets of these are made again from their texts."""
+        pairs = staged(spark, pairs, "pairs")
+        met = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+        reps = staged(spark, classes.join(met, "cls").select(F.col("rep").alias("doc_id")), "representatives")
+        sets = staged(spark, texts.join(reps, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(arrays, "cls long, members binary"), "arrays")
+        a, b = (sets.select(F.col("cls").alias(x), F.col("members").alias(f"set_{x}")) for x in "ab")
+        out = staged(spark, pairs.join(b, "b").join(a, "a").select("a", "b", "set_a", "set_b").mapInArrow(_verified, "a long, b long"), "verified")
+        for x in (pairs, reps, sets):
+            discard(spark, x)
+        return out
 
     stars = shared.where("cls <> leader").groupBy("cls").agg(F.min("leader").alias("a")).select("a", F.col("cls").alias("b"))
-    first = staged(spark, verified(stars), "first-links")
+    x, y = (classes.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab")
+    first = verified(stars.join(y, "b").join(x, "a").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_bounded, "a long, b long"))
     comp = staged(spark, connected(spark, first), "first-components")
 
     known = shared.join(comp, shared["cls"] == comp["node"], "left").select("token", "cls", "n", F.coalesce("label", "cls").alias("comp"))
     known = staged(spark, known, "known")
     mixed = known.groupBy("token").agg(F.min("comp").alias("lo_c"), F.max("comp").alias("hi_c"), F.count(F.lit(1)).alias("rows")).where("lo_c <> hi_c").select(F.col("token").alias("t"), F.ceil(F.col("rows") / F.lit(TILE)).cast("int").alias("tiles"))
     left = known.join(mixed, known["token"] == mixed["t"]).select("token", "cls", "n", "comp", "tiles", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int").alias("side"))
-    left = left.join(sets.select(F.col("cls").alias("c"), "bits"), F.col("cls") == F.col("c"))
+    left = left.join(classes.select(F.col("cls").alias("c"), "bits"), F.col("cls") == F.col("c"))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("token", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "cls", "n", "comp", "side", "bits")
     more = left.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", "n").mapInArrow(_tile_pairs, "a long, b long").distinct()
-    second = staged(spark, verified(more), "second-links")
+    second = verified(more)
     links = first.unionByName(second)
     comp = connected(spark, links)
 
-    named = classes.join(comp, classes["cls"] == comp["node"], "left").select("cls", "rep", F.coalesce("label", "cls").alias("label"))
+    named = classes.join(comp, classes["cls"] == comp["node"], "left").select(classes["cls"], "rep", F.coalesce("label", "cls").alias("label"))
     named = staged(spark, named, "named")
     ids = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     by_class = named.join(ids, "label").select(F.col("cls").alias("c"), "component_id")
