@@ -264,7 +264,7 @@ def connected(spark: SparkSession, edges: DataFrame) -> DataFrame:
         sign = tuple(now)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("m"))
-        large = both.join(least, both["u"] == least["x"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        large = both.join(least, both["u"] == least["x"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
         low = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "x")
         small = large.join(low, large["u"] == low["x"]).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u > v").distinct()
         old, e = e, staged(spark, small, "links")
@@ -336,10 +336,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("token", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "cls", "n", "comp", "side", "bits")
     more = left.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", "n").mapInArrow(_tile_pairs, "a long, b long").distinct()
     second = verified(more)
-    links = first.unionByName(second)
-    comp = connected(spark, links)
-
     named = classes.join(comp, classes["cls"] == comp["node"], "left").select(classes["cls"], "rep", F.coalesce("label", "cls").alias("label"))
+    if not second.isEmpty():  # links between first components: only their labels are joined up
+        x, y = (comp.select(F.col("node").alias(f"node_{c}"), F.col("label").alias(f"label_{c}")) for c in "ab")
+        ends = second.join(x, second["a"] == x["node_a"], "left").join(y, second["b"] == y["node_b"], "left")
+        merged = connected(spark, ends.select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b")))
+        named = named.join(merged.withColumnRenamed("label", "top"), named["label"] == merged["node"], "left").select("cls", "rep", F.coalesce("top", "label").alias("label"))
     named = staged(spark, named, "named")
     ids = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     by_class = named.join(ids, "label").select(F.col("cls").alias("c"), "component_id")
