@@ -7,7 +7,7 @@
    order; the sketch only decides how many other sets do.
 3. Sets that share a prefix shingle are compared with the smallest of their size band;
    links make first components. Then only sets of different components are left to
-   compare: they meet in tiles of bounded size, sorted by set size, where parity
+   compare, in three rounds (the first two only join up, the last takes every pair): they meet in tiles of bounded size, sorted by set size, where parity
    bitmaps bound each pair's overlap from above, and what remains is intersected
    exactly on the sorted arrays.
 
@@ -22,6 +22,7 @@ an empty table gives no rows; further columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -77,9 +78,9 @@ def class_of(s: np.ndarray) -> int:
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    """Parity of the hashes in each of 2**k places, about as many as hashes; halves fold onto each other by XOR."""
+    """Parity of the hashes in each of 2**k places, two to four times as many as hashes; halves fold onto each other by XOR."""
     bits = 64
-    while bits < len(s) and bits < 1 << 16:
+    while bits < 2 * len(s) and bits < 1 << 17:
         bits *= 2
     return np.packbits((np.bincount((s >> np.uint64(24)).astype(np.int64) & (bits - 1), minlength=bits) & 1).astype(np.uint8))
 
@@ -209,8 +210,8 @@ class _Tile:
             self.at[who] = np.arange(len(who))
             self.whole[int(w)] = np.stack([self.bits[k] for k in who])
 
-    def pairs(self, crossed: bool) -> Iterator[tuple[int, int]]:
-        """Pairs of different components, of different tiles if ``crossed``, that the bitmaps leave."""
+    def pairs(self, crossed: bool, forest: bool) -> Iterator[tuple[int, int]]:
+        """Pairs of different components, of different tiles if ``crossed``, that the bitmaps leave. With ``forest``, only those that join what earlier pairs of the tile have not: fewer than the tile has rows."""
         folded = {w: m[:, : w // 2] ^ m[:, w // 2 :] for w, m in self.whole.items()}
         for i in range(len(self.cls)):
             n, w = self.n[i], int(self.width[i])
@@ -224,16 +225,20 @@ class _Tile:
                 apart = np.bitwise_count(rows[self.at[k]] ^ self.bits[i]).sum(axis=1, dtype=np.int64)
                 total = n + self.n[k]
                 for m in k[(total - apart) // 2 >= needed(total)]:
+                    if forest:
+                        if self.comp[m] == self.comp[i]:
+                            continue
+                        self.comp[self.comp == self.comp[m]] = self.comp[i]
                     yield min(self.cls[i], self.cls[m]), max(self.cls[i], self.cls[m])
 
 
-def _tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tile_pairs(batches: Iterator[pa.RecordBatch], forest: bool) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by (token, lo, hi, n): candidate pairs, tile by tile."""
     key, rows, seen = None, [], set()
 
     def flush() -> None:
         if len(rows) > 1:
-            seen.update(_Tile(rows).pairs(key[1] != key[2]))
+            seen.update(_Tile(rows).pairs(key[1] != key[2], forest))
 
     def batch() -> pa.RecordBatch:
         a, b = zip(*seen, strict=True)
@@ -328,24 +333,31 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     first = verified(stars.join(y, "b").join(x, "a").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_bounded, "a long, b long"))
     comp = staged(spark, connected(spark, first), "first-components")
 
-    known = shared.join(comp, shared["cls"] == comp["node"], "left").select("token", "cls", "n", F.coalesce("label", "cls").alias("comp"))
-    known = staged(spark, known, "known")
-    mixed = known.groupBy("token").agg(F.min("comp").alias("lo_c"), F.max("comp").alias("hi_c"), F.count(F.lit(1)).alias("rows")).where("lo_c <> hi_c").select(F.col("token").alias("t"), F.ceil(F.col("rows") / F.lit(TILE)).cast("int").alias("tiles"))
-    left = known.join(mixed, known["token"] == mixed["t"]).select("token", "cls", "n", "comp", "tiles", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int").alias("side"))
-    left = left.join(classes.select(F.col("cls").alias("c"), "bits"), F.col("cls") == F.col("c"))
-    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("token", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "cls", "n", "comp", "side", "bits")
-    more = left.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", "n").mapInArrow(_tile_pairs, "a long, b long").distinct()
-    second = verified(more)
-    named = classes.join(comp, classes["cls"] == comp["node"], "left").select(classes["cls"], "rep", F.coalesce("label", "cls").alias("label"))
-    if not second.isEmpty():  # links between first components: only their labels are joined up
+    # rounds of tiles: two that only join up what looks linked, then one over all pairs of different components that are left
+    base = shared.select("token", "cls", "n")
+    for forest in (True, True, False):
+        known = staged(spark, base.join(comp, base["cls"] == comp["node"], "left").select("token", "cls", "n", F.coalesce("label", "cls").alias("comp")), "known")
+        mixed = known.groupBy("token").agg(F.min("comp").alias("lo_c"), F.max("comp").alias("hi_c"), F.count(F.lit(1)).alias("rows")).where("lo_c <> hi_c").select(F.col("token").alias("t"), F.ceil(F.col("rows") / F.lit(TILE)).cast("int").alias("tiles"))
+        base = staged(spark, known.join(mixed, known["token"] == mixed["t"]).select("token", "cls", "n", "comp", "tiles"), "mixed")
+        discard(spark, known)
+        left = base.withColumn("side", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int")).join(classes.select(F.col("cls").alias("c"), "bits"), F.col("cls") == F.col("c"))
+        left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("token", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "cls", "n", "comp", "side", "bits")
+        run = partial(_tile_pairs, forest=forest)
+        second = verified(left.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", "n").mapInArrow(run, "a long, b long").distinct())
+        base = base.select("token", "cls", "n")
+        if second.isEmpty():
+            continue
+        # links between components: only their labels are joined up
         x, y = (comp.select(F.col("node").alias(f"node_{c}"), F.col("label").alias(f"label_{c}")) for c in "ab")
-        ends = second.join(x, second["a"] == x["node_a"], "left").join(y, second["b"] == y["node_b"], "left")
-        merged = connected(spark, ends.select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b")))
-        named = named.join(merged.withColumnRenamed("label", "top"), named["label"] == merged["node"], "left").select("cls", "rep", F.coalesce("top", "label").alias("label"))
+        ends = second.join(x, second["a"] == x["node_a"], "left").join(y, second["b"] == y["node_b"], "left").select("a", "b", F.coalesce("label_a", "a").alias("p"), F.coalesce("label_b", "b").alias("q"))
+        merged = connected(spark, ends.select(F.col("p").alias("a"), F.col("q").alias("b"))).select(F.col("node").alias("low"), F.col("label").alias("top"))
+        every = comp.unionByName(ends.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("p").alias("label")), F.struct(F.col("b").alias("node"), F.col("q").alias("label")))).alias("e")).select("e.*")).distinct()
+        comp = staged(spark, every.join(merged, every["label"] == merged["low"], "left").select("node", F.coalesce("top", "label").alias("label")), "components")
+
+    named = classes.join(comp, classes["cls"] == comp["node"], "left").select(classes["cls"], "rep", F.coalesce("label", "cls").alias("label"))
     named = staged(spark, named, "named")
     ids = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     by_class = named.join(ids, "label").select(F.col("cls").alias("c"), "component_id")
     out = rows.join(by_class, rows["cls"] == by_class["c"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    for x in (shared, known):
-        discard(spark, x)
+    discard(spark, shared)
     return out
