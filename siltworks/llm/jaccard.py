@@ -7,7 +7,7 @@
    order; the sketch only decides how many other sets do.
 3. Sets that share a prefix shingle are compared with the smallest of their size band;
    links make first components. Then only sets of different components are left to
-   compare, in three rounds (the first two only join up, the last takes every pair): they meet in tiles of bounded size, sorted by set size, where parity
+   compare, in two rounds (the first only joins up, the second takes every pair): they meet in tiles of bounded size, sorted by set size, where parity
    bitmaps bound each pair's overlap from above, and what remains is intersected
    exactly on the sorted arrays.
 
@@ -333,9 +333,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     first = verified(stars.join(y, "b").join(x, "a").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_bounded, "a long, b long"))
     comp = staged(spark, connected(spark, first), "first-components")
 
-    # rounds of tiles: two that only join up what looks linked, then one over all pairs of different components that are left
+    # rounds of tiles: one that only joins up what looks linked, then one over all pairs of different components that are left
     base = shared.select("token", "cls", "n")
-    for forest in (True, True, False):
+    for forest in (True, False):
         known = staged(spark, base.join(comp, base["cls"] == comp["node"], "left").select("token", "cls", "n", F.coalesce("label", "cls").alias("comp")), "known")
         mixed = known.groupBy("token").agg(F.min("comp").alias("lo_c"), F.max("comp").alias("hi_c"), F.count(F.lit(1)).alias("rows")).where("lo_c <> hi_c").select(F.col("token").alias("t"), F.ceil(F.col("rows") / F.lit(TILE)).cast("int").alias("tiles"))
         base = staged(spark, known.join(mixed, known["token"] == mixed["t"]).select("token", "cls", "n", "comp", "tiles"), "mixed")
