@@ -5,11 +5,13 @@
 2. Each class emits its prefix: its n - ceil(0.8 n) + 1 first shingles in a global
    order, common ones last. Two linked sets share a prefix shingle, whatever the
    order; the sketch only decides how many other sets do.
-3. Sets that share a prefix shingle are compared with the smallest of their size band;
-   links make first components. Then only sets of different components are left to
-   compare, in two rounds (the first only joins up, the second takes every pair): they meet in tiles of bounded size, sorted by set size, where parity
-   bitmaps bound each pair's overlap from above, and what remains is intersected
-   exactly on the sorted arrays.
+3. Shingles that the same sets share make one group, which is joined once: copies and
+   shared passages meet in hundreds of shingles. Sets of a group are compared with the
+   smallest of their size band; links make first components. Then only sets of
+   different components are left to compare, in two rounds (the first only joins up,
+   the second takes every pair): they meet in tiles of bounded size, sorted by set
+   size, where parity bitmaps bound each pair's overlap from above, and what remains
+   is intersected exactly on the sorted arrays.
 
 No group is ever expanded into all its pairs, no link between different texts is
 lost, and no step holds more than a tile or a batch. Sets are of 64-bit hashes.
@@ -276,6 +278,16 @@ def connected(spark: SparkSession, edges: DataFrame) -> DataFrame:
         discard(spark, old)
 
 
+def grouped(spark: SparkSession, shared: DataFrame) -> DataFrame:
+    """Rows (token, cls, ...) of one token for each set of classes that tokens have in common: the others would only repeat its pairs. Sets of classes are told apart by their size and 96 bits of hashes."""
+    low = F.xxhash64("cls", F.lit(1)).bitwiseAND(F.lit(0xFFFFFFFF))
+    groups = shared.groupBy("token").agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.sum(low).alias("y"))
+    one = groups.groupBy("rows", "x", "y").agg(F.min("token").alias("first"))
+    out = staged(spark, shared.join(one, shared["token"] == one["first"], "left_semi"), "groups")
+    discard(spark, shared)
+    return out
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; ids are integers."""
     with_package(spark)
@@ -312,7 +324,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
                 yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "members"])
 
     tokens = texts.mapInArrow(prefixes, "token long, n long, cls long")
-    shared = staged(spark, tokens.repartition("token").sortWithinPartitions("token", "n", "cls").mapInArrow(_leaders, "token long, cls long, n long, leader long"), "shared")
+    shared = grouped(spark, staged(spark, tokens.repartition("token").sortWithinPartitions("token", "n", "cls").mapInArrow(_leaders, "token long, cls long, n long, leader long"), "shared"))
     least = both.where("cls IS NOT NULL").groupBy("cls").agg(F.min(F.struct("doc_id", "n", "bits")).alias("x"))
     classes = staged(spark, least.select("cls", F.col("x.doc_id").alias("rep"), F.col("x.n").alias("n"), F.col("x.bits").alias("bits")), "classes")
 
