@@ -5,8 +5,9 @@
 2. Each class emits its prefix: its n - ceil(0.8 n) + 1 first shingles in a global
    order, common ones last. Two linked sets share a prefix shingle, whatever the
    order; the sketch only decides how many other sets do.
-3. Shingles that the same sets share make one group, which is joined once: copies and
-   shared passages meet in hundreds of shingles. Sets of a group are compared with the
+3. The sets of a shingle fall into runs by size; between runs no link is possible.
+   Shingles whose runs have the same sets make one group, which is joined once: copies
+   and shared passages meet in hundreds of shingles. Sets of a group are compared with the
    smallest of their size band; links make first components. Then only sets of
    different components are left to compare, in two rounds (the first only joins up,
    the second takes every pair): they meet in tiles of bounded size, sorted by set
@@ -141,8 +142,8 @@ def _sum_pieces(key, rows):
 
 
 def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (token, n, cls): those that share their token, with the first of their size band as leader. Only the last leader is kept between batches."""
-    held = [np.empty(0, np.int64)] * 3
+    """Of rows sorted by (token, n, cls): those with a neighbour of their token that their size allows, with the first of their size band as leader. A token's sets fall into runs without a gap in size that is too wide for a link; each run has a token of its own. Between batches only the last leader and the sizes of the run are kept."""
+    held, last_n, run_n = [np.empty(0, np.int64)] * 3, 0, 0
     for b in batches:
         token, n, cls = (np.concatenate([h, np.asarray(b.column(k))]) for k, h in enumerate(held))
         if not len(token):
@@ -161,13 +162,21 @@ def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new = far.copy()
             new[1:] &= ~(far[:-1] & (lead[1:] == lead[:-1]))
             starts |= new
-        same = np.zeros(len(token), dtype=bool)
-        same[1:] |= token[1:] == token[:-1]
-        same[:-1] |= token[1:] == token[:-1]
-        if same.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x[same]) for x in (token, cls, n, cls[lead])], ["token", "cls", "n", "leader"])
+        before, first_n = n[:-1].copy(), n.copy()
+        if len(held[0]):  # the row at 0 is a leader from before; others may have followed it
+            first_n[0] = run_n
+            before[:1] = last_n
+        near = np.zeros(len(token), dtype=bool)
+        near[1:] = (token[1:] == token[:-1]) & (DEN * before >= NUM * n[1:])
+        run = first_n[np.maximum.accumulate(np.where(near, 0, at))]
+        kept = near.copy()
+        kept[:-1] |= near[1:]
+        if kept.any():
+            own = ((token.astype(np.uint64) ^ (run.astype(np.uint64) * _P)) * _M1).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x[kept]) for x in (own, cls, n, cls[lead])], ["token", "cls", "n", "leader"])
         k = lead[-1]
-        held = [token[k : k + 1], n[k : k + 1], cls[k : k + 1]]
+        last_n = max(last_n, n[-1]) if len(token) == 1 and len(held[0]) else n[-1]
+        held, run_n = [token[k : k + 1], n[k : k + 1], cls[k : k + 1]], run[-1]
 
 
 def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
