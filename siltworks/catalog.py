@@ -465,9 +465,9 @@ def spm_tokens(spark, sf):
 
 @query()
 def python_labels(spark, sf):
-    from .operators.tokenizers import python_token_counts
+    from .operators.tokenizers import python_token_labels
 
-    return python_token_counts(table(spark, sf, "pages"), "page_id", "url")
+    return python_token_labels(table(spark, sf, "documents"), "doc_id", "text")
 
 
 STREAM = "WITH b AS (SELECT event_type AS epoch, event_id // 64 AS batch_id, avg(value) AS v, count(*) AS n FROM events GROUP BY 1, 2), t AS (SELECT epoch, batch_id, v, n, row_number() OVER o AS k, avg(v) OVER (o ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS a, avg(v) OVER (o ROWS BETWEEN 19 PRECEDING AND 10 PRECEDING) AS p FROM b WINDOW o AS (PARTITION BY epoch ORDER BY batch_id)) SELECT epoch, batch_id, round(v, 6) AS avg_value, n, CASE WHEN k < 11 THEN 'insufficient_data' WHEN abs(a - p) < 0.01 THEN 'stable' WHEN a > p THEN 'improving' ELSE 'declining' END AS trend FROM t"

@@ -33,3 +33,23 @@ def test_batches_read_whole_texts(spark, tmp_path):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_batch_quality_matches_whole_sql(spark, duck):  # noqa: F811
     assert matches(spark, duck, "batch_quality", catalog.ORACLE_SQL["batch_quality"].replace("substr(text, 1, 200)", "text"))
+
+
+PYTHON = {
+    "def f(a: int) -> int:\n    x = [a, 2]\n    x += 1\n    return not x\n": "FunctionDef Name Call Name OTHER Name OTHER OTHER Name OTHER Name Assign List Name OTHER Constant OTHER Name AugAssign Constant Return UnaryOp Name".split(),
+    "class A:\n    pass\n": "ClassDef Constant OTHER Pass".split(),
+    "async def g():\n    await h({1: 2})\n": "AsyncFunctionDef FunctionDef Name Call OTHER AnnAssign Await Name Call Dict Constant OTHER Constant OTHER OTHER".split(),
+    "y = {i for i in (z)}": "Name Assign OTHER Name For Name Comprehension Call Name OTHER OTHER".split(),
+    "if a in b: _ = B_C * 3": "If Name Compare Name OTHER OTHER Assign Constant BinOp Constant".split(),
+    "not python at all": ["OTHER"] * 4,
+}
+
+
+def test_python_labels_over_documents(spark, tmp_path):
+    from siltworks.operators.tokenizers import PYTHON_LABELS
+
+    assert len(PYTHON_LABELS) == 47
+    spark.createDataFrame(list(enumerate(PYTHON)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in catalog.python_labels(spark, str(tmp_path)).collect()}
+    for k, want in enumerate(PYTHON.values()):
+        assert [PYTHON_LABELS[x] for x in got[k]["labels"]] == want and got[k]["tokens"] == len(want) and got[k]["others"] == want.count("OTHER")
