@@ -204,7 +204,7 @@ def keychar_tokens(spark, sf):
 
 @query("SELECT c_custkey, unnest(string_split(c_name, '')) AS token, generate_subscripts(string_split(c_name, ''), 1) - 1 AS s, generate_subscripts(string_split(c_name, ''), 1) AS e FROM customer")
 def token_spans(spark, sf):
-    return table(spark, sf, "customer").select("c_custkey", F.explode(C.spans(C.char_tokens(F.col("c_name")))).alias("x")).select("c_custkey", "x.token", F.col("x.start").cast("long").alias("s"), F.col("x.end").cast("long").alias("e"))
+    return table(spark, sf, "documents").select("doc_id", F.explode(C.spans(C.char_tokens(F.col("text")))).alias("x")).select("doc_id", "x.token", F.col("x.start").cast("long").alias("s"), F.col("x.end").cast("long").alias("e"))
 
 
 @query(f"SELECT w AS token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[a-zA-Z_][a-zA-Z0-9_]*')) AS w FROM ({CODE})) GROUP BY 1")
@@ -390,15 +390,37 @@ def bootstrap_ci(spark, sf):
 # ---- masking ----
 @query("WITH t AS (SELECT c_custkey AS id, unnest(string_split(c_name, '')) AS c, generate_subscripts(string_split(c_name, ''), 1) - 1 AS i FROM customer), u AS (SELECT id, i, unicode(c) + 5 AS tok, concat('0x', substr(md5(concat(id, ':', i, ':a')), 1, 8))::BIGINT / 4294967296.0 AS a, concat('0x', substr(md5(concat(id, ':', i, ':b')), 1, 8))::BIGINT / 4294967296.0 AS b, concat('0x', substr(md5(concat(id, ':', i, ':c')), 1, 8))::BIGINT / 4294967296.0 AS r FROM t) SELECT id, i, CASE WHEN a >= 0.15 THEN tok WHEN b < 0.8 THEN 4 WHEN b < 0.9 THEN floor(r * 133)::INT ELSE tok END AS input_id, CASE WHEN a < 0.15 THEN tok ELSE -100 END AS label FROM u")
 def mask_mlm(spark, sf):
-    t = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.posexplode(ids_of(F.col("c_name"))).alias("i", "tok"))
-    a, b, r = (C.uniform(F.col("id"), F.col("i"), F.lit(x)) for x in "abc")
-    return t.select("id", F.col("i").cast("long").alias("i"), F.when(a >= 0.15, F.col("tok")).when(b < 0.8, 4).when(b < 0.9, F.floor(r * 133).cast("int")).otherwise(F.col("tok")).alias("input_id"), F.when(a < 0.15, F.col("tok")).otherwise(-100).alias("label"))
+    t = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.posexplode(ids_of(F.col("text"))).alias("i", "tok"))
+    return t.select("id", F.col("i").cast("long").alias("i"), *masked(drawn_token()))
+
+
+def drawn_token():
+    """Whether masked language modelling draws a token; unknown ones are special and never drawn."""
+    return (F.col("tok") > 4) & (C.uniform(F.col("id"), F.col("i"), F.lit("a")) < 0.15)
+
+
+def masked(chosen, labelled=None):
+    """input_id and label: of the chosen tokens 80 % become the mask, 10 % any token, 10 % stay. labelled: which ones keep their label, the chosen ones if not given."""
+    b, r = (C.uniform(F.col("id"), F.col("i"), F.lit(x)) for x in "bc")
+    return [
+        F.when(~chosen, F.col("tok")).when(b < 0.8, 4).when(b < 0.9, F.floor(r * 133).cast("int")).otherwise(F.col("tok")).alias("input_id"),
+        F.when(chosen if labelled is None else labelled, F.col("tok")).otherwise(-100).alias("label"),
+    ]
 
 
 @query("WITH w AS (SELECT p_partkey AS id, regexp_extract_all(p_name, '[a-zA-Z_][a-zA-Z0-9_]*') AS ws FROM part), k AS (SELECT id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS k FROM w) SELECT id, k, word, concat('0x', substr(md5(concat(id, ':', k, ':w')), 1, 8))::BIGINT / 4294967296.0 < 0.15 AS chosen FROM k")
 def mask_wwm(spark, sf):
-    w = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.posexplode(F.regexp_extract_all("p_name", F.lit(C.IDENTIFIER), F.lit(0))).alias("k", "word"))
-    return w.select("id", F.col("k").cast("long").alias("k"), "word", (C.uniform(F.col("id"), F.col("k"), F.lit("w")) < 0.15).alias("chosen"))
+    """Whole words: all tokens that overlap a drawn word; texts without words as mask_mlm, and where no word is drawn every token keeps its label."""
+    # words and what lies between them take turns, so place p holds word p // 2, and each character token lies in one of them
+    parts = F.regexp_extract_all("text", F.lit(f"{C.IDENTIFIER}|[^a-zA-Z_]+"), F.lit(0))
+    word = lambda x: x["token"].rlike("^[a-zA-Z_]")
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.transform(C.spans(parts), lambda x, p: F.struct(x["token"].alias("token"), x["start"].alias("start"), word(x).alias("word"), (word(x) & (C.uniform(F.col("id"), F.floor(p / 2), F.lit("w")) < 0.15)).alias("drawn"))).alias("parts"))
+    # what is kept beside an exploded array is copied for each of its rows: the array itself must not be
+    d = d.select("id", F.exists("parts", lambda x: x["word"]).alias("words"), F.exists("parts", lambda x: x["drawn"]).alias("any"), "parts")
+    d = d.select("id", "words", "any", F.explode("parts").alias("x")).select("id", "words", "any", "x.start", "x.drawn", "x.token")
+    t = d.select("id", "words", "any", "start", "drawn", F.posexplode(ids_of(F.col("token"))).alias("j", "tok")).withColumn("i", (F.col("start") + F.col("j")).cast("long"))
+    t = t.withColumn("chosen", F.when(F.col("words"), F.col("drawn")).otherwise(drawn_token()))
+    return t.select("id", "i", *masked(F.col("chosen"), F.col("chosen") | (F.col("words") & ~F.col("any"))))
 
 
 # ---- vulnerabilities and labels ----

@@ -165,11 +165,37 @@ def keychar_ids(tokens: Column) -> Column:
     return F.transform(tokens, lambda c: F.coalesce(F.when(F.length(c) > 1, F.try_element_at(at, c)), F.when(F.ascii(c) < 128, F.ascii(c) + 5), F.lit(0)))
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once although lambdas in body use it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+FAN = 32
+
+
+def _starts(lengths: Column, levels: int = 4) -> Column:
+    """Sum of all earlier lengths, for each place: from sums over runs of FAN, FAN^2 and so on, not over all earlier places."""
+    add = lambda xs: F.aggregate(xs, F.lit(0), lambda s, x: s + x)
+
+    def runs(xs: Column) -> Column:
+        n = F.ceil(F.size(xs) / F.lit(FAN)).cast("int")
+        return F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda g: add(F.slice(xs, g * FAN + 1, F.lit(FAN))))
+
+    def before(xs: Column, left: int) -> Column:
+        if not left:
+            return F.transform(xs, lambda x, i: add(F.slice(xs, F.lit(1), i)))
+        return _let(F.when(F.size(xs) > FAN, runs(xs)).otherwise(F.array().cast("array<int>")), lambda up: _let(
+            F.when(F.size(up) > 0, before(up, left - 1)).otherwise(F.array(F.lit(0))),
+            lambda base: F.transform(xs, lambda x, i: F.get(base, F.floor(i / FAN).cast("int")) + add(F.slice(xs, i - i % FAN + 1, i % FAN))),
+        ))
+
+    return _let(lengths, lambda xs: before(xs, levels))
+
+
 def spans(tokens: Column) -> Column:
     """(token, start, end) with running offsets."""
     kind = "array<struct<token:string,start:int,end:int>>"
-    ends = F.transform(tokens, lambda x, i: F.aggregate(F.slice(tokens, 1, i), F.lit(0), lambda s, y: s + F.length(y)))
-    return F.zip_with(tokens, ends, lambda x, s: F.struct(x.alias("token"), s.alias("start"), (s + F.length(x)).alias("end"))).cast(kind)
+    return _let(tokens, lambda ts: F.zip_with(ts, _starts(F.transform(ts, lambda x: F.length(x))), lambda x, s: F.struct(x.alias("token"), s.alias("start"), (s + F.length(x)).alias("end"))).cast(kind))
 
 
 def encoded(ids: Column, length: int, pad: int = 0) -> tuple[Column, Column]:

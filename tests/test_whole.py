@@ -1,11 +1,15 @@
 """Queries over whole texts and tables, where the SQL beside them states a cut."""
 
+import hashlib
+import itertools
 import os
+import re
 
-import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from siltworks import catalog
+from siltworks.functions import code as C
 
 from .test_catalog import SF, duck, plain  # noqa: F401
 
@@ -53,3 +57,37 @@ def test_python_labels_over_documents(spark, tmp_path):
     got = {r["doc_id"]: r for r in catalog.python_labels(spark, str(tmp_path)).collect()}
     for k, want in enumerate(PYTHON.values()):
         assert [PYTHON_LABELS[x] for x in got[k]["labels"]] == want and got[k]["tokens"] == len(want) and got[k]["others"] == want.count("OTHER")
+
+
+def uniform(*parts):
+    return int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:8], 16) / 2**32
+
+
+def brute_mask(k, text, whole):
+    ids = [ord(c) + 5 if ord(c) < 128 else 0 for c in text]
+    words = [m.span() for m in re.finditer(r"[a-zA-Z_][a-zA-Z0-9_]*", text)]
+    drawn = [w for n, w in enumerate(words) if uniform(k, n, "w") < 0.15]
+    out = []
+    for i, tok in enumerate(ids):
+        hit = any(max(i, a) < min(i + 1, b) for a, b in drawn) if whole and words else tok > 4 and uniform(k, i, "a") < 0.15
+        b, r = uniform(k, i, "b"), uniform(k, i, "c")
+        new = tok if not hit or b >= 0.9 else 4 if b < 0.8 else int(r * 133)
+        out.append((k, i, new, tok if hit or (whole and words and not drawn) else -100))
+    return out
+
+
+def test_masks_and_spans_over_documents(spark, tmp_path):
+    texts = ["9abc int x_1 = é; " * 30, "\n12 -- é 3" * 20, "one", "", "é" * 50 + " word two", None] + [f"a{k} b" for k in range(6)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = lambda name: sorted(tuple(r) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect())
+    for name, whole in (("mask_mlm", False), ("mask_wwm", True)):
+        assert rows(name) == sorted(x for k, t in enumerate(texts) for x in brute_mask(k, t or "", whole))
+    assert rows("token_spans") == sorted((k, c, i, i + 1) for k, t in enumerate(texts) for i, c in enumerate(t or ""))
+
+
+def test_spans_of_long_texts(spark):
+    words = [f"w{k % 1500}" for k in range(70_000)]
+    ends = list(itertools.accumulate(map(len, words)))
+    got = spark.createDataFrame([(words,)], "w array<string>").select(C.spans(F.col("w")).alias("s")).first()["s"]
+    assert [tuple(x) for x in got] == [(w, e - len(w), e) for w, e in zip(words, ends)]
+    assert spark.createDataFrame([([],), (None,)], "w array<string>").select(C.spans(F.col("w"))).collect() == [([],), (None,)]
