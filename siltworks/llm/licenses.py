@@ -1,6 +1,7 @@
 """License scan: phrase places, and an exact set-similarity join of text blocks with license templates.
 
-A block is a line. Template tokens are ordered by how many documents of the whole
+A block is a line, or a run of as many words as the template has, wherever its lines
+break: a wrapped template is found too. Template tokens are ordered by how many documents of the whole
 corpus hold them, rarest first. A block can reach the containment threshold of a
 template (|block & template| >= c * |template|) only if it holds a token of the
 template's prefix (prefix filter), enough template tokens at all (length filter)
@@ -69,7 +70,7 @@ def _places(words: Column, phrase: list[str]) -> Column:
 
 
 def scan(spark: SparkSession, docs: DataFrame, templates: dict[str, str] | None = None, containment: tuple[int, int] = CONTAINMENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks): blocks lists the matched lines as (line, label, shared, size)."""
+    """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks): blocks lists the matched lines as (line, label, shared, size), and with a null line the best run of words per template."""
     templates = TEMPLATES if templates is None else templates
     num, den = containment
     base = docs.select(docs[id_col].alias("doc_id"), lowered(docs[text_col]).alias("t"))
@@ -94,13 +95,23 @@ def scan(spark: SparkSession, docs: DataFrame, templates: dict[str, str] | None
 
         return F.filter(F.array(*[one(x) for x in sorted(tokens)]), lambda m: m["shared"] >= F.ceil(F.lit(num) * m["size"] / F.lit(den)))
 
+    def run_match(label: str) -> Column:
+        """The best match of a template among the runs of as many words; such a run can start at a template token."""
+        t, o, long = tokens[label], need[label], len(templates[label].split())
+        starts = F.filter(F.transform("words", lambda w, i: F.when(F.array_contains(_strings(t), w), i)), lambda i: i.isNotNull())
+        best = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(_strings(t), F.slice("words", i + 1, F.lit(long))))))
+        # a run can match only in a document with enough of the template, one token of its prefix included
+        may = F.arrays_overlap("words", _strings(prefix[label])) & (F.size(F.array_intersect(_strings(t), F.col("words"))) >= o)
+        return F.when(may, F.filter(F.array(F.struct(F.lit(None).cast("int").alias("line"), F.lit(label).alias("label"), best.alias("shared"), F.lit(len(t)).alias("size"))), lambda m: m["shared"] >= o))
+
     rare = sorted({t for x in prefix.values() for t in x})
     lines = F.split("t", "\n")
     blocks = F.transform(lines, lambda x, i: F.struct(i.alias("line"), F.array_intersect(_strings(order), words_of(x)).alias("tokens")))
     some = F.filter(blocks, lambda b: F.arrays_overlap(b["tokens"], _strings(rare)))
     kind = "array<struct<line:int,label:string,shared:int,size:int>>"
     found = F.flatten(F.transform(some, lambda b: F.transform(matches(b["tokens"]), lambda m: F.struct(b["line"].alias("line"), m["label"].alias("label"), m["shared"].alias("shared"), m["size"].alias("size")))))
-    blocks_col = F.when(F.arrays_overlap("words", _strings(rare)), found).otherwise(F.array().cast(kind)).cast(kind) if rare else F.array().cast(kind)
+    runs = [F.coalesce(run_match(x), F.array().cast(kind)) for x in sorted(tokens) if tokens[x]]
+    blocks_col = F.when(F.arrays_overlap("words", _strings(rare)), F.concat(found.cast(kind), *runs)).otherwise(F.array().cast(kind)).cast(kind) if rare else F.array().cast(kind)
     df = words.select("doc_id", F.size("words").cast("long").alias("n_words"), *[_places(F.col("words"), p.split()).alias(f"p{k}") for k, p in enumerate(PHRASES)], blocks_col.alias("blocks"))
     starts = F.concat(*[F.col(f"p{k}") for k in range(len(PHRASES))])
     own = F.array_sort(F.array_compact(F.array(*[F.when(F.size(f"p{k}") > 0, F.lit(label)) for k, label in enumerate(PHRASES.values())])))

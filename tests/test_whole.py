@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from siltworks import catalog
 from siltworks.functions import code as C
+from siltworks.llm import licenses
 
 from .test_catalog import SF, duck, plain  # noqa: F401
 
@@ -91,3 +92,24 @@ def test_spans_of_long_texts(spark):
     got = spark.createDataFrame([(words,)], "w array<string>").select(C.spans(F.col("w")).alias("s")).first()["s"]
     assert [tuple(x) for x in got] == [(w, e - len(w), e) for w, e in zip(words, ends)]
     assert spark.createDataFrame([([],), (None,)], "w array<string>").select(C.spans(F.col("w"))).collect() == [([],), (None,)]
+
+
+WRAPPED = {
+    "mit-text": "/*\n * Permission is hereby granted, free of charge, to any person obtaining a copy\n * of this software and associated documentation files (the Software)\n */",
+    "bsd": "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions\n# are met:",
+    "mpl": "This Source Code Form is subject to the terms of the Mozilla\nPublic License, v. 2.0.",
+    "gpl": "This work is licensed under the GNU General\nPublic License version 3",
+}
+
+
+def test_licenses_wrapped_over_lines(spark):
+    texts = [*WRAPPED.values(), "permission is hereby granted free of charge\n" + "other words here\n" * 20 + "to any person obtaining a copy of this software and files", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.scan(spark, docs).collect()}
+    for k, label in enumerate(WRAPPED):
+        assert label in got[k]["labels"].split(",") and got[k]["score"] == 1
+    assert got[4]["labels"] == "" and got[5]["labels"] == ""
+    for r in docs.join(licenses.scan(spark, docs), "doc_id").collect():
+        w = re.findall(licenses.WORD, (r["text"] or "").lower())
+        runs = {label for label, y in licenses.TEMPLATES.items() for k in range(len(w)) if 5 * len(set(w[k : k + len(y.split())]) & set(y.split())) >= 4 * len(set(y.split()))}
+        assert {b["label"] for b in r["blocks"] if b["line"] is None} == runs
