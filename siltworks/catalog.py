@@ -329,7 +329,7 @@ CONV = "c AS (SELECT conv_id * 1000 + turn AS id, regexp_extract_all(substr(text
 
 def turns(spark, sf):
     c = table(spark, sf, "conversations").withColumn("b", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("b IS NOT NULL")
-    w = lambda x: F.regexp_extract_all(F.substring(x, 1, 2000), F.lit(r"[^ \n]+"), F.lit(0))
+    w = lambda x: F.regexp_extract_all(x, F.lit(r"[^ \n]+"), F.lit(0))
     return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("a"), "b", w("text").alias("p"), w("b").alias("r"))
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import os
 import re
 
@@ -113,3 +114,10 @@ def test_licenses_wrapped_over_lines(spark):
         w = re.findall(licenses.WORD, (r["text"] or "").lower())
         runs = {label for label, y in licenses.TEMPLATES.items() for k in range(len(w)) if 5 * len(set(w[k : k + len(y.split())]) & set(y.split())) >= 4 * len(set(y.split()))}
         assert {b["label"] for b in r["blocks"] if b["line"] is None} == runs
+
+
+def test_bleu_reads_whole_turns(spark, tmp_path):
+    a, b = "w " * 1500 + "x y z", "w " * 1500 + "p q r"
+    spark.createDataFrame([(1, 0, a), (1, 1, b)], "conv_id long, turn long, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    want = math.exp(sum(math.log((1501 - n) / (1504 - n)) for n in range(1, 5)) / 4)
+    assert [(r["id"], r["bleu"]) for r in catalog.bleu(spark, str(tmp_path)).collect()] == [(1001, pytest.approx(want, abs=1e-9))]
