@@ -375,14 +375,15 @@ def t_interval(spark, sf):
     return evaluate.interval(predictions(spark, sf), "quality", "score")
 
 
-DRAWS = 50
+#: DRAWS is what the SQL states; the query makes RESAMPLES, as the reference does.
+DRAWS, RESAMPLES = 50, 1000
 
 
 @query(f"WITH {PRED}, x AS (SELECT score, row_number() OVER (ORDER BY doc_id) - 1 AS k, count(*) OVER () AS n FROM m), d AS (SELECT r.range AS rep, floor(concat('0x', substr(md5(concat(r.range, ':', x.k)), 1, 8))::BIGINT / 4294967296.0 * x.n)::BIGINT AS pick FROM x, range({DRAWS}) r), b AS (SELECT rep, avg(x.score) AS v FROM d JOIN x ON x.k = d.pick GROUP BY rep) SELECT round(quantile_cont(v, 0.025), 9) AS lower, round(quantile_cont(v, 0.975), 9) AS upper FROM b")
 def bootstrap_ci(spark, sf):
     m = predictions(spark, sf)
     x = m.select("score", (F.row_number().over(Window.orderBy("doc_id")) - 1).alias("k"), F.count(F.lit(1)).over(Window.partitionBy()).alias("n"))
-    d = x.select("k", "n", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))).alias("rep")).select("rep", F.floor(C.uniform(F.col("rep"), F.col("k")) * F.col("n")).alias("pick"))
+    d = x.select("k", "n", F.explode(F.sequence(F.lit(0), F.lit(RESAMPLES - 1))).alias("rep")).select("rep", F.floor(C.uniform(F.col("rep"), F.col("k")) * F.col("n")).alias("pick"))
     b = d.join(x.select(F.col("k").alias("pick"), "score"), "pick").groupBy("rep").agg(F.avg("score").alias("v"))
     return b.agg(F.round(F.percentile("v", F.lit(0.025)), 9).alias("lower"), F.round(F.percentile("v", F.lit(0.975)), 9).alias("upper"))
 

@@ -6,6 +6,7 @@ import math
 import os
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,3 +122,12 @@ def test_bleu_reads_whole_turns(spark, tmp_path):
     spark.createDataFrame([(1, 0, a), (1, 1, b)], "conv_id long, turn long, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
     want = math.exp(sum(math.log((1501 - n) / (1504 - n)) for n in range(1, 5)) / 4)
     assert [(r["id"], r["bleu"]) for r in catalog.bleu(spark, str(tmp_path)).collect()] == [(1001, pytest.approx(want, abs=1e-9))]
+
+
+def test_bootstrap_makes_1000_draws(spark, tmp_path):
+    lengths = [17 * k % 400 * 10 for k in range(40)]
+    spark.createDataFrame([(k, "a" * n) for k, n in enumerate(lengths)], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(k, 1, 0) for k in range(40)], "doc_id long, quality int, toxic int").coalesce(1).write.parquet(str(tmp_path / "labels.parquet"))
+    means = [np.mean([lengths[int(uniform(d, k) * 40)] / 4000 for k in range(40)]) for d in range(1000)]
+    got = catalog.bootstrap_ci(spark, str(tmp_path)).first()
+    assert (got["lower"], got["upper"]) == tuple(pytest.approx(np.percentile(means, q), abs=1e-9) for q in (2.5, 97.5))
