@@ -38,7 +38,8 @@ class Rule:
 
 
 RULES = [Rule("block", "com", "/en/"), Rule("allow", "example.com", "/en/7"), Rule("block", "net", "/de/"), Rule("block", "example.net", "/de/8"), Rule("block", "org", "/es/")]
-ROUNDS, DAMPING, CUT_EVERY = 8, 0.85, 4
+#: Ranks are final when a round moves less than TOLERANCE in all. What is in motion shrinks by the damping each round, so ROUNDS is never reached before that.
+ROUNDS, DAMPING, CUT_EVERY, TOLERANCE = 200, 0.85, 8, 1e-10
 LINK = r"""(?i)(?:href|src)\s*=\s*["']?([a-z][a-z0-9+.-]*://[^"'\s>]+)"""
 
 
@@ -84,19 +85,24 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def personalised_rank(spark: SparkSession, edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """(host, rank): power iteration of PageRank that restarts at ``seeds`` (host, s; s sums to 1). Mass of hosts without edges is not handed on."""
+    """(host, rank): power iteration of PageRank that restarts at ``seeds`` (host, s; s sums to 1). Mass of hosts without edges is not handed on. Ends once ranks hold still."""
     out_w = edges.groupBy("src").agg(F.sum("w").alias("out"))
     shares = staged(spark, edges.join(out_w, "src").select("src", "dst", (F.col("w") / F.col("out")).alias("p")), "shares")
     restart = seeds.select(F.col("host"), ((1 - damping) * F.col("s")).alias("r"))
     rank, old = seeds.select("host", F.col("s").alias("rank")), None
     for k in range(rounds):
+        last = rank
         moved = shares.join(rank, shares["src"] == rank["host"]).select(shares["dst"].alias("host"), (damping * F.col("p") * F.col("rank")).alias("r"))
         rank = moved.unionByName(restart).groupBy("host").agg(F.sum("r").alias("rank"))
         if (k + 1) % CUT_EVERY == 0 or k + 1 == rounds:
-            rank = staged(spark, rank, "rank")
+            # the table of the round holds the ranks of the round before, too: their difference costs no second run
+            both = rank.select("host", "rank", F.lit(0.0).alias("was")).unionByName(last.select("host", F.lit(0.0).alias("rank"), F.col("rank").alias("was"))).groupBy("host").agg(F.sum("rank").alias("rank"), F.sum("was").alias("was"))
+            both = staged(spark, both, "rank")
             if old is not None:
                 discard(spark, old)
-            old = rank
+            rank, old = both.where("rank <> 0").select("host", "rank"), both
+            if (both.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0] or 0.0) < TOLERANCE:
+                break
     discard(spark, shares)
     return rank
 
@@ -110,10 +116,12 @@ def judge(spark: SparkSession, pages: DataFrame, rules: list[Rule] | None = None
     hosts = staged(spark, seen.where("host <> ''").groupBy("host").agg(F.count_if(F.col("by_rule") == "allow").alias("good"), F.count_if(F.col("by_rule") == "block").alias("bad")), "hosts")
     sums = hosts.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).first()
     edges = staged(spark, host_edges(pages), "edges")
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
-    seeds = lambda c, n: hosts.where(f"{c} > 0").select("host", (F.col(c) / F.lit(float(max(n or 0, 1)))).alias("s"))
-    trust = personalised_rank(spark, edges, seeds("good", sums["good"]))
-    distrust = personalised_rank(spark, back, seeds("bad", sums["bad"]))
+    # both ranks are found at once: hosts of the trust graph are marked "+", those of the distrust graph, with its edges turned round, "-"
+    mark = lambda m, c: F.concat(F.lit(m), F.col(c))
+    graph = edges.select(mark("+", "src").alias("src"), mark("+", "dst").alias("dst"), "w").unionByName(edges.select(mark("-", "dst").alias("src"), mark("-", "src").alias("dst"), "w"))
+    seeds = lambda m, c, n: hosts.where(f"{c} > 0").select(mark(m, "host").alias("host"), (F.col(c) / F.lit(float(max(n or 0, 1)))).alias("s"))
+    ranks = personalised_rank(spark, graph, seeds("+", "good", sums["good"]).unionByName(seeds("-", "bad", sums["bad"])))
+    trust, distrust = (ranks.where(F.startswith("host", F.lit(m))).select(F.substring("host", 2, 1 << 30).alias("host"), "rank") for m in "+-")
     by_host = hosts.select("host").join(trust.withColumnRenamed("rank", "trust"), "host", "left").join(distrust.withColumnRenamed("rank", "distrust"), "host", "left").na.fill(0.0)
     by_host = by_host.select(F.col("host").alias("h"), F.round("trust", 12).alias("trust"), F.round("distrust", 12).alias("distrust"))
     out = seen.join(by_host, seen["host"] == by_host["h"], "left")

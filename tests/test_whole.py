@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from siltworks import catalog
 from siltworks.functions import code as C
-from siltworks.llm import licenses
+from siltworks.llm import licenses, urlgraph
 
 from .test_catalog import SF, duck, plain  # noqa: F401
 
@@ -131,3 +131,12 @@ def test_bootstrap_makes_1000_draws(spark, tmp_path):
     means = [np.mean([lengths[int(uniform(d, k) * 40)] / 4000 for k in range(40)]) for d in range(1000)]
     got = catalog.bootstrap_ci(spark, str(tmp_path)).first()
     assert (got["lower"], got["upper"]) == tuple(pytest.approx(np.percentile(means, q), abs=1e-9) for q in (2.5, 97.5))
+
+
+def test_ranks_converge_on_a_long_chain(spark):
+    n = 12  # the last host of the chain is more than 8 links away from the blocked one
+    link = lambda k: f'<a href="http://h{k}.test/">'
+    rows = [(k, f"http://h{k}.test/", link(k + 1) if k < n - 1 else '<a href="http://bad.com/en/">') for k in range(n)] + [(n, "http://bad.com/en/", None), (n + 1, "http://x.example.com/en/7", None)]
+    got = {r["page_id"]: r for r in urlgraph.judge(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(n):
+        assert got[k]["verdict"] == "block" and got[k]["distrust"] == pytest.approx(0.15 * 0.85 ** (n - k), abs=1e-9) and got[k]["trust"] == 0
