@@ -87,6 +87,14 @@ def rank_encoder(ranks: str, pattern: str) -> Callable[[list[str]], list[list[in
 _ENCODERS: dict[tuple[str, str], Callable] = {}
 
 
+def cached_encoder(spec: tuple[str, str]) -> Callable[[list[str]], list[list[int]]]:
+    """A Python worker builds a vocabulary's encoder once and keeps it for its later tasks."""
+    if spec not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[spec] = rank_encoder(*spec)
+    return _ENCODERS[spec]
+
+
 def pack(spark: SparkSession, docs: DataFrame, ranks_path: str, pattern: str, pad: int, width: int = WIDTH, window: int = WINDOW) -> DataFrame:
     """A row for each packed row of ``width`` ids; rows are named by shard (the task), window and row."""
     with open(ranks_path, encoding="ascii") as f:
@@ -106,11 +114,7 @@ def pack(spark: SparkSession, docs: DataFrame, ranks_path: str, pattern: str, pa
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["shard", "window", "row", "n_tokens", "input_ids", "position_ids", "cu_seqlens", "doc_ids", "pieces"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = spec.value
-        if key not in _ENCODERS:
-            _ENCODERS.clear()
-            _ENCODERS[key] = rank_encoder(*key)
-        encode, shard = _ENCODERS[key], TaskContext.get().partitionId()
+        encode, shard = cached_encoder(spec.value), TaskContext.get().partitionId()
         held, tokens, no = [], 0, 0
         for b in batches:
             for at in range(0, b.num_rows, 64):
