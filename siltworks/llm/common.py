@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,24 +29,68 @@ def with_package(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``. Only where a session has none (tests on one machine) a local one is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "/tmp/siltworks-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    """The folder all executors share: ``spark.checkpoint.dir``. A session on one machine (tests) may do without: it gets a local one. Any other must name it, as it can't be set once the session runs."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return "/tmp/siltworks-checkpoints"
+
+
+#: The tables that this process has written and not deleted yet, by the scope they belong to, and the folder that holds them.
+_SCOPES: list[dict[str, SparkSession]] = [{}]
+_RUN = uuid.uuid4().hex
 
 
 def staged(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost executor costs a reread."""
-    path = f"{shared_dir(spark)}/siltworks/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/siltworks/{_RUN}/{name}-{uuid.uuid4().hex}"
+    _SCOPES[-1][path] = spark
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
     return out
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """The name of a new folder beside the staged tables, deleted with their scope."""
+    path = f"{shared_dir(spark)}/siltworks/{_RUN}/{name}-{uuid.uuid4().hex}"
+    _SCOPES[-1][path] = spark
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
 def discard(spark: SparkSession, df: DataFrame) -> None:
     """Delete a table that ``staged`` wrote and that nothing reads any more."""
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(df._staged_path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+    for scope in _SCOPES:
+        scope.pop(df._staged_path, None)
+    delete(spark, df._staged_path)
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes at its end what operators staged meanwhile, but for the tables given to ``keep``: a lazy result must be written before."""
+    _SCOPES.append({})
+
+    def keep(df: DataFrame) -> DataFrame:
+        _SCOPES[-2][df._staged_path] = _SCOPES[-1].pop(df._staged_path)
+        return df
+
+    try:
+        yield keep
+    finally:
+        for path, spark in _SCOPES.pop().items():
+            delete(spark, path)
+
+
+@atexit.register
+def _clean() -> None:
+    """What results of this process still read is deleted with the process."""
+    for scope in _SCOPES:
+        for path, spark in scope.items():
+            with contextlib.suppress(Exception):  # the session may have ended
+                delete(spark, os.path.dirname(path))
