@@ -3,14 +3,16 @@
 Hashed byte n-grams of the whole text give a unit vector. A linear SVM for each
 family picks the language family; inside it, one-versus-one linear SVMs vote
 between the closely related languages. All are trained here, on the driver, with a
-squared hinge loss on a bounded sample of labelled documents (SAMPLE_DOCS in all,
-picked by a hash of the id) and on shorter cuts of those same documents, so that short
-texts are known too. The model has a few MB whatever the corpus.
+squared hinge loss on a bounded sample of labelled documents (SAMPLE_DOCS in all, the
+same number of each of the MAX_LANGUAGES most frequent languages: those with the
+smallest hashes, the same ones at any partitioning) and on shorter cuts of those same
+documents, so that short texts are known too. The model has a few MB whatever the corpus.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; without
 labelled documents everything is ``und``; a language that FAMILIES doesn't name is a
 family of its own; repeated rows get repeated results; texts of any length are read
-whole; further columns are ignored.
+whole; an empty table gives no rows; ``predict`` carries the input's columns in one
+struct, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,12 +24,13 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import with_package
 
-SAMPLE_DOCS, BUCKETS, ROUNDS, PENALTY = 800, 4096, 120, 1e-4
+SAMPLE_DOCS, MAX_LANGUAGES, BUCKETS, ROUNDS, PENALTY = 800, 200, 4096, 120, 1e-4
 FAMILIES = {
     "germanic": ("da", "de", "en", "is", "nl", "no", "sv"),
     "romance": ("ca", "es", "fr", "gl", "it", "pt", "ro"),
@@ -129,14 +132,18 @@ def held_out():
 
 
 def train(spark: SparkSession, docs: DataFrame, sample: int = SAMPLE_DOCS) -> Model | None:
-    """Learn from text and lang of documents that are not held out: about ``sample`` documents, as many of each language."""
+    """Learn from text and lang of documents that are not held out: at most ``sample`` distinct ones, as many of each language."""
     with_package(spark)
     rows = docs.select("doc_id", "text", "lang").where("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL").where(~held_out())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
     if not counts:
         return None
-    share = F.create_map(*[F.lit(v) for k, n in sorted(counts.items()) for v in (k, min(1.0, 1.1 * sample / len(counts) / n))])
-    few = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < 1_000_000 * share[F.col("lang")])
+    each = max(1, sample // len(counts))
+    # hashes below a language's bound are a few more than wanted, however many rows it has; the smallest are taken
+    most = (1 << 63) - 1
+    bound = F.create_map(*[F.lit(v) for k, n in sorted(counts.items()) for v in (k, min(most, int((each + 10 * each**0.5 + 20) / n * most)))])
+    some = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1)).where(F.col("h") <= bound[F.col("lang")]).dropDuplicates(["lang", "h"])
+    few = some.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= each)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -148,23 +155,22 @@ def train(spark: SparkSession, docs: DataFrame, sample: int = SAMPLE_DOCS) -> Mo
                     xs.append(vector(piece).astype(np.float16).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(xs, pa.binary())], ["doc_id", "lang", "x"])
 
-    got = few.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), "lang").mapInArrow(vectors, "doc_id long, lang string, x binary").limit(2 * 4 * sample).collect()
+    got = few.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), "lang").mapInArrow(vectors, "doc_id long, lang string, x binary").collect()  # four cuts of at most ``sample`` documents
     got.sort(key=lambda r: (r["doc_id"], r["x"]))
     if not got:
         return None
     return fit(np.stack([np.frombuffer(r["x"], np.float16) for r in got]).astype(np.float32), [r["lang"] for r in got])
 
 
-def predict(spark: SparkSession, docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs with _lang_pred and _score. No shuffle; the columns pass through the worker as they are."""
+def predict(spark: SparkSession, docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """(row, lang_pred, score): row is a struct of the input's columns. No shuffle; the columns pass through the worker as they are."""
     with_package(spark)
     held = spark.sparkContext.broadcast(model)
-    if "_text" in docs.columns:
-        raise ValueError("_text is a reserved column name")
+    n = len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t or "" for t in b.column(b.num_columns - 1).to_pylist()]
+            texts = [t or "" for t in b.column(n).to_pylist()]
             names, score = ["und"] * len(texts), np.zeros(len(texts))
             some = [k for k, t in enumerate(texts) if LETTER.search(t)]
             for at in range(0, len(some), 256):
@@ -173,16 +179,15 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model | None) -> DataFr
                     x = np.stack([vector(texts[k].encode()) for k in part])
                     for k, name, s in zip(part, *held.value.predict(x), strict=True):
                         names[k], score[k] = name, s
-            cols = [b.column(k) for k in range(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(names, pa.string()), pa.array(score, pa.float64())], [*b.schema.names[:-1], "_lang_pred", "_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(names, pa.string()), pa.array(score, pa.float64())], [*b.schema.names[:n], "lang_pred", "score"])
 
-    from pyspark.sql import types as T
-
-    out = T.StructType([*docs.schema.fields, T.StructField("_lang_pred", T.StringType()), T.StructField("_score", T.DoubleType())])
-    return docs.withColumn("_text", F.col("text").cast("string")).mapInArrow(run, out)
+    fields = [T.StructField(f"c{k}", f.dataType) for k, f in enumerate(docs.schema)]  # by place: no name can clash
+    out = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    found = docs.select(*[docs[c].alias(f.name) for c, f in zip(docs.columns, fields, strict=True)], docs[text_col].cast("string").alias(f"c{n}")).mapInArrow(run, out)
+    return found.select(F.struct(*[F.col(f.name).alias(c) for c, f in zip(docs.columns, fields, strict=True)]).alias("row"), "lang_pred", "score")
 
 
 def language_report(spark: SparkSession, docs: DataFrame) -> DataFrame:
     model = train(spark, docs)
     out = predict(spark, docs.select("doc_id", "text"), model)
-    return out.select("doc_id", held_out().alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"))
+    return out.select("row.doc_id", "lang_pred", "score").select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
