@@ -2,14 +2,18 @@
 
 Sequential covering on labelled statistics: each rule grows by the threshold that
 gains most (FOIL gain) on two thirds of the rows it has not covered, is pruned from its
-end on the other third, and joins the list while it stays precise there. The list
+end on the other third, and joins the list while it stays precise there. Thresholds
+lie half-way between neighbouring values that tell the classes apart, so a statistic
+that is 0 for nearly all rows is not cut at 0. The list
 is emitted as one ordered CASE expression, evaluated in the scan; statistics,
-learning input and verdicts use DataFrame functions only.
+learning input and verdicts use DataFrame functions only. Learning is bounded by
+SAMPLE_ROWS labelled documents: those with the smallest hashes of their id.
 
 Defined results: null or empty text has no words and fails the base rule; rows
 without a usable label teach nothing; with no labels at all the list is empty and
-the base rule alone decides; repeated rows get repeated verdicts; texts of any
-length are read whole; further columns are carried under their own names.
+the base rule alone decides; repeated rows get repeated verdicts and teach once; texts of any
+length are read whole; an empty table gives no rows; the input's columns are carried in one
+struct, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,22 +24,22 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that the list is learned from at most (on average over the hash that picks them).
+#: Rows that the list is learned from at most.
 SAMPLE_ROWS = 20_000
-#: Thresholds tried for a statistic, rules in a list, conditions in a rule, and the least precision of a rule on pruning rows.
-CUTS, MAX_RULES, MAX_CONDITIONS, MIN_PRECISION = 32, 8, 4, 0.8
+#: Rules in a list, conditions in a rule, and the least precision of a rule on pruning rows.
+MAX_RULES, MAX_CONDITIONS, MIN_PRECISION = 8, 4, 0.9
 #: Rows that a rule covers at least, of growing and of pruning rows.
 MIN_COVER = 5
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 FEATURES = {
-    "n_words": "_n_words",
-    "mean_word_chars": "_word_chars / greatest(_n_words, 1)",
-    "symbol_share": "_n_symbols / greatest(_word_chars, 1)",
-    "symbols_per_word": "_n_symbols / greatest(_n_words, 1)",
-    "dup_line_share": "_n_dup_lines / greatest(_n_word_lines, 1)",
-    "repeat_share": "_n_repeat_words / greatest(_n_words, 1)",
+    "n_words": "n_words",
+    "mean_word_chars": "word_chars / greatest(n_words, 1)",
+    "symbol_share": "n_symbols / greatest(word_chars, 1)",
+    "symbols_per_word": "n_symbols / greatest(n_words, 1)",
+    "dup_line_share": "n_dup_lines / greatest(n_word_lines, 1)",
+    "repeat_share": "n_repeat_words / greatest(n_words, 1)",
 }
 
 
@@ -62,7 +66,7 @@ def _repeat_words(keys: Column) -> Column:
 
 
 def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with _n_words, _word_chars, _n_symbols, _n_dup_lines, _n_repeat_words, _n_word_lines (all long). They are columns, not fields of a struct: the optimizer would copy a struct's inputs to each place that reads a field."""
+    """row (a struct of the input's columns) with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_word_lines (all long). They are columns, not fields of a struct: the optimizer would copy a struct's inputs to each place that reads a field."""
     own = docs.columns
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     strip = lambda t, chars: F.translate(t, chars, "")
@@ -75,12 +79,11 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.when(F.col("n_words") >= 3, F.transform(F.slice("hashes", 1, F.greatest(F.size("hashes") - 2, F.lit(0))), lambda h, i: F.xxhash64(h, F.get(F.col("hashes"), i + 1), F.get(F.col("hashes"), i + 2)))).otherwise(F.array().cast("array<bigint>")).alias("keys"),
     )
     repeats = F.when(F.size(F.array_distinct("keys")) == F.size("keys"), F.lit(0).cast("long")).otherwise(_repeat_words(F.col("keys")))
-    df = df.select("row", *[_fixed(F.col(c).cast("long")).alias("_" + c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_word_lines")], _fixed(repeats).alias("_n_repeat_words"))
-    return df.select("row.*", *[c for c in df.columns if c != "row"])
+    return df.select("row", *[_fixed(F.col(c).cast("long")).alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_word_lines")], _fixed(repeats).alias("n_repeat_words"))
 
 
 def base_failed() -> Column:
-    return (F.col("_n_words") < 50) | (100 * F.col("_n_repeat_words") > 50 * F.col("_n_words"))
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
 @dataclass(frozen=True)
@@ -100,23 +103,37 @@ def _all(rule: tuple[Condition, ...], x: dict[str, np.ndarray], n: int) -> np.nd
     return out
 
 
+def best_cut(feature: str, values: np.ndarray, bad: np.ndarray) -> tuple[float, Condition | None]:
+    """The threshold with the largest FOIL gain among the middles between all neighbouring values, and its gain."""
+    order = np.argsort(values, kind="stable")
+    v, b = values[order], bad[order]
+    p_low, n_low = np.cumsum(b)[:-1], np.cumsum(~b)[:-1]
+    p0, n0 = int(b.sum()), int((~b).sum())
+    at = v[1:] > v[:-1]
+    best, pick = 0.0, None
+    for above in (True, False):
+        p, q = (p0 - p_low, n0 - n_low) if above else (p_low, n_low)
+        fits = at & (p >= MIN_COVER)
+        if not fits.any():
+            continue
+        gain = np.where(fits, p * (np.log2(np.maximum(p, 1) / np.maximum(p + q, 1)) - np.log2(p0 / (p0 + n0))), -1.0)
+        k = int(gain.argmax())
+        if gain[k] > best + 1e-9:
+            best, pick = float(gain[k]), Condition(feature, above, float((v[k] + v[k + 1]) / 2))
+    return best, pick
+
+
 def learn(x: dict[str, np.ndarray], bad: np.ndarray, prune: np.ndarray) -> list[tuple[Condition, ...]]:
     """Rules for the rows that ``bad`` marks; ``prune`` marks the rows held back for pruning."""
     n, left, rules = len(bad), np.ones(len(bad), dtype=bool), []
-    cuts = {f: np.unique(np.quantile(v, np.linspace(0, 1, CUTS + 1))) if n else [] for f, v in x.items()}
     while len(rules) < MAX_RULES and (bad & left & ~prune).sum() >= MIN_COVER:
         inside, rule = left & ~prune, ()
         while len(rule) < MAX_CONDITIONS and (~bad & inside).any():
-            p0, n0 = (bad & inside).sum(), (~bad & inside).sum()
             best, pick = 0.0, None
             for f in sorted(x):
-                for cut in cuts[f]:
-                    for above in (True, False):
-                        c = Condition(f, above, float(cut))
-                        got = inside & c.holds(x)
-                        p, q = (bad & got).sum(), (~bad & got).sum()
-                        if p >= MIN_COVER and (gain := p * (np.log2(p / (p + q)) - np.log2(p0 / (p0 + n0)))) > best + 1e-9:
-                            best, pick = gain, c
+                gain, c = best_cut(f, x[f][inside], bad[inside])
+                if gain > best + 1e-9:
+                    best, pick = gain, c
             if pick is None:
                 break
             rule, inside = (*rule, pick), inside & pick.holds(x)
@@ -137,15 +154,17 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, prune: np.ndarray) -> list[
 
 
 def labelled_sample(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> list:
-    """Statistics and label of about ``rows`` labelled documents at most, picked by a hash of the id."""
+    """Statistics and label of the ``rows`` labelled documents with the smallest hashes of their id, or of all if there are fewer. Of rows that share an id one is taken."""
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    total = usable.count()
-    share = min(1.0, rows / max(total, 1))
-    few = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    total, most = usable.count(), (1 << 63) - 1
+    # hashes below the bound are a few more than wanted, however many labels there are
+    bound = min(most, int((rows + 10 * rows**0.5 + 20) / max(total, 1) * most))
+    few = usable.withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id"), 1)).where(F.col("h") <= bound).orderBy("h", "doc_id").limit(rows).drop("h")
     # ``rows`` bounds the broadcast side
-    picked = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
-    s = statistics(picked).withColumn("failed", base_failed()).where(~F.col("failed"))
-    return s.selectExpr("doc_id", "quality = 0 AS bad", "pmod(xxhash64(doc_id, 'prune'), 3) = 0 AS prune", *[f"cast({e} AS double) AS f_{f}" for f, e in FEATURES.items()]).limit(2 * rows).collect()
+    picked = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text")).join(F.broadcast(few), "doc_id")
+    s = statistics(picked).select("row.doc_id", "row.quality", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_word_lines", "n_repeat_words")
+    s = s.groupBy("doc_id").agg(F.min(F.struct(*[c for c in s.columns if c != "doc_id"])).alias("s")).select("doc_id", "s.*").where(~base_failed())
+    return s.selectExpr("doc_id", "quality = 0 AS bad", "pmod(xxhash64(doc_id, 'prune'), 3) = 0 AS prune", *[f"cast({e} AS double) AS f_{f}" for f, e in FEATURES.items()]).collect()
 
 
 def learn_list(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> list[tuple[Condition, ...]]:
@@ -168,12 +187,27 @@ def as_case(rules: list[tuple[Condition, ...]]) -> Column:
 
 
 def judged(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs with their statistics, _base_failed, _rule and _kept."""
+    """row (a struct of the input's columns) with its statistics, base_failed, rule and kept."""
     rules = learn_list(spark, docs, labels)
-    out = statistics(docs).withColumn("_base_failed", base_failed())
-    return out.withColumn("_rule", F.when(F.col("_base_failed"), F.lit(0)).otherwise(as_case(rules))).withColumn("_kept", ~F.col("_base_failed") & (F.col("_rule") == 0))
+    out = statistics(docs).withColumn("base_failed", base_failed())
+    return out.withColumn("rule", F.when(F.col("base_failed"), F.lit(0)).otherwise(as_case(rules))).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
+
+
+STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def quality_report(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     out = judged(spark, docs.select("doc_id", "text"), labels)
-    return out.select("doc_id", *[F.col("_" + c).alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"), F.col("_rule").alias("rule"))
+    return out.select("row.doc_id", *STATISTICS, "base_failed", "kept", "rule")
+
+
+#: The statistics by themselves.
+ORACLE_STATISTICS = r"""
+WITH d AS (SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT row_no, unnest(range(0, len(w) - 2)) AS i, unnest(list_transform(range(0, len(w) - 2), lambda k: list_slice(w, k + 1, k + 3))) AS gram FROM d WHERE len(w) >= 3),
+r AS (SELECT row_no, i FROM (SELECT *, count(*) OVER (PARTITION BY row_no, gram) AS c FROM g) WHERE c > 1),
+n AS (SELECT row_no, count(*) AS n FROM (SELECT DISTINCT row_no, unnest([i, i + 1, i + 2]) AS at FROM r) GROUP BY row_no),
+s AS (SELECT row_no, doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d)
+SELECT doc_id, n_words, word_chars, n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n.n, 0) AS n_repeat_words, n_words < 50 OR 100 * coalesce(n.n, 0) > 50 * n_words AS base_failed
+FROM s LEFT JOIN n USING (row_no)"""
