@@ -3,12 +3,17 @@
 Hosts are joined by edges: links of a page to other hosts, and each host with the
 parent domains it lies under. Personalised PageRank starts from hosts with
 allowed pages and follows the edges; distrust starts from hosts with blocked pages
-and follows them backwards. A host whose share of distrust exceeds its share of
-trust is blocked, any other allowed. DataFrame functions only.
+and follows them backwards. A seed counts by the share of its host's pages that rules allow or
+block, not by their number. Both ranks are put in relation to what the host gets when the
+walk restarts at any host alike (its lift): 1 is what a host without any leaning has, however
+central it is. A host is blocked if its distrust has a lift of BLOCK_LIFT or more and
+a larger one than its trust; any other is allowed. DataFrame functions only.
 
 The graph has as many rows as there are distinct host pairs; page rows are
 aggregated before the first shuffle, so a host with a third of all pages is one row
-per task. Ranks are cut from their lineage by a written table every few rounds.
+per task. Ranks are cut from their lineage by a written table every few rounds, and final
+when less than TOLERANCE of all mass is in motion: what is left to come is less than
+TOLERANCE / (1 - DAMPING).
 
 Defined results: a null url or one without ``://`` has empty host and path, no
 rule and the verdict allow; empty tables give no rows; repeated rows are judged
@@ -39,8 +44,11 @@ class Rule:
 
 RULES = [Rule("block", "com", "/en/"), Rule("allow", "example.com", "/en/7"), Rule("block", "net", "/de/"), Rule("block", "example.net", "/de/8"), Rule("block", "org", "/es/")]
 #: Ranks are final when a round moves less than TOLERANCE in all. What is in motion shrinks by the damping each round, so ROUNDS is never reached before that.
-ROUNDS, DAMPING, CUT_EVERY, TOLERANCE = 200, 0.85, 8, 1e-10
-LINK = r"""(?i)(?:href|src)\s*=\s*["']?([a-z][a-z0-9+.-]*://[^"'\s>]+)"""
+ROUNDS, DAMPING, CUT_EVERY, TOLERANCE = 200, 0.85, 6, 1e-6
+#: Distrust, as a multiple of what a host gets from a walk without leaning, from which on it is blocked.
+BLOCK_LIFT = 2.0
+#: The host of an absolute link, or of one that leaves out the scheme.
+LINK = r"""(?i)(?:href|src)\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 
 
 def _lower(c: Column) -> Column:
@@ -76,7 +84,7 @@ def parents(host: Column) -> Column:
 
 def host_edges(pages: DataFrame) -> DataFrame:
     """(src, dst, w): pages that link from host to host, and one edge each way between a host and its parents."""
-    p = pages.select(host_of(F.col("url")).alias("src"), F.array_distinct(F.transform(F.regexp_extract_all("html", F.lit(LINK), F.lit(1)), host_of)).alias("to")).where("src <> ''")
+    p = pages.select(host_of(F.col("url")).alias("src"), F.array_distinct(F.transform(F.regexp_extract_all("html", F.lit(LINK), F.lit(1)), _lower)).alias("to")).where("src <> ''")
     linked = p.select("src", F.explode("to").alias("dst")).where("dst <> '' AND dst <> src").groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("w"))
     hosts = p.select("src").distinct()
     up = hosts.select("src", F.explode(parents(F.col("src"))).alias("dst"))
@@ -85,45 +93,66 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def personalised_rank(spark: SparkSession, edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """(host, rank): power iteration of PageRank that restarts at ``seeds`` (host, s; s sums to 1). Mass of hosts without edges is not handed on. Ends once ranks hold still."""
+    """(host, rank, base): power iteration of two PageRanks at once, that restart at ``seeds`` (host, s, u: one row a host; s and u each sum to a constant): rank by s, base by u. Mass of hosts without edges is not handed on. Ends once ranks hold still."""
     out_w = edges.groupBy("src").agg(F.sum("w").alias("out"))
     shares = staged(spark, edges.join(out_w, "src").select("src", "dst", (F.col("w") / F.col("out")).alias("p")), "shares")
-    restart = seeds.select(F.col("host"), ((1 - damping) * F.col("s")).alias("r"))
-    rank, old = seeds.select("host", F.col("s").alias("rank")), None
+    both = lambda d, *c: d.groupBy("host").agg(*[F.sum(x).alias(x) for x in c])
+    restart = seeds.select("host", ((1 - damping) * F.col("s")).alias("rank"), ((1 - damping) * F.col("u")).alias("base"))
+    rank, old = seeds.select("host", F.col("s").alias("rank"), F.col("u").alias("base")), None
     for k in range(rounds):
         last = rank
-        moved = shares.join(rank, shares["src"] == rank["host"]).select(shares["dst"].alias("host"), (damping * F.col("p") * F.col("rank")).alias("r"))
-        rank = moved.unionByName(restart).groupBy("host").agg(F.sum("r").alias("rank"))
+        moved = shares.join(rank, shares["src"] == rank["host"]).select(shares["dst"].alias("host"), (damping * F.col("p") * F.col("rank")).alias("rank"), (damping * F.col("p") * F.col("base")).alias("base"))
+        rank = both(moved.unionByName(restart), "rank", "base")
         if (k + 1) % CUT_EVERY == 0 or k + 1 == rounds:
             # the table of the round holds the ranks of the round before, too: their difference costs no second run
-            both = rank.select("host", "rank", F.lit(0.0).alias("was")).unionByName(last.select("host", F.lit(0.0).alias("rank"), F.col("rank").alias("was"))).groupBy("host").agg(F.sum("rank").alias("rank"), F.sum("was").alias("was"))
-            both = staged(spark, both, "rank")
+            zero = F.lit(0.0)
+            pair = rank.select("host", "rank", "base", zero.alias("was"), zero.alias("base_was")).unionByName(last.select("host", zero.alias("rank"), zero.alias("base"), F.col("rank").alias("was"), F.col("base").alias("base_was")))
+            table = staged(spark, both(pair, "rank", "base", "was", "base_was"), "rank")
             if old is not None:
                 discard(spark, old)
-            rank, old = both.where("rank <> 0").select("host", "rank"), both
-            if (both.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0] or 0.0) < TOLERANCE:
+            rank, old = table.select("host", "rank", "base"), table
+            if (table.agg(F.sum(F.abs(F.col("rank") - F.col("was")) + F.abs(F.col("base") - F.col("base_was")))).first()[0] or 0.0) < TOLERANCE:
                 break
     discard(spark, shares)
     return rank
 
 
-def judge(spark: SparkSession, pages: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
-    """(page_id, host, path, rule, verdict, trust, distrust)."""
+def judge(spark: SparkSession, pages: DataFrame, rules: list[Rule] | None = None, block_lift: float = BLOCK_LIFT) -> DataFrame:
+    """(page_id, host, path, rule, verdict, trust, distrust, trust_lift, distrust_lift)."""
     rules = RULES if rules is None else rules
     allow = [r.text for r in rules if r.verdict == "allow"]
-    seen = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    seen = seen.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("by_rule", F.when(F.col("rule").isin(allow), F.lit("allow")).when(F.col("rule").isNotNull(), F.lit("block")))
-    hosts = staged(spark, seen.where("host <> ''").groupBy("host").agg(F.count_if(F.col("by_rule") == "allow").alias("good"), F.count_if(F.col("by_rule") == "block").alias("bad")), "hosts")
-    sums = hosts.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).first()
+    seen = ruled(pages, rules)
+    seen = seen.withColumn("by_rule", F.when(F.col("rule").isin(allow), F.lit("allow")).when(F.col("rule").isNotNull(), F.lit("block")))
+    share = lambda v: (F.count_if(F.coalesce(F.col("by_rule") == v, F.lit(False))) / F.count(F.lit(1))).alias(v)
+    hosts = staged(spark, seen.where("host <> ''").groupBy("host").agg(share("allow"), share("block")), "hosts")
     edges = staged(spark, host_edges(pages), "edges")
+    nodes = hosts.unionByName(edges.select(F.explode(F.array("src", "dst")).alias("host"), F.lit(0.0).alias("allow"), F.lit(0.0).alias("block"))).groupBy("host").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block"))
+    nodes = staged(spark, nodes, "nodes")
+    sums = nodes.agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("allow").alias("allow"), F.sum("block").alias("block")).first()
     # both ranks are found at once: hosts of the trust graph are marked "+", those of the distrust graph, with its edges turned round, "-"
     mark = lambda m, c: F.concat(F.lit(m), F.col(c))
     graph = edges.select(mark("+", "src").alias("src"), mark("+", "dst").alias("dst"), "w").unionByName(edges.select(mark("-", "dst").alias("src"), mark("-", "src").alias("dst"), "w"))
-    seeds = lambda m, c, n: hosts.where(f"{c} > 0").select(mark(m, "host").alias("host"), (F.col(c) / F.lit(float(max(n or 0, 1)))).alias("s"))
-    ranks = personalised_rank(spark, graph, seeds("+", "good", sums["good"]).unionByName(seeds("-", "bad", sums["bad"])))
-    trust, distrust = (ranks.where(F.startswith("host", F.lit(m))).select(F.substring("host", 2, 1 << 30).alias("host"), "rank") for m in "+-")
-    by_host = hosts.select("host").join(trust.withColumnRenamed("rank", "trust"), "host", "left").join(distrust.withColumnRenamed("rank", "distrust"), "host", "left").na.fill(0.0)
-    by_host = by_host.select(F.col("host").alias("h"), F.round("trust", 12).alias("trust"), F.round("distrust", 12).alias("distrust"))
+    seeds = lambda m, c: nodes.select(mark(m, "host").alias("host"), (F.col(c) / F.lit(sums[c] or 1.0)).alias("s"), F.lit(1 / (sums["n"] or 1.0)).alias("u"))
+    ranks = personalised_rank(spark, graph, seeds("+", "allow").unionByName(seeds("-", "block")))
+    of = lambda m: ranks.where(F.startswith("host", F.lit(m))).select(F.substring("host", 2, 1 << 30).alias("h"), F.round("rank", 12).alias("rank"), F.round(F.col("rank") / F.col("base"), 6).alias("lift"))
+    by_host = of("+").select("h", F.col("rank").alias("trust"), F.col("lift").alias("trust_lift")).join(of("-").select("h", F.col("rank").alias("distrust"), F.col("lift").alias("distrust_lift")), "h")
     out = seen.join(by_host, seen["host"] == by_host["h"], "left")
-    verdict = F.coalesce("by_rule", F.when(F.col("distrust") > F.col("trust"), F.lit("block")).otherwise(F.lit("allow")))
-    return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
+    blocked = (F.col("distrust_lift") >= block_lift) & (F.col("distrust_lift") > F.col("trust_lift"))
+    verdict = F.coalesce("by_rule", F.when(blocked, F.lit("block")).otherwise(F.lit("allow")))
+    return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("trust", "distrust", "trust_lift", "distrust_lift")])
+
+
+def ruled(pages: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
+    """(page_id, host, path, rule): the longest rule that fits each url, or null."""
+    seen = pages.select(pages["page_id"].alias("page_id"), host_of(pages["url"]).alias("host"), path_of(pages["url"]).alias("path"))
+    seen = seen.select("page_id", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"))
+    return seen.withColumn("rule", rule_of(F.col("host"), F.col("path"), RULES if rules is None else rules))
+
+
+#: What the rules say, by themselves.
+ORACLE_RULES = r"""
+WITH p AS (SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+r AS (SELECT * FROM (VALUES ('com', '/en/'), ('example.com', '/en/7'), ('net', '/de/'), ('example.net', '/de/8'), ('org', '/es/')) AS t(rh, rp)),
+f AS (SELECT page_id, max_by(rh || rp, length(rh || rp)) AS rule FROM h JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id)
+SELECT h.page_id, host, path, rule FROM h LEFT JOIN f ON h.page_id = f.page_id"""
