@@ -354,11 +354,11 @@ def tiled(rows: DataFrame, key: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row; ids are integers."""
+    """(doc_id, n_shingles, component_id, text_hash) of every row; ids are integers. text_hash, Spark's xxhash64 of the text, tells rows of one id apart."""
     with_package(spark)
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(docs[text_col].cast("string")).alias("h"), docs[text_col].cast("string").cast("binary").alias("text"))
     both = staged(spark, texts.mapInArrow(_summaries, "doc_id long, h long, n long, cls binary, bits binary, piece int, counts binary"), "sets")
-    rows = both.where("piece IS NULL").select("doc_id", "n", "cls")
+    rows = both.where("piece IS NULL").select("doc_id", "n", "cls", F.col("h").alias("text_hash"))
     pieces = both.where("piece IS NOT NULL").select("piece", "counts").groupBy("piece").applyInArrow(_sum_pieces, "piece int, counts binary").collect()  # PIECES rows, 8 * COUNTERS bytes
     counts = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in sorted(pieces, key=lambda r: r["piece"])]) if pieces else np.zeros(COUNTERS, np.int64)
     mean = counts.sum() / COUNTERS
@@ -448,5 +448,5 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     ids = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     by_class = named.join(ids, "label").select(F.col("cls").alias("c"), "component_id")
     some = rows.where("cls IS NOT NULL")
-    out = some.join(by_class, some["cls"] == by_class["c"], "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return out.unionByName(rows.where("cls IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    out = some.join(by_class, some["cls"] == by_class["c"], "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "text_hash")
+    return out.unionByName(rows.where("cls IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "text_hash"))

@@ -39,8 +39,7 @@ def op7_token_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return lengthpack.pack(spark, docs, lengthpack.byte_tokens(docs["text"]))
+    return lengthpack.pack_documents(spark, table(spark, sf_dir, "documents"))
 
 
 def op9_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,10 +47,28 @@ def op9_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.near_duplicates(spark, table(spark, sf_dir, "documents"))
+    return jaccard.near_duplicates(spark, table(spark, sf_dir, "documents")).drop("text_hash")
+
+
+def quality_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op 3 states about a text before anything is learned."""
+    return rules.statistics(table(spark, sf_dir, "documents").select("doc_id", "text")).select("row.doc_id", *rules.STATISTICS, rules.base_failed().alias("base_failed"))
+
+
+def license_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrases of op 4, without templates."""
+    return licenses.scan(spark, table(spark, sf_dir, "documents"), {}).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules of op 6, without the graph."""
+    return urlgraph.ruled(table(spark, sf_dir, "pages"))
 
 
 QUERIES = {
+    "quality_statistics": quality_statistics,
+    "license_places": license_places,
+    "url_rules": url_rules,
     "op1_bpe": op1_bpe,
     "op2_langid": op2_langid,
     "op3_quality_rules": op3_quality_rules,
@@ -64,4 +81,11 @@ QUERIES = {
     "op10_jaccard": op10_jaccard,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_line_runs": linededup.ORACLE, "op9_content_sort": contentsort.ORACLE}
+#: Ops 3, 4 and 6 go on with what is learned or spreads over a graph; SQL states what they start from.
+ORACLE_SQL: dict[str, str] = {
+    "op5_line_runs": linededup.ORACLE,
+    "op9_content_sort": contentsort.ORACLE,
+    "quality_statistics": rules.ORACLE_STATISTICS,
+    "license_places": licenses.ORACLE_PLACES,
+    "url_rules": urlgraph.ORACLE_RULES,
+}
