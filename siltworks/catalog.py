@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import code as C
 from .functions import text as T
-from .operators import corpus, evaluate, monitor
+from .operators import corpus, evaluate, monitor, validate
 from .plans import code_corpus
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -202,9 +202,27 @@ def keychar_tokens(spark, sf):
     return d.select("doc_id", F.size("t").cast("long").alias("n"), F.md5(F.array_join("t", "\x01").cast("binary")).alias("tokens_md5"))
 
 
-@query("SELECT c_custkey, unnest(string_split(c_name, '')) AS token, generate_subscripts(string_split(c_name, ''), 1) - 1 AS s, generate_subscripts(string_split(c_name, ''), 1) AS e FROM customer")
+@query(f"SELECT doc_id, unnest(t) AS token, generate_subscripts(t, 1) - 1 AS s, generate_subscripts(t, 1) AS e FROM (SELECT doc_id, {DUCK_CHARS('text')} AS t FROM documents)")
 def token_spans(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.explode(C.spans(C.char_tokens(F.col("text")))).alias("x")).select("doc_id", "x.token", F.col("x.start").cast("long").alias("s"), F.col("x.end").cast("long").alias("e"))
+    """A character token spans one place: its number is its start, and no earlier length needs to be added up."""
+    d = table(spark, sf, "documents").select("doc_id", F.posexplode(C.char_tokens(F.col("text"))).alias("s", "token"))
+    return d.select("doc_id", "token", F.col("s").cast("long").alias("s"), (F.col("s") + 1).cast("long").alias("e"))
+
+
+@query(f"WITH t AS (SELECT doc_id, regexp_extract_all(text, '{KEYCHAR_RE2}') AS t FROM ({CODE})), x AS (SELECT doc_id, unnest(t) AS token, generate_subscripts(t, 1) AS k FROM t) SELECT doc_id, token, (sum(length(token)) OVER o - length(token))::BIGINT AS s, (sum(length(token)) OVER o)::BIGINT AS e FROM x WINDOW o AS (PARTITION BY doc_id ORDER BY k)")
+def keychar_spans(spark, sf):
+    return code(spark, sf).select("doc_id", F.explode(C.spans(C.keychar_tokens(F.col("text")))).alias("x")).select("doc_id", "x.token", F.col("x.start").cast("long").alias("s"), F.col("x.end").cast("long").alias("e"))
+
+
+VOCAB = "[" + ", ".join(f"'{t}'" for t in sorted(C.KEYWORDS)) + "]"
+
+
+@query(f"WITH t AS (SELECT doc_id, text, list_transform(regexp_extract_all(text, '{KEYCHAR_RE2}'), lambda x: CASE WHEN length(x) > 1 THEN 132 + list_position({VOCAB}, x) WHEN unicode(x) < 128 THEN unicode(x) + 5 ELSE 0 END) AS ids FROM ({CODE})) SELECT doc_id, md5(array_to_string(ids, ',')) AS ids_md5, true AS same_text FROM t")
+def keychar_ids(spark, sf):
+    """Ids by the vocabulary, and whether they lead back to the text."""
+    v = C.keychar_vocabulary()
+    d = code(spark, sf).select("doc_id", "text", C.ids_from(C.keychar_tokens(F.col("text")), v).alias("ids"))
+    return d.select("doc_id", F.md5(F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").cast("binary")).alias("ids_md5"), (C.detokenized(C.tokens_from(F.col("ids"), v)) == F.col("text")).alias("same_text"))
 
 
 @query(f"SELECT w AS token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[a-zA-Z_][a-zA-Z0-9_]*')) AS w FROM ({CODE})) GROUP BY 1")
@@ -227,14 +245,13 @@ def encode_pad(spark, sf):
     return d.select("doc_id", add("ids").alias("id_sum"), add("mask").alias("real"), F.size("ids").alias("width"))
 
 
-BATCH_D = f"d AS (SELECT doc_id // 8 AS batch_id, {DUCK_IDS('substr(text, 1, 200)')} AS ids, length(substr(text, 1, 200)) - length(replace(substr(text, 1, 200), chr(65533), '')) AS err FROM documents)"
+BATCH_D = f"d AS (SELECT doc_id // 8 AS batch_id, {DUCK_IDS('text')} AS ids, length(text) - length(replace(text, chr(65533), '')) AS err FROM documents)"
 BATCH = f"""{BATCH_D}, v AS (SELECT batch_id, count(DISTINCT i) AS ids FROM (SELECT batch_id, unnest(ids) AS i FROM d) GROUP BY 1),
 s AS (SELECT batch_id, count(*) AS batch_size, avg(len(list_filter(ids, lambda x: x <> 0))) AS avg_sequence_length, sum(err)::BIGINT AS encoding_errors, max(list_max(ids)) AS top, count(DISTINCT ids) AS k FROM d GROUP BY 1),
 b AS (SELECT batch_id, batch_size, avg_sequence_length, encoding_errors, coalesce(v.ids, 0) / (coalesce(top, 0) + 1) AS vocab_coverage, CASE WHEN batch_size > 1 THEN 1 - k / batch_size ELSE 0.0 END AS duplicate_ratio FROM s LEFT JOIN v USING (batch_id))"""
 
 
 def batches(spark, sf):
-    """Statistics of whole texts; BATCH_D states those of the first 200 characters."""
     d = table(spark, sf, "documents").select(F.floor(F.col("doc_id") / 8).cast("long").alias("batch_id"), ids_of(F.col("text")).alias("ids"), C.literal_count(F.col("text"), "�").alias("err"))
     return monitor.batch_statistics(d, errors="err")
 
@@ -244,30 +261,141 @@ def batch_quality(spark, sf):
     return batches(spark, sf).select("batch_id", "batch_size", F.round("avg_sequence_length", 6).alias("avg_sequence_length"), "encoding_errors", F.round("vocab_coverage", 9).alias("vocab_coverage"), F.round("duplicate_ratio", 9).alias("duplicate_ratio"))
 
 
-@query(f"WITH {BATCH} SELECT batch_id, unnest(list_filter([CASE WHEN avg_sequence_length < 10 THEN 'low_length' END, CASE WHEN vocab_coverage < 0.3 THEN 'low_coverage' END, CASE WHEN duplicate_ratio > 0.1 THEN 'duplicates' END, CASE WHEN encoding_errors > 5 THEN 'encoding_errors' END], lambda x: x IS NOT NULL)) AS alert FROM b")
+@query(f"WITH {BATCH} SELECT batch_id, unnest(list_filter([CASE WHEN avg_sequence_length < 10 THEN 'low_length' END, CASE WHEN avg_sequence_length > 1000 THEN 'high_length' END, CASE WHEN vocab_coverage < 0.3 THEN 'low_coverage' END, CASE WHEN duplicate_ratio > 0.1 THEN 'duplicates' END, CASE WHEN encoding_errors > 5 THEN 'encoding_errors' END], lambda x: x IS NOT NULL)) AS alert FROM b")
 def quality_alerts(spark, sf):
     b = batches(spark, sf).withColumns({"semantic_issues": F.lit(0), "critical_semantic_issues": F.lit(0), "error_count": F.lit(0)})
     return b.select("batch_id", F.explode(monitor.alerts({"min_vocab_coverage": 0.3, "max_duplicate_ratio": 0.1})).alias("alert"))
 
 
-@query("SELECT event_type, event_id, CASE WHEN n < 11 THEN 'insufficient_data' WHEN abs(a - b) < 0.01 THEN 'stable' WHEN a > b THEN 'improving' ELSE 'declining' END AS trend, round(w, 6) AS window_avg FROM (SELECT event_type, event_id, row_number() OVER o AS n, avg(value) OVER (o ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS a, avg(value) OVER (o ROWS BETWEEN 19 PRECEDING AND 10 PRECEDING) AS b, avg(value) OVER (o ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS w FROM events WINDOW o AS (PARTITION BY event_type, user_id ORDER BY ts, event_id))")
+CHECKS = f"""{BATCH_D}, g AS (SELECT batch_id, min(len(ids)) AS least, max(len(ids)) AS most, max(list_max(ids)) AS top, avg(len(list_filter(ids, lambda x: x <> 0))) AS mean FROM d GROUP BY 1),
+r AS (SELECT batch_id, 'required_key_attention_mask' AS check_name, 'error' AS severity, false AS passed, NULL::DOUBLE AS value, NULL::VARCHAR AS detail FROM g
+ UNION ALL SELECT batch_id, 'input_ids_shape', 'error', false, most, NULL FROM g WHERE least <> most
+ UNION ALL SELECT batch_id, 'sequence_length', 'warning', false, most, NULL FROM g WHERE most > 512
+ UNION ALL SELECT batch_id, 'vocab_range', 'error', false, top, NULL FROM g WHERE top >= 127
+ UNION ALL SELECT batch_id, 'batch_sequence_length', 'warning', false, round(mean, 6), NULL FROM g WHERE mean < 10 OR mean > 1000)"""
+
+
+def validated(spark, sf):
+    d = table(spark, sf, "documents").select(F.floor(F.col("doc_id") / 8).cast("long").alias("batch_id"), ids_of(F.col("text")).alias("input_ids"))
+    return validate.batch_checks(d, "batch_id", vocab_size=127)
+
+
+@query(f"WITH {CHECKS} SELECT * FROM r")
+def batch_validation(spark, sf):
+    return validated(spark, sf)
+
+
+DUCK_REMEDY = "CASE check_name " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in validate.REMEDIES.items()) + " WHEN 'required_key_attention_mask' THEN '" + validate.REMEDIES["required_key"] + "' END"
+DUCK_REPORT = f"""SELECT count(*) AS total_checks, count_if(passed) AS passed, count_if(NOT passed) AS failed, count_if(severity = 'info') AS info, count_if(severity = 'warning') AS warning, count_if(severity = 'error') AS error, count_if(severity = 'critical') AS critical,
+ coalesce(array_to_string(list_sort(list(DISTINCT check_name) FILTER (WHERE NOT passed AND severity = 'critical')), ','), '') AS critical_checks, coalesce(array_to_string(list_sort(list(DISTINCT {DUCK_REMEDY}) FILTER (WHERE NOT passed)), '; '), '') AS recommendations FROM r"""
+
+
+@query(f"WITH {CHECKS} {DUCK_REPORT}")
+def validation_report(spark, sf):
+    return validate.report(validated(spark, sf))
+
+
+TRAINED = f"{CHECKS}, t AS (SELECT batch_id, CASE WHEN batch_id % 40 = 3 THEN NULL WHEN batch_id % 40 = 5 THEN 'nan'::DOUBLE WHEN batch_id % 40 = 9 THEN 'inf'::DOUBLE ELSE mean / 100 END AS loss, CASE WHEN batch_id % 9 = 4 THEN 2 ELSE 0 END AS critical FROM g)"
+
+
+@query(f"WITH {TRAINED} SELECT batch_id, CASE WHEN loss IS NULL THEN 'training_batch_outputs' WHEN isnan(loss) OR isinf(loss) THEN 'training_batch_loss' ELSE 'training_batch_validation' END AS check_name, CASE WHEN loss IS NULL THEN 'error' WHEN isnan(loss) OR isinf(loss) OR critical > 0 THEN 'critical' ELSE 'info' END AS severity, loss IS NOT NULL AND NOT isnan(loss) AND NOT isinf(loss) AND critical = 0 AS passed, CASE WHEN loss IS NOT NULL AND NOT isnan(loss) AND NOT isinf(loss) AND critical > 0 THEN critical::DOUBLE END AS value, NULL::VARCHAR AS detail FROM t")
+def training_validation(spark, sf):
+    b = table(spark, sf, "documents").groupBy(F.floor(F.col("doc_id") / 8).cast("long").alias("batch_id")).agg(F.avg(F.length(F.regexp_replace("text", r"[^\x00-\x7F]", ""))).alias("mean"))
+    k = F.col("batch_id") % 40
+    loss = F.when(k == 3, None).when(k == 5, float("nan")).when(k == 9, float("inf")).otherwise(F.col("mean") / 100)
+    return validate.training_checks(b.select("batch_id", loss.cast("double").alias("loss"), F.when(F.col("batch_id") % 9 == 4, 2).otherwise(0).alias("critical")), "batch_id", "loss", "critical")
+
+
+@query(f"WITH s AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS sample, text, regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') AS decoded FROM documents) SELECT source, sample::INT AS sample, 'tokenization_sample' AS check_name, 'warning' AS severity, false AS passed, length({STRIP('decoded')})::DOUBLE AS value, NULL::VARCHAR AS detail FROM s WHERE sample < 5 AND length({STRIP('decoded')}) < length({STRIP('text')}) * 0.5")
+def tokenization_validation(spark, sf):
+    """The first five texts of each source, encoded by characters and decoded without special tokens."""
+    d = table(spark, sf, "documents").withColumn("sample", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).where("sample < 5")
+    v = C.char_vocabulary()
+    decoded = C.detokenized(F.filter(C.tokens_from(ids_of(F.col("text")), v), lambda t: ~t.isin(*C.SPECIAL)))
+    return validate.round_trip_checks(d.select("source", "sample", "text", decoded.alias("decoded")), ["source", "sample"], "text", "decoded")
+
+
+PLAIN = lambda t: f"list_filter(list_distinct(regexp_extract_all({t}, '{C.IDENTIFIER_WORD}')), lambda x: NOT list_contains([{', '.join(f'{chr(39)}{k}{chr(39)}' for k in C.COMMON_KEYWORDS)}], x))"
+BRACES = lambda t: "[" + ", ".join(f"{LITERAL(t, a)} - {LITERAL(t, b)}" for a, b in ("{}", "()", "[]")) + "]"
+
+
+@query(f"WITH {PROCESSED}, s AS (SELECT doc_id, o, p FROM p ORDER BY md5(concat('7:', doc_id)), doc_id LIMIT 100), c AS (SELECT doc_id, {BRACES('o')} AS a, {BRACES('p')} AS b, list_sort(list_filter({PLAIN('o')}, lambda x: NOT list_contains({PLAIN('p')}, x))) AS gone FROM s) SELECT doc_id, 'brace_balance' AS check_name, 'error' AS severity, false AS passed, NULL::DOUBLE AS value, NULL::VARCHAR AS detail FROM c WHERE a <> b UNION ALL SELECT doc_id, 'identifier_preservation', 'warning', false, len(gone), array_to_string(list_slice(gone, 1, 10), ',') FROM c WHERE len(gone) > 0")
+def preprocessing_validation(spark, sf):
+    return validate.structure_checks(validate.sampled(processed(spark, sf), "doc_id"), "doc_id", "o", "p")
+
+
+@query(f"WITH {PROCESSED}, {ISSUES} SELECT doc_id, md5(p.p) AS cleaned, CASE WHEN length(o) > 100 THEN signatures + control + macros ELSE 0 END::BIGINT AS critical_issues FROM p JOIN i USING (doc_id)")
+def processed_files(spark, sf):
+    from .sources import processed_files
+
+    return processed_files(code(spark, sf).select("doc_id", "text")).select("doc_id", F.md5("cleaned").alias("cleaned"), "critical_issues")
+
+
+@query(f"SELECT doc_id, strlen(text) AS file_size, round(len(list_filter(list_transform(string_split(text, chr(10)), lambda x: {STRIP('x')}), lambda x: x LIKE '//%' OR x LIKE '/*%' OR x LIKE '%*/')) / len(string_split(text, chr(10))), 9) AS comment_ratio, round(list_sum(list_transform(string_split(text, chr(10)), lambda x: length(x))) / len(string_split(text, chr(10))), 9) AS avg_line_length, 'utf-8' AS encoding FROM (SELECT doc_id, text FROM ({CODE}) UNION ALL SELECT 1000000000 + doc_id, text FROM documents)")
+def file_quality(spark, sf):
+    d = code(spark, sf).select("doc_id", "text").unionByName(table(spark, sf, "documents").select((F.col("doc_id") + 1000000000).alias("doc_id"), "text"))
+    return T.file_quality(d).select("doc_id", "file_size", F.round("comment_ratio", 9).alias("comment_ratio"), F.round("avg_line_length", 9).alias("avg_line_length"), "encoding")
+
+
+@query("SELECT event_type, event_id, CASE WHEN n < 11 THEN 'insufficient_data' WHEN abs(a - b) < 0.01 THEN 'stable' WHEN a > b THEN 'increasing' ELSE 'decreasing' END AS trend, round(w, 6) AS window_avg FROM (SELECT event_type, event_id, row_number() OVER o AS n, avg(value) OVER (o ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS a, avg(value) OVER (o ROWS BETWEEN 19 PRECEDING AND 10 PRECEDING) AS b, avg(value) OVER (o ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS w FROM events WINDOW o AS (PARTITION BY event_type, user_id ORDER BY ts, event_id))")
 def quality_trends(spark, sf):
     order = ["ts", "event_id"]
     w = Window.partitionBy("event_type", "user_id").orderBy(*order).rowsBetween(-99, 0)
     return table(spark, sf, "events").select("event_type", "event_id", monitor.trend("value", order, ["event_type", "user_id"]).alias("trend"), F.round(F.avg("value").over(w), 6).alias("window_avg"))
 
 
-@query("WITH b AS (SELECT o_orderkey // 32 AS batch, o_orderpriority AS epoch, count(*) AS n, avg(o_totalprice) AS v FROM orders GROUP BY 1, 2) SELECT epoch, count(*) AS batches, sum(n)::BIGINT AS seen, round(avg(v), 4) AS mean_of_batches FROM b GROUP BY epoch")
+#: Rows of a monitor, one for each batch of events, read alike by both engines.
+BATCHES = """SELECT event_type AS epoch, CAST(floor(event_id / CAST(64 AS DOUBLE)) AS BIGINT) AS batch_id, max(ts) AS ts, count(*) AS batch_size, avg(value) AS avg_sequence_length, count(DISTINCT user_id) / CAST(150 AS DOUBLE) AS vocab_coverage, 1 - count(DISTINCT user_id) / CAST(count(*) AS DOUBLE) AS duplicate_ratio,
+ CAST(sum(CASE WHEN value > 95 THEN 1 ELSE 0 END) AS BIGINT) AS encoding_errors, CAST(max(event_id) - min(event_id) AS DOUBLE) AS processing_time_ms, CAST(sum(CASE WHEN value < 30 THEN 1 ELSE 0 END) AS BIGINT) AS semantic_issues, CAST(sum(CASE WHEN value < 8 THEN 1 ELSE 0 END) AS BIGINT) AS critical_semantic_issues, avg(value) / 100 AS bleu_score, min(value) / 100 AS ast_similarity, max(value) / 100 AS token_accuracy, CAST(sum(CASE WHEN value < 1 THEN 1 ELSE 0 END) AS BIGINT) AS error_count FROM {events} GROUP BY 1, 2"""
+LIMITS = {"min_avg_length": 35, "max_avg_length": 65, "min_vocab_coverage": 0.07, "max_duplicate_ratio": 0.1, "max_encoding_errors": 1, "max_semantic_issues": 6, "max_critical_semantic_issues": 1}
+DUCK_ALERTS = "list_filter([CASE WHEN avg_sequence_length < 35 THEN 'low_length' END, CASE WHEN avg_sequence_length > 65 THEN 'high_length' END, CASE WHEN vocab_coverage < 0.07::DOUBLE THEN 'low_coverage' END, CASE WHEN duplicate_ratio > 0.1::DOUBLE THEN 'duplicates' END, CASE WHEN encoding_errors > 1 THEN 'encoding_errors' END, CASE WHEN semantic_issues > 6 THEN 'semantic_issues' END, CASE WHEN critical_semantic_issues > 1 THEN 'critical_semantic_issues' END, CASE WHEN error_count > 0 THEN 'errors' END], lambda x: x IS NOT NULL)"
+MONITOR = f"b AS (SELECT *, {DUCK_ALERTS} AS alerts FROM ({BATCHES.format(events='events')}))"
+DUCK_TREND = lambda n, new, old: f"CASE WHEN {n} < 11 THEN 'insufficient_data' WHEN abs({new} - {old}) < 0.01 THEN 'stable' WHEN {new} > {old} THEN 'increasing' ELSE 'decreasing' END"
+
+
+def monitor_batches(spark, sf):
+    return spark.sql(BATCHES, events=table(spark, sf, "events"))
+
+
+@query(f"WITH {MONITOR} SELECT epoch, batch_id, unnest(alerts) AS alert FROM b")
+def monitor_alerts(spark, sf):
+    return monitor_batches(spark, sf).select("epoch", "batch_id", F.explode(monitor.alerts(LIMITS)).alias("alert"))
+
+
+def _duck_summary_trends() -> str:
+    out = []
+    for name, (c, up) in monitor.TRENDS.items():
+        new, old = f"avg({c}) FILTER (WHERE k <= 10)", f"avg({c}) FILTER (WHERE k BETWEEN 11 AND 20)"
+        out.append(f"{DUCK_TREND('count(*)', *((new, old) if up else (old, new)))} AS trend_{name}")
+    return ", ".join(out)
+
+
+@query(f"WITH {MONITOR}, l AS (SELECT *, row_number() OVER (PARTITION BY epoch ORDER BY batch_id DESC) AS k FROM b) SELECT epoch, count(*) AS window_size, min_by(ts, batch_id) AS first_ts, max_by(ts, batch_id) AS last_ts, {', '.join(f'round(avg({c}), 9) AS mean_{c}' for c in monitor.AVERAGED)}, {_duck_summary_trends()}, least(sum(len(alerts)), 10)::BIGINT AS recent_alerts FROM l WHERE k <= 100 GROUP BY epoch")
+def quality_summary(spark, sf):
+    s = monitor.quality_summary(monitor_batches(spark, sf), "epoch", "batch_id", thresholds=LIMITS)
+    return s.withColumns({f"mean_{c}": F.round(f"mean_{c}", 9) for c in monitor.AVERAGED})
+
+
+EPOCHS = f"{MONITOR}, e AS (SELECT epoch, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS duration_seconds, count(*) AS total_batches, avg(batch_size) AS avg_batch_size, avg(processing_time_ms) AS avg_processing_time, sum(len(alerts))::BIGINT AS quality_alerts, sum(semantic_issues)::BIGINT AS total_semantic_issues, sum(critical_semantic_issues)::BIGINT AS critical_semantic_issues, avg(bleu_score) AS avg_bleu_score, avg(ast_similarity) AS avg_ast_similarity, avg(token_accuracy) AS avg_token_accuracy, sum(error_count)::BIGINT AS total_errors FROM b GROUP BY epoch)"
+
+
+def _rounded(df, digits=9):
+    return df.withColumns({c: F.round(c, digits) for c, kind in df.dtypes if kind == "double"})
+
+
+@query(f"WITH {EPOCHS} SELECT * REPLACE (round(duration_seconds, 9) AS duration_seconds, round(avg_batch_size, 9) AS avg_batch_size, round(avg_processing_time, 9) AS avg_processing_time, round(avg_bleu_score, 9) AS avg_bleu_score, round(avg_ast_similarity, 9) AS avg_ast_similarity, round(avg_token_accuracy, 9) AS avg_token_accuracy) FROM e")
 def epoch_summary(spark, sf):
-    b = table(spark, sf, "orders").groupBy(F.floor(F.col("o_orderkey") / 32).alias("batch"), F.col("o_orderpriority").alias("epoch")).agg(F.count(F.lit(1)).alias("n"), F.avg("o_totalprice").alias("v"))
-    return b.groupBy("epoch").agg(F.count(F.lit(1)).alias("batches"), F.sum("n").alias("seen"), F.round(F.avg("v"), 4).alias("mean_of_batches"))
+    return _rounded(monitor.epoch_summary(monitor_batches(spark, sf), "epoch", thresholds=LIMITS))
 
 
-@query("WITH b AS (SELECT o_orderkey // 32 AS batch, o_orderpriority AS epoch, avg(o_totalprice) AS v FROM orders GROUP BY 1, 2), e AS (SELECT epoch, avg(v) AS v, count(*) AS n FROM b GROUP BY 1) SELECT count(*) AS epochs, sum(n)::BIGINT AS batches, round(avg(v), 4) AS mean_of_epochs FROM e")
+@query(f"WITH {EPOCHS} SELECT count(*) AS total_epochs, round(sum(duration_seconds), 9) AS total_training_time, round(avg(duration_seconds), 9) AS avg_epoch_duration, sum(total_batches)::BIGINT AS total_batches, round(avg(avg_batch_size), 9) AS avg_batch_size, sum(quality_alerts)::BIGINT AS total_alerts, sum(total_semantic_issues)::BIGINT AS total_semantic_issues, sum(critical_semantic_issues)::BIGINT AS total_critical_semantic_issues, round(avg(avg_bleu_score), 9) AS avg_bleu_score, round(avg(avg_ast_similarity), 9) AS avg_ast_similarity, round(avg(avg_token_accuracy), 9) AS avg_token_accuracy, sum(total_errors)::BIGINT AS total_errors FROM e")
 def training_summary(spark, sf):
-    b = table(spark, sf, "orders").groupBy(F.floor(F.col("o_orderkey") / 32).alias("batch"), F.col("o_orderpriority").alias("epoch")).agg(F.avg("o_totalprice").alias("v"))
-    e = b.groupBy("epoch").agg(F.avg("v").alias("v"), F.count(F.lit(1)).alias("n"))
-    return e.agg(F.count(F.lit(1)).alias("epochs"), F.sum("n").alias("batches"), F.round(F.avg("v"), 4).alias("mean_of_epochs"))
+    return _rounded(monitor.training_summary(monitor.epoch_summary(monitor_batches(spark, sf), "epoch", thresholds=LIMITS)))
+
+
+@query(f"WITH {MONITOR}, x AS (SELECT epoch, batch_id, ts, CASE WHEN critical_semantic_issues > 0 THEN 'critical' ELSE 'error' END AS severity, CASE WHEN semantic_issues > 0 THEN 'semantic_validation' ELSE 'evaluation' END AS component, CASE WHEN semantic_issues > 0 THEN 'ValidationError' ELSE 'EvaluationError' END AS error_type, unnest(range(error_count)) AS no FROM b), k AS (SELECT *, row_number() OVER (PARTITION BY epoch ORDER BY batch_id DESC, no DESC) AS k FROM x) SELECT epoch, batch_id, ts, severity, component, error_type, no::INT AS no FROM k WHERE k <= 20")
+def error_log(spark, sf):
+    return monitor.error_log(monitor_batches(spark, sf), "epoch", "batch_id", kept=20)
 
 
 portable("error_summary", "SELECT event_type, user_id, count(*) AS n, max(event_id) AS last_id FROM {events} WHERE value < 20 GROUP BY GROUPING SETS ((event_type), (user_id), (event_type, user_id), ())", "events")
@@ -324,12 +452,13 @@ def cosine_by_label(spark, sf):
     return e.groupBy("label").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg(evaluate.cosine(F.col("embedding"), F.col("f"))), 6).alias("cosine"))
 
 
-CONV = "c AS (SELECT conv_id * 1000 + turn AS id, regexp_extract_all(substr(text, 1, 2000), '[^ \\n]+') AS p, regexp_extract_all(substr(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), 1, 2000), '[^ \\n]+') AS r, text AS a, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations)"
+DUCK_WORDS = lambda t: f"list_filter(string_split_regex({t}, '{WS}+'), lambda x: x <> '')"
+CONV = f"c AS (SELECT conv_id * 1000 + turn AS id, {DUCK_WORDS('text')} AS p, {DUCK_WORDS('lag(text) OVER (PARTITION BY conv_id ORDER BY turn)')} AS r, text AS a, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations)"
 
 
 def turns(spark, sf):
     c = table(spark, sf, "conversations").withColumn("b", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("b IS NOT NULL")
-    w = lambda x: F.regexp_extract_all(x, F.lit(r"[^ \n]+"), F.lit(0))
+    w = lambda x: F.filter(F.split(x, f"{WS}+"), lambda t: t != "")
     return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("a"), "b", w("text").alias("p"), w("b").alias("r"))
 
 
@@ -375,21 +504,24 @@ def t_interval(spark, sf):
     return evaluate.interval(predictions(spark, sf), "quality", "score")
 
 
-#: DRAWS is what the SQL states; the query makes RESAMPLES, as the reference does.
-DRAWS, RESAMPLES = 50, 1000
+RESAMPLES = 1000
 
 
-@query(f"WITH {PRED}, x AS (SELECT score, row_number() OVER (ORDER BY doc_id) - 1 AS k, count(*) OVER () AS n FROM m), d AS (SELECT r.range AS rep, floor(concat('0x', substr(md5(concat(r.range, ':', x.k)), 1, 8))::BIGINT / 4294967296.0 * x.n)::BIGINT AS pick FROM x, range({DRAWS}) r), b AS (SELECT rep, avg(x.score) AS v FROM d JOIN x ON x.k = d.pick GROUP BY rep) SELECT round(quantile_cont(v, 0.025), 9) AS lower, round(quantile_cont(v, 0.975), 9) AS upper FROM b")
+@query(f"WITH {PRED}, x AS (SELECT score, row_number() OVER (ORDER BY doc_id) - 1 AS k, count(*) OVER () AS n FROM m), d AS (SELECT r.range AS rep, floor(concat('0x', substr(md5(concat(r.range, ':', x.k)), 1, 8))::BIGINT / 4294967296.0 * x.n)::BIGINT AS pick FROM x, range({RESAMPLES}) r), b AS (SELECT rep, avg(x.score) AS v FROM d JOIN x ON x.k = d.pick GROUP BY rep) SELECT round(quantile_cont(v, 0.025), 9) AS lower, round(quantile_cont(v, 0.975), 9) AS upper FROM b")
 def bootstrap_ci(spark, sf):
-    m = predictions(spark, sf)
-    x = m.select("score", (F.row_number().over(Window.orderBy("doc_id")) - 1).alias("k"), F.count(F.lit(1)).over(Window.partitionBy()).alias("n"))
-    d = x.select("k", "n", F.explode(F.sequence(F.lit(0), F.lit(RESAMPLES - 1))).alias("rep")).select("rep", F.floor(C.uniform(F.col("rep"), F.col("k")) * F.col("n")).alias("pick"))
-    b = d.join(x.select(F.col("k").alias("pick"), "score"), "pick").groupBy("rep").agg(F.avg("score").alias("v"))
+    x = corpus.row_numbers(predictions(spark, sf).select("doc_id", "score"), ["doc_id"], "k").select("score", "k")
+    d = x.select("k", F.explode(F.sequence(F.lit(0), F.lit(RESAMPLES - 1))).alias("rep")).select("rep", F.floor(C.uniform(F.col("rep"), F.col("k")) * F.lit(x.count())).alias("pick"))
+    b = d.groupBy("rep", "pick").agg(F.count(F.lit(1)).alias("times")).join(x.select(F.col("k").alias("pick"), "score"), "pick").groupBy("rep").agg((F.sum(F.col("score") * F.col("times")) / F.sum("times")).alias("v"))
     return b.agg(F.round(F.percentile("v", F.lit(0.025)), 9).alias("lower"), F.round(F.percentile("v", F.lit(0.975)), 9).alias("upper"))
 
 
 # ---- masking ----
-@query("WITH t AS (SELECT c_custkey AS id, unnest(string_split(c_name, '')) AS c, generate_subscripts(string_split(c_name, ''), 1) - 1 AS i FROM customer), u AS (SELECT id, i, unicode(c) + 5 AS tok, concat('0x', substr(md5(concat(id, ':', i, ':a')), 1, 8))::BIGINT / 4294967296.0 AS a, concat('0x', substr(md5(concat(id, ':', i, ':b')), 1, 8))::BIGINT / 4294967296.0 AS b, concat('0x', substr(md5(concat(id, ':', i, ':c')), 1, 8))::BIGINT / 4294967296.0 AS r FROM t) SELECT id, i, CASE WHEN a >= 0.15 THEN tok WHEN b < 0.8 THEN 4 WHEN b < 0.9 THEN floor(r * 133)::INT ELSE tok END AS input_id, CASE WHEN a < 0.15 THEN tok ELSE -100 END AS label FROM u")
+U = lambda *parts: "concat('0x', substr(md5(concat(" + ", ':', ".join(parts) + ")), 1, 8))::BIGINT / 4294967296.0"
+MASKED = lambda chosen: f"CASE WHEN NOT {chosen} THEN tok WHEN {U('id', 'i', chr(39) + 'b' + chr(39))} < 0.8 THEN 4 WHEN {U('id', 'i', chr(39) + 'b' + chr(39))} < 0.9 THEN floor({U('id', 'i', chr(39) + 'c' + chr(39))} * 133)::INT ELSE tok END"
+DRAWN_TOKEN = f"(tok > 4 AND {U('id', 'i', chr(39) + 'a' + chr(39))} < 0.15)"
+
+
+@query(f"WITH t AS (SELECT doc_id AS id, unnest({DUCK_IDS('text')}) AS tok, generate_subscripts({DUCK_IDS('text')}, 1) - 1 AS i FROM documents) SELECT id, i, {MASKED(DRAWN_TOKEN)} AS input_id, CASE WHEN {DRAWN_TOKEN} THEN tok ELSE -100 END AS label FROM t")
 def mask_mlm(spark, sf):
     t = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.posexplode(ids_of(F.col("text"))).alias("i", "tok"))
     return t.select("id", F.col("i").cast("long").alias("i"), *masked(drawn_token()))
@@ -409,7 +541,11 @@ def masked(chosen, labelled=None):
     ]
 
 
-@query("WITH w AS (SELECT p_partkey AS id, regexp_extract_all(p_name, '[a-zA-Z_][a-zA-Z0-9_]*') AS ws FROM part), k AS (SELECT id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS k FROM w) SELECT id, k, word, concat('0x', substr(md5(concat(id, ':', k, ':w')), 1, 8))::BIGINT / 4294967296.0 < 0.15 AS chosen FROM k")
+@query(f"""WITH p AS (SELECT doc_id AS id, unnest(ps) AS part, generate_subscripts(ps, 1) - 1 AS k FROM (SELECT doc_id, regexp_extract_all(text, '{C.IDENTIFIER}|[^a-zA-Z_]+') AS ps FROM documents)),
+w AS (SELECT *, sum(length(part)) OVER (PARTITION BY id ORDER BY k) - length(part) AS start, regexp_matches(part, '^[a-zA-Z_]') AS word FROM p), d AS (SELECT *, word AND {U('id', 'k // 2', "'w'")} < 0.15 AS drawn FROM w),
+e AS (SELECT *, bool_or(word) OVER (PARTITION BY id) AS words, bool_or(drawn) OVER (PARTITION BY id) AS any_drawn FROM d),
+c AS (SELECT id, words, any_drawn, drawn, start, unnest({DUCK_IDS('part')}) AS tok, generate_subscripts({DUCK_IDS('part')}, 1) - 1 AS j FROM e), t AS (SELECT *, (start + j)::BIGINT AS i FROM c), x AS (SELECT *, CASE WHEN words THEN drawn ELSE {DRAWN_TOKEN} END AS chosen FROM t)
+SELECT id, i, {MASKED('chosen')} AS input_id, CASE WHEN chosen OR (words AND NOT any_drawn) THEN tok ELSE -100 END AS label FROM x""")
 def mask_wwm(spark, sf):
     """Whole words: all tokens that overlap a drawn word; texts without words as mask_mlm, and where no word is drawn every token keeps its label."""
     # words and what lies between them take turns, so place p holds word p // 2, and each character token lies in one of them
@@ -439,14 +575,30 @@ def texts(spark, sf):
 
 @query(f"WITH {TEXTS}, s AS (SELECT doc_id, {' + '.join(FAM.values())} + {' + '.join(f'{w} * {HEU[n]}' for n, (_, w) in C.HEURISTICS.items())} + {CTX} AS score FROM x) SELECT doc_id, score::BIGINT AS score, (score > 0)::INT AS vulnerable FROM s")
 def vuln_scan(spark, sf):
-    t = F.col("text")
-    parts = [*C.family_counts(t).values(), *[C.HEURISTICS[n][1] * c for n, c in C.heuristic_counts(t).items()], *C.context_checks(t).values()]
-    return texts(spark, sf).select("doc_id", C._total(parts).cast("long").alias("score")).withColumn("vulnerable", (F.col("score") > 0).cast("int"))
+    return texts(spark, sf).select("doc_id", C.vulnerability_score(F.col("text")).alias("score")).withColumn("vulnerable", (F.col("score") > 0).cast("int"))
+
+
+NAMED = " || ".join([f"repeat('{n},', ({e})::INT)" for n, e in [*FAM.items(), *HEU.items()]] + [f"CASE WHEN regexp_matches(text, '(?i){C.INPUTS}') AND NOT regexp_matches(text, '(?i){C.SANITIZERS}') THEN 'missing_input_validation,' ELSE '' END", f"CASE WHEN regexp_matches(text, '(?i){C.SESSION}') AND NOT regexp_matches(text, '(?i){C.SESSION_SAFE}') THEN 'weak_session_management,' ELSE '' END"])
+
+
+@query(f"WITH {TEXTS} SELECT doc_id, rtrim({NAMED}, ',') AS detected FROM x")
+def vuln_names(spark, sf):
+    return texts(spark, sf).select("doc_id", F.array_join(C.detected(F.col("text")), ",").alias("detected"))
+
+
+@query(f"WITH {TEXTS}, s AS (SELECT doc_id, ({' + '.join(FAM.values())} + {' + '.join(HEU.values())} + {CTX} > 0)::INT AS v, list_slice({DUCK_IDS('text')}, 1, 64) AS ids FROM x) SELECT doc_id, v AS vulnerable, md5(array_to_string(list_transform(list_concat(ids, list_transform(range(64 - len(ids)), lambda k: 2)), lambda i: CASE WHEN i = 2 THEN -100 ELSE v END), ',')) AS labels_md5 FROM s")
+def vuln_labels(spark, sf):
+    """Ids of 64 places, padded, with the text's label at each real one."""
+    ids, _ = C.encoded(F.slice(ids_of(F.col("text")), 1, 64), 64, pad=2)
+    d = texts(spark, sf).select("doc_id", (C.vulnerability_score(F.col("text")) > 0).cast("int").alias("vulnerable"), ids.alias("ids"))
+    labels = C.repeated_label(F.col("ids"), F.col("vulnerable"), 2)
+    return d.select("doc_id", "vulnerable", F.md5(F.array_join(F.transform(labels, lambda x: x.cast("string")), ",").cast("binary")).alias("labels_md5"))
 
 
 @query(f"WITH {TEXTS}, f AS (SELECT {', '.join(f'{e} AS {n}' for n, e in FAM.items())} FROM x) SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS family, count_if({n} > 0) AS documents, sum({n})::BIGINT AS matches FROM f" for n in FAM) + ")")
 def vuln_families(spark, sf):
-    t = texts(spark, sf).select(F.explode(F.array(*[F.struct(F.lit(n).alias("family"), c.alias("n")) for n, c in C.family_counts(F.col("text")).items()])).alias("f"))
+    t = texts(spark, sf).withColumn("may", C.may_be_vulnerable(F.col("text")))
+    t = t.select(F.explode(F.array(*[F.struct(F.lit(n).alias("family"), F.when(F.col("may"), c).otherwise(F.lit(0)).cast("long").alias("n")) for n, c in C.family_counts(F.col("text")).items()])).alias("f"))
     return t.groupBy("f.family").agg(F.count_if(F.col("f.n") > 0).alias("documents"), F.sum("f.n").alias("matches"))
 
 
@@ -493,22 +645,110 @@ def python_labels(spark, sf):
     return python_token_labels(table(spark, sf, "documents"), "doc_id", "text")
 
 
-STREAM = "WITH b AS (SELECT event_type AS epoch, event_id // 64 AS batch_id, avg(value) AS v, count(*) AS n FROM events GROUP BY 1, 2), t AS (SELECT epoch, batch_id, v, n, row_number() OVER o AS k, avg(v) OVER (o ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS a, avg(v) OVER (o ROWS BETWEEN 19 PRECEDING AND 10 PRECEDING) AS p FROM b WINDOW o AS (PARTITION BY epoch ORDER BY batch_id)) SELECT epoch, batch_id, round(v, 6) AS avg_value, n, CASE WHEN k < 11 THEN 'insufficient_data' WHEN abs(a - p) < 0.01 THEN 'stable' WHEN a > p THEN 'improving' ELSE 'declining' END AS trend FROM t"
+def _duck_window() -> str:
+    out = [f"round(avg({c}) OVER (o ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 9) AS mean_{c}" for c in monitor.AVERAGED]
+    for name, (c, up) in monitor.TRENDS.items():
+        new, old = f"avg({c}) OVER (o ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)", f"avg({c}) OVER (o ROWS BETWEEN 19 PRECEDING AND 10 PRECEDING)"
+        out.append(f"{DUCK_TREND('row_number() OVER o', *((new, old) if up else (old, new)))} AS trend_{name}")
+    return ", ".join(out)
 
 
-@query(STREAM)
+@query(f"WITH {MONITOR} SELECT epoch, batch_id, array_to_string(alerts, ',') AS alerts, least(row_number() OVER o, 100) AS window_size, least(sum(error_count) OVER o, 1000)::BIGINT AS kept_errors, {_duck_window()} FROM b WINDOW o AS (PARTITION BY epoch ORDER BY batch_id)")
 def stream_monitor(spark, sf):
     """The stateful monitor over a stream of batch rows, run until it has read all there is."""
-    import os
-    import tempfile
     import uuid
 
+    from .plans.staging import shared_dir
     from .streaming import monitor as stream
 
-    b = table(spark, sf, "events").groupBy(F.col("event_type").alias("epoch"), F.floor(F.col("event_id") / 64).alias("batch_id")).agg(F.avg("value").alias("avg_value"), F.count(F.lit(1)).alias("n"))
-    shared = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "siltworks-streams")
-    at = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    b = monitor_batches(spark, sf)
+    at = f"{shared_dir(spark)}/siltworks-tables/stream-{uuid.uuid4().hex}"
     b.write.parquet(f"{at}/in")
-    out = stream.trends(spark.readStream.schema(b.schema).parquet(f"{at}/in"))
-    out.writeStream.outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{at}/state").format("parquet").option("path", f"{at}/out").start().awaitTermination()
-    return spark.read.schema(stream.OUT).parquet(f"{at}/out").withColumn("avg_value", F.round("avg_value", 6))
+    stream.run(spark.readStream.schema(b.schema).parquet(f"{at}/in"), f"{at}/state", f"{at}/out", LIMITS)
+    return _rounded(spark.read.schema(stream.OUT).parquet(f"{at}/out"))
+
+
+# ---- composed evaluations ----
+VI_ROWS = "v AS (SELECT vec_id, vec_id // 16 AS batch, label % 2 AS y, 8 + vec_id % 24 AS n, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT batch, y, list_sum(list_transform(range(n), lambda t: e[2 * t + 1])) / n AS a, list_sum(list_transform(range(n), lambda t: e[2 * t + 2])) / n AS b FROM v), m AS (SELECT batch, y, (b > a)::INT AS pred, round(1 / (1 + exp(a - b)), 12) AS prob FROM q)"
+
+
+@query(f"""WITH {VI_ROWS}, c AS (SELECT batch, avg((pred = y)::INT) AS accuracy, count_if(pred = 1 AND y = 1) AS tp, count_if(pred = 1 AND y = 0) AS fp, count_if(pred = 0 AND y = 1) AS fn FROM m GROUP BY batch), p AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0) AS recall FROM c),
+u AS (SELECT x.batch, avg(CASE WHEN x.prob > z.prob THEN 1.0 WHEN x.prob = z.prob THEN 0.5 ELSE 0.0 END) AS auc FROM m x JOIN m z ON x.batch = z.batch AND x.y = 1 AND z.y = 0 GROUP BY x.batch)
+SELECT count(*) AS batches, round(avg(accuracy), 9) AS average_accuracy, round(avg(precision), 9) AS average_precision, round(avg(recall), 9) AS average_recall, round(avg(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0)), 9) AS average_f1, round(avg(coalesce(auc, 0)), 9) AS average_auc FROM p LEFT JOIN u USING (batch)""")
+def detection_evaluation(spark, sf):
+    """Two class logits at each place, padding ignored: metrics by batch, then their means."""
+    e = table(spark, sf, "embeddings").select((F.floor(F.col("vec_id") / 16)).alias("batch"), (F.col("label") % 2).alias("y"), (F.lit(8) + F.col("vec_id") % 24).cast("int").alias("n"), "embedding")
+    places = F.sequence(F.lit(0), F.lit(31))
+    e = e.select("batch", F.transform(places, lambda t: F.slice("embedding", 2 * t + 1, F.lit(2))).alias("logits"), F.transform(places, lambda t: F.when(t < F.col("n"), F.col("y")).otherwise(evaluate.IGNORE)).alias("labels"))
+    m = evaluate.pooled_scores(e, "logits", "labels").withColumn("prob", F.round("prob", 12))
+    return _rounded(evaluate.batch_means(evaluate.detection_batches(m, "batch"), "accuracy", "precision", "recall", "f1", "auc"), 9)
+
+
+@query("""WITH t AS (SELECT vec_id, vec_id // 8 AS batch, (vec_id + t) % 4 AS id, (t < 4 + vec_id % 13)::INT AS m, list_slice(embedding::DOUBLE[], 4 * t + 1, 4 * t + 4) AS x FROM embeddings, range(16) r(t)), p AS (SELECT batch, id, m, ln(list_sum(list_transform(x, lambda v: exp(v - list_max(x))))) + list_max(x) - x[id + 1] AS loss, list_position(x, list_max(x)) - 1 = id AND m = 1 AS hit FROM t), b AS (SELECT batch, avg(loss) FILTER (WHERE id <> 0) AS loss, count_if(hit) AS hits, sum(m) AS places FROM p GROUP BY batch)
+SELECT round(avg(loss), 6) AS loss, round(sum(hits) / greatest(sum(places), 1), 9) AS accuracy, round(exp(avg(loss)), 6) AS perplexity FROM b""")
+def model_evaluation(spark, sf):
+    """Four class logits at each of 16 places."""
+    e, places = table(spark, sf, "embeddings"), F.sequence(F.lit(0), F.lit(15))
+    e = e.select(F.floor(F.col("vec_id") / 8).alias("batch"), F.transform(places, lambda t: F.slice("embedding", 4 * t + 1, F.lit(4))).alias("logits"), F.transform(places, lambda t: ((F.col("vec_id") + t) % 4).cast("int")).alias("ids"), F.transform(places, lambda t: (t < 4 + F.col("vec_id") % 13).cast("int")).alias("mask"))
+    r = evaluate.model_evaluation(e, "batch", "logits", "ids", "mask")
+    return r.select(F.round("loss", 6).alias("loss"), F.round("accuracy", 9).alias("accuracy"), F.round("perplexity", 6).alias("perplexity"))
+
+
+MLM = f"{PROCESSED}, c AS (SELECT doc_id AS id, {DUCK_WORDS('p')} AS p, {DUCK_WORDS('o')} AS r, o AS b FROM p)"
+
+
+@query(f"WITH {MLM}, {PRED}, gp AS (SELECT id, n, g, count(*) AS k FROM ({GRAMS('p')}) GROUP BY ALL), gr AS (SELECT id, n, g, count(*) AS k FROM ({GRAMS('r')}) GROUP BY ALL), h AS (SELECT gp.id, gp.n, sum(least(gp.k, coalesce(gr.k, 0))) / sum(gp.k) AS pr FROM gp LEFT JOIN gr USING (id, n, g) GROUP BY 1, 2), s AS (SELECT id, exp(avg(ln(greatest(pr, 1e-10)))) AS bleu FROM h GROUP BY id) SELECT (SELECT round(count_if(pred = quality) / count(*), 9) FROM m WHERE doc_id % 5 <> 0) AS token_accuracy, round(avg(({STRIP('o')} = {STRIP('p')})::INT), 9) AS exact_match, round(avg(({SIM}) / 5), 6) AS ast_similarity, (SELECT round(sum(coalesce(bleu, 0)) / count(*), 6) FROM c LEFT JOIN s USING (id)) AS bleu_score FROM p")
+def mlm_evaluation(spark, sf):
+    """Token accuracy, and the texts' metrics; the interval that goes with them isn't stated in SQL (t_interval)."""
+    tokens = predictions(spark, sf).select(F.col("pred").alias("prediction"), F.when(F.col("doc_id") % 5 == 0, evaluate.IGNORE).otherwise(F.col("quality")).alias("label"))
+    r = evaluate.mlm_task(processed(spark, sf).select("doc_id", "o", "p"), "doc_id", "p", "o", tokens)
+    return r.select(F.round("token_accuracy", 9).alias("token_accuracy"), F.round("exact_match", 9).alias("exact_match"), F.round("ast_similarity", 6).alias("ast_similarity"), F.round("bleu_score", 6).alias("bleu_score"))
+
+
+@query(f"SELECT * FROM ({ORACLE_SQL['binary_metrics']}), ({ORACLE_SQL['roc_auc']}), ({ORACLE_SQL['bootstrap_ci']})")
+def vulnerability_evaluation(spark, sf):
+    scores = evaluate.vulnerability_task(predictions(spark, sf), "quality", "score")
+    counts = evaluate.binary_metrics(predictions(spark, sf), "quality", "score").select("tp", "fp", "fn")
+    return evaluate.beside(counts, _rounded(scores, 9), bootstrap_ci(spark, sf))
+
+
+# ---- labels and contexts ----
+@query(f"WITH {TOKENS}, o AS (SELECT doc_id, list_transform(list_filter(regexp_extract_all(text, '{Q(C.C_TOKEN_RE2)}'), lambda x: NOT (x LIKE '//%' OR x LIKE '/*%' OR x LIKE '#%')), lambda t: {_duck_label()}) AS ls FROM ({CODE})) SELECT doc_id, md5(array_to_string(list_concat(list_concat([35], list_concat(list_slice(ls, 1, 46), [35])), list_transform(range(greatest(46 - len(ls), 0)), lambda k: -100)), ',')) AS labels_md5 FROM o")
+def label_vectors(spark, sf):
+    """Labels of 48 places: cut, with a special place at each end, padded."""
+    v = C.label_vector(F.col("labels"), 48, C.LABELS.index("Other"))
+    d = code(spark, sf).select("doc_id", C.labels_or_other(F.col("text")).alias("labels"))
+    return d.select("doc_id", F.md5(F.array_join(F.transform(v, lambda x: x.cast("string")), ",").cast("binary")).alias("labels_md5"))
+
+
+@query(f"WITH t AS (SELECT doc_id, list_filter(regexp_extract_all(text, '{Q(C.C_TOKEN_RE2)}'), lambda x: NOT (x LIKE '//%' OR x LIKE '/*%' OR x LIKE '#%')) AS ts FROM ({CODE})), x AS (SELECT doc_id, ts, unnest(range(len(ts))) AS i FROM t) SELECT doc_id, i::INT AS i, ts[i + 1] AS token, CASE WHEN i > 0 THEN ts[i] END AS before, array_to_string(list_slice(ts, greatest(i - 1, 1), i + 3), ' ') AS near FROM x")
+def token_context(spark, sf):
+    d = code(spark, sf).select("doc_id", F.posexplode(C.context(C.c_tokens(F.col("text")))).alias("i", "x"))
+    return d.select("doc_id", "i", "x.token", "x.before", F.array_join("x.near", " ").alias("near"))
+
+
+portable("shuffled_rows", "SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY md5(concat('7:1:', CAST(doc_id AS STRING))), doc_id) AS place FROM {documents}", "documents")
+
+
+@query("SELECT n_nationkey, v AS vocab_size, (v + 512 + 2) * 768 + 2 * 768 + 12 * (4 * (768 * 768 + 768) + 2 * 768 + (768 * 3072 + 3072) + (3072 * 768 + 768) + 2 * 768) + 768 * 768 + 768 + 2 * 768 + v AS parameters FROM (SELECT n_nationkey, 128 + n_nationkey::BIGINT * 100 AS v FROM nation)")
+def model_parameters(spark, sf):
+    """Parameters of the base encoder at several vocabulary sizes: linear in the size."""
+    from .plans.arguments import ModelConfig
+
+    one, two = ModelConfig(1).parameters, ModelConfig(2).parameters
+    v = F.lit(128) + F.col("n_nationkey").cast("long") * 100
+    return table(spark, sf, "nation").select("n_nationkey", v.alias("vocab_size"), (F.lit(one) + (v - 1) * F.lit(two - one)).alias("parameters"))
+
+
+@query()
+def spm_spans(spark, sf):
+    from .operators.tokenizers import piece_spans
+
+    d = piece_spans(spark, table(spark, sf, "documents"))
+    return d.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), F.md5(F.to_json("pieces")).alias("spans_md5"), F.md5("decoded").alias("decoded_md5"))
+
+
+@query()
+def cv_interval(spark, sf):
+    f = predictions(spark, sf).withColumn("fold", F.col("doc_id") % 5).withColumn("hit", (F.col("pred") == F.col("quality")).cast("double"))
+    return evaluate.cross_validation(f, "fold", "hit")

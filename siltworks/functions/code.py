@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import count
+from .text import count, let
 
 # ---- fixed values: what results depend on ----
 KEYWORDS = "auto break case char const continue default do double else enum extern float for goto if int long register return short signed sizeof static struct switch typedef union unsigned void volatile while".split()
@@ -43,6 +43,7 @@ HEURISTICS = {
 }
 INPUTS, SANITIZERS = r"\$_GET|\$_POST|\$_REQUEST|\$_COOKIE", r"htmlspecialchars|strip_tags|addslashes|mysql_real_escape_string"
 SESSION, SESSION_SAFE = r"session_start\(\)", r"session_regenerate_id|session_set_cookie_params"
+COMMON_KEYWORDS = "int char float double void if else for while return".split()
 LABELS = "FunctionDefinition FunctionDeclaration Parameter FunctionCall VariableDeclaration VariableAssignment VariableReference TypeSpecifier Typedef StructDefinition UnionDefinition EnumDefinition IfStatement ElseStatement SwitchStatement CaseStatement ForLoop WhileLoop DoWhileLoop ReturnStatement BreakStatement ContinueStatement GotoStatement BinaryExpression UnaryExpression TernaryExpression AssignmentExpression IntegerLiteral FloatLiteral CharacterLiteral StringLiteral IncludeDirective DefineDirective ConditionalDirective Comment Other".split()
 WORD_LABELS = [
     ("TypeSpecifier", "int char float double void long short unsigned signed"), ("Typedef", "typedef"), ("StructDefinition", "struct"), ("UnionDefinition", "union"), ("EnumDefinition", "enum"), ("IfStatement", "if"), ("ElseStatement", "else"),
@@ -52,6 +53,11 @@ WORD_LABELS = [
 OPERATOR_LABELS = [("BinaryExpression", "+ - * / % << >> & | ^"), ("UnaryExpression", "++ -- ! ~"), ("AssignmentExpression", "= += -= *= /= %= <<= >>= &= |= ^="), ("TernaryExpression", "?")]
 # ---- end of fixed values ----
 
+IDENTIFIER_WORD = rf"\b{IDENTIFIER}\b"
+#: What every detection holds: one of these before a parenthesis or an equals sign, or without one.
+GATE = r"(?i)(?:exec|execute|eval|system|popen|proc_open|shell_exec|passthru|call|strcpy|strcat|gets|scanf|sprintf|write|open|file|include|include_once|require|require_once|md5|sha1|loads|load|random|rand|file_get_contents|readfile|file_put_contents|header|setcookie|ldap_search|ldap_query|xpath|xpath_query|DOMDocument|SimpleXMLElement|xml_parser_create|session_start)\s*\(|(?:query|innerHTML|outerHTML|password|api_key|secret|token|key)\s*=|\$_(?:GET|POST|REQUEST|COOKIE)"
+GATE_WITHOUT = r"(?i)hashlib\.|Crypto\.Cipher\.|(?:select|insert|update|delete)\s+from\s"
+
 #: Tokens of C, longest operators first; comments and directive lines are skipped, as a parser's hidden channel does.
 C_TOKEN = r"""(?s)/\*.*?\*/|//[^\n]*|#[^\n]*|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|[A-Za-z_][A-Za-z0-9_]*|\.?[0-9](?:[eEpP][+-]|[0-9A-Za-z_.])*+|\.\.\.|<<=|>>=|->|\+\+|--|<<|>>|<=|>=|==|!=|&&|\|\||[-+*/%&|^]=|[-+*/%&|^~!<>=?:;,.(){}\[\]]"""
 C_TOKEN_RE2 = C_TOKEN.replace("*+", "*")
@@ -106,6 +112,22 @@ def lost_identifiers(o: Column, p: Column) -> Column:
     return F.array_sort(F.filter(gone, lambda x: (F.length(x) > 2) & ~x.startswith("_")))
 
 
+def brace_balance(text: Column) -> Column:
+    """Opening minus closing braces, parentheses and brackets."""
+    return F.struct(*[(literal_count(text, a) - literal_count(text, b)).alias(n) for n, a, b in (("curly", "{", "}"), ("round", "(", ")"), ("square", "[", "]"))])
+
+
+def plain_identifiers(text: Column) -> Column:
+    """Distinct identifiers but for the ten commonest keywords."""
+    return F.array_except(_all(text, IDENTIFIER_WORD), F.array(*[F.lit(k) for k in COMMON_KEYWORDS]))
+
+
+def may_be_vulnerable(text: Column) -> Column:
+    """Whether any detection can match at all: each needs a call, an assignment, a superglobal, a statement or a module's name. Literals first, which most prose fails."""
+    literal = text.contains("(") | text.contains("=") | text.contains("$_")
+    return (literal & text.rlike(GATE)) | text.rlike(GATE_WITHOUT)
+
+
 def family_counts(text: Column) -> dict[str, Column]:
     return {name: _total(count(text, f"(?i)(?m){p}") for p in patterns) for name, patterns in VULNERABILITIES.items()}
 
@@ -119,6 +141,18 @@ def context_checks(text: Column) -> dict[str, Column]:
     return {"missing_input_validation": (has(INPUTS) & ~has(SANITIZERS)).cast("long"), "weak_session_management": (has(SESSION) & ~has(SESSION_SAFE)).cast("long")}
 
 
+def detected(text: Column) -> Column:
+    """Names of all detections, each as often as it matches; empty for a null text."""
+    names = [F.array_repeat(F.lit(n), c.cast("int")) for n, c in [*family_counts(text).items(), *heuristic_counts(text).items(), *context_checks(text).items()]]
+    return F.when(F.coalesce(may_be_vulnerable(text), F.lit(False)), F.concat(*names)).otherwise(F.array().cast("array<string>"))
+
+
+def vulnerability_score(text: Column) -> Column:
+    """Matches of all families, weighted heuristics and context checks; 0 for a null text."""
+    parts = [*family_counts(text).values(), *[HEURISTICS[n][1] * c for n, c in heuristic_counts(text).items()], *context_checks(text).values()]
+    return F.when(F.coalesce(may_be_vulnerable(text), F.lit(False)), _total(parts)).otherwise(F.lit(0)).cast("long")
+
+
 def c_tokens(text: Column) -> Column:
     return F.filter(_all(text, C_TOKEN), lambda x: ~(x.startswith("//") | x.startswith("/*") | x.startswith("#")))
 
@@ -165,11 +199,6 @@ def keychar_ids(tokens: Column) -> Column:
     return F.transform(tokens, lambda c: F.coalesce(F.when(F.length(c) > 1, F.try_element_at(at, c)), F.when(F.ascii(c) < 128, F.ascii(c) + 5), F.lit(0)))
 
 
-def _let(value: Column, body) -> Column:
-    """body(value), with value computed once although lambdas in body use it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 FAN = 32
 
 
@@ -184,18 +213,18 @@ def _starts(lengths: Column, levels: int = 4) -> Column:
     def before(xs: Column, left: int) -> Column:
         if not left:
             return F.transform(xs, lambda x, i: add(F.slice(xs, F.lit(1), i)))
-        return _let(F.when(F.size(xs) > FAN, runs(xs)).otherwise(F.array().cast("array<int>")), lambda up: _let(
+        return let(F.when(F.size(xs) > FAN, runs(xs)).otherwise(F.array().cast("array<int>")), lambda up: let(
             F.when(F.size(up) > 0, before(up, left - 1)).otherwise(F.array(F.lit(0))),
             lambda base: F.transform(xs, lambda x, i: F.get(base, F.floor(i / FAN).cast("int")) + add(F.slice(xs, i - i % FAN + 1, i % FAN))),
         ))
 
-    return _let(lengths, lambda xs: before(xs, levels))
+    return let(lengths, lambda xs: before(xs, levels))
 
 
 def spans(tokens: Column) -> Column:
     """(token, start, end) with running offsets."""
     kind = "array<struct<token:string,start:int,end:int>>"
-    return _let(tokens, lambda ts: F.zip_with(ts, _starts(F.transform(ts, lambda x: F.length(x))), lambda x, s: F.struct(x.alias("token"), s.alias("start"), (s + F.length(x)).alias("end"))).cast(kind))
+    return let(tokens, lambda ts: F.zip_with(ts, _starts(F.transform(ts, lambda x: F.length(x))), lambda x, s: F.struct(x.alias("token"), s.alias("start"), (s + F.length(x)).alias("end"))).cast(kind))
 
 
 def encoded(ids: Column, length: int, pad: int = 0) -> tuple[Column, Column]:
@@ -205,6 +234,73 @@ def encoded(ids: Column, length: int, pad: int = 0) -> tuple[Column, Column]:
     return F.concat(cut, F.array_repeat(F.lit(pad), fill)), F.concat(F.transform(cut, lambda x: F.lit(1)), F.array_repeat(F.lit(0), fill))
 
 
+def ids_from(tokens: Column, vocabulary: dict[str, int], unknown: str = "[UNK]") -> Column:
+    """Each token's id, or the unknown token's."""
+    at = F.create_map(*[F.lit(v) for kv in vocabulary.items() for v in kv])
+    return F.transform(tokens, lambda t: F.coalesce(F.try_element_at(at, t), F.lit(vocabulary[unknown])))
+
+
+def tokens_from(ids: Column, vocabulary: dict[str, int], unknown: str = "[UNK]") -> Column:
+    """Each id's token, or the unknown token."""
+    at = F.create_map(*[F.lit(v) for t, k in vocabulary.items() for v in (k, t)])
+    return F.transform(ids, lambda k: F.coalesce(F.try_element_at(at, k), F.lit(unknown)))
+
+
+def detokenized(tokens: Column) -> Column:
+    """Tokens of characters and keywords stand side by side, as in the text."""
+    return F.array_join(tokens, "")
+
+
+SPECIAL = ("[UNK]", "[SEP]", "[PAD]", "[CLS]", "[MASK]")
+
+
+def char_vocabulary() -> dict[str, int]:
+    return {t: k for k, t in enumerate([*SPECIAL, *map(chr, range(128))])}
+
+
+def keychar_vocabulary() -> dict[str, int]:
+    return {t: k for k, t in enumerate([*char_vocabulary(), *sorted(KEYWORDS)])}
+
+
+def tokenizer(kind: str, vocab_file: str | None = None, model_file: str | None = None):
+    """(tokens of a text column, ids of a token column) of a kind of tokenizer; a piece tokenizer works on frames (operators.tokenizers) and has none here."""
+    from ..plans.arguments import check_tokenizer
+
+    check_tokenizer(kind, vocab_file, model_file)
+    if kind == "spe":
+        raise ValueError("piece tokens are made by operators.tokenizers.piece_spans")
+    return (char_tokens, char_ids) if kind == "char" else (keychar_tokens, keychar_ids)
+
+
+def label_vector(labels: Column, length: int, other: int, ignore: int = -100) -> Column:
+    """Labels cut to leave room for one special place at each end, which get ``other``; the rest is ignored."""
+    body = F.concat(F.array(F.lit(other)), F.slice(labels, 1, length - 2), F.array(F.lit(other)))
+    return F.concat(body, F.array_repeat(F.lit(ignore), F.greatest(F.lit(length) - F.size(body), F.lit(0))))
+
+
+def repeated_label(ids: Column, label: Column, pad: int, ignore: int = -100) -> Column:
+    """The label at each real place, ignored at padding."""
+    return F.transform(ids, lambda x: F.when(x == pad, F.lit(ignore)).otherwise(label))
+
+
+def labels_or_other(text: Column) -> Column:
+    """Labels of the C tokens; where none is found, one ``Other`` for each word."""
+    from .text import WS
+
+    found, other = F.transform(c_tokens(text), token_label), F.lit(LABELS.index("Other"))
+    return F.when(F.size(found) > 0, found).otherwise(F.transform(F.filter(F.split(text, f"{WS}+"), lambda w: w != ""), lambda w: other))
+
+
+def context(tokens: Column, around: int = 2) -> Column:
+    """Each token with the one before and those up to ``around`` places away, itself included."""
+    return let(tokens, lambda ts: F.transform(ts, lambda t, i: F.struct(t.alias("token"), F.get(ts, i - 1).alias("before"), F.slice(ts, F.greatest(i - around + 1, F.lit(1)), F.lit(around + 1) + F.least(i, F.lit(around))).alias("near"))))
+
+
+def overlapping(spans_: Column, others: Column) -> Column:
+    """The spans (start, end) that overlap any of the others."""
+    return F.filter(spans_, lambda s: F.exists(others, lambda o: F.greatest(s["start"], o["start"]) < F.least(s["end"], o["end"])))
+
+
 def uniform(*parts: Column) -> Column:
     """A number in [0, 1) fixed by its parts, the same in any engine with md5."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)

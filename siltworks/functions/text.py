@@ -13,6 +13,23 @@ FUNCTION = r"(?m)^\s*\w[\w\s]*\*?\s*\w+\s*\([^)]*\)\s*\{"
 BRANCHES, JUMPS, TERNARY = r"\b(?:if|while|for|switch|case)\b", r"\b(?:goto|break|continue|return)\b", r"[?:]"
 
 
+#: A function's head up to its opening parenthesis, from the first line of a stretch of word characters and blanks (a later line of it can't match if the first doesn't). The stretch is taken as a whole, so a text is read once.
+_HEAD = r"\s*+\w(?:\s*+\w[\w\s]*+|[\w\s]*+\*\s*+\w++\s*+)\("
+_LINE_START = r"[^\w\s][\w\s&&[^\n]]*+\n"
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once although lambdas in body use it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def function_count(code: Column) -> Column:
+    """Matches of FUNCTION, in time that is linear in the text: a match holds one closing parenthesis, so between two of them there is at most one, and only where a brace follows the second."""
+    first, later = rf"(?:\A|{_LINE_START}){_HEAD}", rf"(?:\A[\w\s&&[^\n]]*+\n|{_LINE_START}){_HEAD}"
+    found = let(F.split(code, r"\)"), lambda parts: F.filter(parts, lambda p, k: F.coalesce(F.get(parts, k + 1).rlike(r"\A\s*\{"), F.lit(False)) & F.when(k == 0, p.rlike(first)).otherwise(p.rlike(later))))
+    return F.size(found).cast("long")
+
+
 def count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern)).cast("long")
 
@@ -79,9 +96,24 @@ def file_metrics(df, text: str = "text"):
             "lines_comments": F.size(F.filter("_bare", lambda x: (x != "") & note(x))).cast("long"),
             "lines_code": F.size(F.filter("_bare", lambda x: (x != "") & ~note(x))).cast("long"),
             "max_line_length": F.array_max(F.transform("_lines", F.length)).cast("long"),
-            "functions": count(code, FUNCTION),
+            "functions": function_count(code),
             "non_ascii_chars": F.length(F.regexp_replace(t, r"[\x00-\x7F]", "")).cast("long"),
             "has_includes": t.contains("#include"),
             "complexity": count(code, BRANCHES) + count(code, JUMPS) + count(code, TERNARY),
         }
     ).drop("_code", "_lines", "_bare")
+
+
+def file_quality(df, text: str = "text"):
+    """df with size, share of comment lines, mean line length and encoding; a file that couldn't be read (null) has zeros and an unknown encoding."""
+    t, lines = F.col(text), F.split(F.col(text), "\n")
+    note = lambda x: x.startswith("//") | x.startswith("/*") | x.endswith("*/")
+    n = F.greatest(F.size(lines), F.lit(1))
+    return df.withColumns(
+        {
+            "file_size": F.coalesce(F.octet_length(t), F.lit(0)).cast("long"),
+            "comment_ratio": F.when(t.isNull(), 0.0).otherwise(F.size(F.filter(lines, lambda x: note(strip(x)))) / n),
+            "avg_line_length": F.when(t.isNull(), 0.0).otherwise((F.length(t) - F.size(lines) + 1) / n),  # all but the line ends
+            "encoding": F.when(t.isNull(), "unknown").otherwise("utf-8"),
+        }
+    )

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.staging import staged
+
 SIZE_LIMITS = [("<1KB", 1024), ("1-10KB", 10240), ("10-100KB", 102400)]
 
 
@@ -31,10 +35,25 @@ def duplicate_groups(files: DataFrame, folded: Column, key: list[str]) -> DataFr
     return g.groupBy(*key).agg(F.sum("c").cast("long").alias("files"), F.count_if(F.col("c") > 1).alias("groups"), (F.count_if(F.col("c") > 1) / F.greatest(F.sum("c"), F.lit(1))).alias("duplicate_ratio"))
 
 
-def offsets(lines: DataFrame, order: list[str], text: str = "text", partitions: int = 64) -> DataFrame:
-    """Exclusive running byte offsets of lines in ``order``. Two phases: sums within range partitions, then the few partition totals; no task gets all rows."""
-    placed = lines.repartitionByRange(partitions, *order).withColumn("_p", F.spark_partition_id()).withColumn("_b", (F.octet_length(text) + 1).cast("long"))
-    totals = placed.groupBy("_p").agg(F.sum("_b").alias("_t"))
-    before = totals.withColumn("_before", F.coalesce(F.sum("_t").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # at most ``partitions`` rows
-    inner = F.coalesce(F.sum("_b").over(Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return placed.withColumn("_in", inner).join(F.broadcast(before.select(F.col("_p").alias("_q"), "_before")), F.col("_p") == F.col("_q")).withColumn("line_offset", (F.col("_before") + F.col("_in")).cast("long")).drop("_p", "_q", "_b", "_in", "_before")
+def prefix_sums(rows: DataFrame, order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """rows with the sum of each column over all rows before it in ``order``, 0 for the first. Rows are placed by range once and staged; then sums within a partition, and the totals of those before it. No task gets all rows, only one row for each partition."""
+    spark, tag = rows.sparkSession, f"_{uuid.uuid4().hex}_"
+    part, names = f"{tag}part", {name: f"{tag}{k}" for k, name in enumerate(sums)}
+    values = rows.withColumns({names[name]: c.cast("long") for name, c in sums.items()})
+    placed = staged(spark, values.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), "placed")
+    totals = placed.groupBy(F.col(part).alias(f"{tag}at")).agg(*[F.sum(c).alias(f"{c}_all") for c in names.values()])
+    earlier = Window.orderBy(f"{tag}at").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    before = totals.select(f"{tag}at", *[F.coalesce(F.sum(f"{c}_all").over(earlier), F.lit(0)).alias(f"{c}_before") for c in names.values()])
+    inside = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = placed.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"{c}_inside") for c in names.values()]).join(F.broadcast(before), F.col(part) == F.col(f"{tag}at"))
+    return out.select(*rows.columns, *[(F.col(f"{c}_before") + F.col(f"{c}_inside")).alias(name) for name, c in names.items()])
+
+
+def offsets(lines: DataFrame, order: list[str], text: str = "text") -> DataFrame:
+    """lines with line_offset, the bytes of all lines before in ``order``, line ends included."""
+    return prefix_sums(lines, order, {"line_offset": F.octet_length(text) + 1})
+
+
+def row_numbers(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """rows numbered from 0 in ``order``."""
+    return prefix_sums(rows, order, {name: F.lit(1)})

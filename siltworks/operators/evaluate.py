@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .corpus import prefix_sums
+
 IGNORE = -100
 
 
@@ -42,13 +44,21 @@ def binary_metrics(rows: DataFrame, label: str, score: str, cut: float = 0.5) ->
 
 
 def roc_auc(rows: DataFrame, label: str, score: str) -> DataFrame:
-    """Tie-aware area from the counts of each distinct score: one row per score is ordered, not one per input row."""
-    by = rows.groupBy(score).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = by.select("p", "q", (F.col("p") * (below + F.col("q") / 2)).alias("w")).agg(F.sum("w").alias("w"), F.sum("p").alias("p"), F.sum("q").alias("q"))
+    """Tie-aware area from the counts of each distinct score, added up in the order of scores over range partitions."""
+    by = rows.groupBy(F.col(score).alias("score")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("q"))
+    by = prefix_sums(by, ["score"], {"below": F.col("q")})
+    won = by.agg(F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)).alias("w"), F.sum("p").alias("p"), F.sum("q").alias("q"))
     return won.select(F.when((F.col("p") > 0) & (F.col("q") > 0), F.col("w") / (F.col("p") * F.col("q"))).otherwise(0.0).alias("auc"))
 
 
+def batch_auc(rows: DataFrame, batch: str, label: str, score: str) -> DataFrame:
+    """(batch, auc) of many small batches: 0 for one with a single class."""
+    by = rows.groupBy(batch, F.col(score).alias("score")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("q"))
+    below = F.coalesce(F.sum("q").over(Window.partitionBy(batch).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    won = by.select(batch, "p", "q", (F.col("p") * (below + F.col("q") / 2)).alias("w")).groupBy(batch).agg(F.sum("w").alias("w"), F.sum("p").alias("p"), F.sum("q").alias("q"))
+    return won.select(batch, F.when((F.col("p") > 0) & (F.col("q") > 0), F.col("w") / (F.col("p") * F.col("q"))).otherwise(0.0).alias("auc"))
+
+
 def weighted_prf(rows: DataFrame, label: str, prediction: str) -> DataFrame:
     """Support-weighted precision, recall, F1, and accuracy from the confusion counts."""
     c = rows.where(F.col(label) != IGNORE).groupBy(F.col(label).alias("l"), F.col(prediction).alias("p")).agg(F.count(F.lit(1)).alias("n"))
@@ -123,3 +133,75 @@ def t_test_p(rows: DataFrame, group: str, value: str) -> DataFrame:
             yield pdf
 
     return t_test(rows, group, value).mapInPandas(run, "n0 long, n1 long, t double, p_value double, significant boolean")
+
+
+# ---- composed evaluations ----
+def beside(*frames: DataFrame) -> DataFrame:
+    """Frames of one row each as one row; one without a row leaves nulls."""
+    out = frames[0].withColumn("_one", F.lit(1))
+    for f in frames[1:]:
+        out = out.join(F.broadcast(f.withColumn("_one", F.lit(1))), "_one", "left")
+    return out.drop("_one")
+
+
+def pooled_scores(rows: DataFrame, logits: str, labels: str) -> DataFrame:
+    """rows with prob, prediction and label: class logits averaged over the places whose label isn't ignored, softmax of class 1, the larger class, and the first place's label. Rows whose label is ignored go."""
+    pairs = F.filter(F.arrays_zip(F.col(logits).alias("x"), F.col(labels).alias("y")), lambda t: t["y"] != IGNORE)
+    total = lambda k: F.aggregate(F.transform("_pairs", lambda t: t["x"][k].cast("double")), F.lit(0.0), lambda s, v: s + v) / F.greatest(F.size("_pairs"), F.lit(1))
+    df = rows.withColumn("_pairs", pairs).withColumns({"_a": total(0), "_b": total(1)})
+    df = df.withColumns({"prob": 1 / (1 + F.exp(F.col("_a") - F.col("_b"))), "prediction": F.when(F.col("_b") > F.col("_a"), 1).otherwise(0), "label": F.get(F.col(labels), F.lit(0))})
+    return df.where(F.col("label") != IGNORE).drop("_pairs", "_a", "_b")
+
+
+def detection_batches(rows: DataFrame, batch: str) -> DataFrame:
+    """(batch, accuracy, precision, recall, f1, auc) of pooled rows (prob, prediction, label)."""
+    hit, real = F.col("prediction") == 1, F.col("label") == 1
+    n = rows.groupBy(batch).agg(F.avg((F.col("prediction") == F.col("label")).cast("int")).alias("accuracy"), F.count_if(hit & real).alias("tp"), F.count_if(hit & ~real).alias("fp"), F.count_if(~hit & real).alias("fn"))
+    div = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    n = n.withColumns({"precision": div(F.col("tp"), F.col("tp") + F.col("fp")), "recall": div(F.col("tp"), F.col("tp") + F.col("fn"))})
+    n = n.withColumn("f1", div(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+    return n.join(batch_auc(rows, batch, "label", "prob"), batch).select(batch, "accuracy", "precision", "recall", "f1", "auc")
+
+
+def batch_means(batches: DataFrame, *columns: str) -> DataFrame:
+    """Means over batches, each counting alike, and their number: so the batch size has a say in the result."""
+    return batches.agg(F.count(F.lit(1)).alias("batches"), *[F.avg(c).alias(f"average_{c}") for c in columns])
+
+
+def model_evaluation(rows: DataFrame, batch: str, logits: str, ids: str, mask: str) -> DataFrame:
+    """(loss, accuracy, perplexity): mean over batches of the mean cross entropy of places whose id isn't 0, and the share of right places among those that the mask has."""
+    places = rows.select(batch, F.explode(F.arrays_zip(F.col(logits).alias("x"), F.col(ids).alias("id"), F.col(mask).alias("m"))).alias("t")).select(batch, F.transform("t.x", lambda v: v.cast("double")).alias("x"), "t.id", "t.m")
+    best = F.array_max("x")
+    total = F.aggregate(F.transform("x", lambda v: F.exp(v - best)), F.lit(0.0), lambda s, v: s + v)
+    loss = F.log(total) + best - F.get(F.col("x"), F.col("id"))
+    right = (F.array_position("x", best) - 1 == F.col("id")) & (F.col("m") == 1)
+    per = places.groupBy(batch).agg(F.avg(F.when(F.col("id") != 0, loss)).alias("loss"), F.count_if(right).alias("hits"), F.count_if(F.col("m") == 1).alias("places"))
+    return per.agg(F.avg("loss").alias("loss"), (F.sum("hits") / F.greatest(F.sum("places"), F.lit(1))).alias("accuracy"), F.exp(F.avg("loss")).alias("perplexity"))
+
+
+def mlm_task(pairs: DataFrame, key: str, predicted: str, reference: str, tokens: DataFrame) -> DataFrame:
+    """One row: token accuracy of ``tokens`` (prediction, label), exact match, BLEU, AST similarity and its interval over pairs of texts."""
+    from ..functions.code import ast_similarity
+    from ..functions.text import WS, strip
+
+    words = lambda c: F.filter(F.split(F.col(c), f"{WS}+"), lambda w: w != "")
+    scores = bleu(pairs.select(key, words(predicted).alias("p"), words(reference).alias("r")), key, "p", "r").agg(F.avg("bleu").alias("bleu_score"))
+    each = pairs.select(F.lit(0).alias("all"), (strip(F.col(predicted)) == strip(F.col(reference))).cast("int").alias("same"), ast_similarity(F.col(predicted), F.col(reference)).alias("similarity"))
+    same = each.agg(F.avg("same").alias("exact_match"), F.avg("similarity").alias("ast_similarity"))
+    kept = tokens.where(F.col("label") != IGNORE)
+    right = kept.agg(F.coalesce(F.avg((F.col("prediction") == F.col("label")).cast("int")), F.lit(0.0)).alias("token_accuracy"))
+    bounds = interval(each, "all", "similarity").select(F.col("lower").alias("ast_similarity_lower"), F.col("upper").alias("ast_similarity_upper"))
+    return beside(right, same, scores, bounds)
+
+
+def vulnerability_task(rows: DataFrame, label: str, score: str) -> DataFrame:
+    """One row: precision, recall and F1 at 0.5, and the area under the curve; the scores' interval is ``bootstrap``'s."""
+    return beside(binary_metrics(rows, label, score).select("precision", "recall", "f1"), roc_auc(rows, label, score))
+
+
+def cross_validation(rows: DataFrame, fold: str, value: str) -> DataFrame:
+    """One row: the mean of the folds' means, their population deviation, the means by fold, and their interval."""
+    means = rows.groupBy(fold).agg(F.avg(value).alias("score"))
+    bounds = interval(means.withColumn("all", F.lit(0)), "all", "score").select(F.col("lower").alias("cv_lower"), F.col("upper").alias("cv_upper"))
+    one = means.agg(F.avg("score").alias("cv_mean"), F.stddev_pop("score").alias("cv_std"), F.transform(F.array_sort(F.collect_list(F.struct(fold, "score"))), lambda x: x["score"]).alias("cv_scores"))  # a row for each fold
+    return beside(one, bounds)

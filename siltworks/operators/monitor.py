@@ -38,9 +38,54 @@ def alerts(t: dict | None = None) -> Column:
     )
 
 
+def direction(new: Column, old: Column) -> Column:
+    return F.when(F.abs(new - old) < 0.01, "stable").when(new > old, "increasing").otherwise("decreasing")
+
+
 def trend(value: str, order, part: list[str], higher_is_better: bool = True) -> Column:
-    """improving, declining or stable over the last ten rows against up to ten before; insufficient_data below eleven."""
+    """increasing, decreasing or stable over the last ten rows against up to ten before; insufficient_data below eleven. Where less is better (issues), the direction is that of the quality."""
     w = Window.partitionBy(*part).orderBy(*order)
     new, old, n = F.avg(value).over(w.rowsBetween(-9, 0)), F.avg(value).over(w.rowsBetween(-19, -10)), F.row_number().over(w)
-    diff = (new - old) if higher_is_better else (old - new)
-    return F.when(n < 11, "insufficient_data").when(F.abs(diff) < 0.01, "stable").when(diff > 0, "improving").otherwise("declining")
+    return F.when(n < 11, "insufficient_data").otherwise(direction(new, old) if higher_is_better else direction(old, new))
+
+
+#: Columns of a batch's row whose means make the summary.
+AVERAGED = "batch_size avg_sequence_length vocab_coverage duplicate_ratio processing_time_ms semantic_issues critical_semantic_issues bleu_score ast_similarity token_accuracy error_count".split()
+#: Trends by name: column, and whether more of it is better.
+TRENDS = {"sequence_length": ("avg_sequence_length", True), "vocab_coverage": ("vocab_coverage", True), "processing_time": ("processing_time_ms", True), "semantic_quality": ("semantic_issues", False), "bleu_score": ("bleu_score", True), "ast_similarity": ("ast_similarity", True)}
+
+
+def quality_summary(batches: DataFrame, key: str, order: str, ts: str = "ts", window: int = 100, thresholds: dict | None = None) -> DataFrame:
+    """A row for each key: size, first and last time, means and trends of its last ``window`` batches, and how many of the last ten alerts there are."""
+    last = batches.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where(F.col("_k") <= window)
+    mean = lambda c, lo, hi: F.avg(F.when(F.col("_k").between(lo, hi), F.col(c)))
+    n = F.count(F.lit(1))
+    ways = []
+    for name, (c, up) in TRENDS.items():
+        new, old = mean(c, 1, 10), mean(c, 11, 20)
+        ways.append(F.when(n < 11, "insufficient_data").otherwise(direction(new, old) if up else direction(old, new)).alias(f"trend_{name}"))
+    return last.groupBy(key).agg(n.alias("window_size"), F.min_by(ts, order).alias("first_ts"), F.max_by(ts, order).alias("last_ts"), *[F.avg(c).alias(f"mean_{c}") for c in AVERAGED], *ways, F.least(F.sum(F.size(alerts(thresholds))), F.lit(10)).cast("long").alias("recent_alerts"))
+
+
+def epoch_summary(batches: DataFrame, epoch: str, ts: str = "ts", thresholds: dict | None = None) -> DataFrame:
+    """A row for each epoch from its batches."""
+    total = lambda c: F.sum(c).cast("long")
+    return batches.groupBy(epoch).agg(
+        ((F.unix_micros(F.max(ts).cast("timestamp")) - F.unix_micros(F.min(ts).cast("timestamp"))) / 1e6).alias("duration_seconds"), F.count(F.lit(1)).alias("total_batches"), F.avg("batch_size").alias("avg_batch_size"), F.avg("processing_time_ms").alias("avg_processing_time"), total(F.size(alerts(thresholds))).alias("quality_alerts"),
+        total("semantic_issues").alias("total_semantic_issues"), total("critical_semantic_issues").alias("critical_semantic_issues"), F.avg("bleu_score").alias("avg_bleu_score"), F.avg("ast_similarity").alias("avg_ast_similarity"), F.avg("token_accuracy").alias("avg_token_accuracy"), total("error_count").alias("total_errors"),
+    )
+
+
+def training_summary(epochs: DataFrame) -> DataFrame:
+    """One row from the epochs' rows: each epoch counts alike in the means."""
+    return epochs.agg(
+        F.count(F.lit(1)).alias("total_epochs"), F.sum("duration_seconds").alias("total_training_time"), F.avg("duration_seconds").alias("avg_epoch_duration"), F.sum("total_batches").alias("total_batches"), F.avg("avg_batch_size").alias("avg_batch_size"), F.sum("quality_alerts").alias("total_alerts"),
+        F.sum("total_semantic_issues").alias("total_semantic_issues"), F.sum("critical_semantic_issues").alias("total_critical_semantic_issues"), F.avg("avg_bleu_score").alias("avg_bleu_score"), F.avg("avg_ast_similarity").alias("avg_ast_similarity"), F.avg("avg_token_accuracy").alias("avg_token_accuracy"), F.sum("total_errors").alias("total_errors"),
+    )
+
+
+def error_log(batches: DataFrame, key: str, order: str, kept: int = 1000, ts: str = "ts") -> DataFrame:
+    """A row for each error of a batch, the last ``kept`` of each key: (key, order, ts, severity, component, error_type). Errors of batches with critical issues are critical."""
+    errors = batches.where("error_count > 0").select(key, order, F.col(ts).alias("ts"), F.when(F.col("critical_semantic_issues") > 0, "critical").otherwise("error").alias("severity"), F.when(F.col("semantic_issues") > 0, "semantic_validation").otherwise("evaluation").alias("component"), F.when(F.col("semantic_issues") > 0, "ValidationError").otherwise("EvaluationError").alias("error_type"), F.posexplode(F.array_repeat(F.lit(1), F.col("error_count").cast("int"))).alias("no", "one"))
+    last = Window.partitionBy(key).orderBy(F.desc(order), F.desc("no"))
+    return errors.withColumn("one", F.row_number().over(last)).where(F.col("one") <= kept).drop("one")

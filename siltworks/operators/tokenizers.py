@@ -42,6 +42,39 @@ def piece_tokens(spark: SparkSession, docs: DataFrame, model: str | None = None)
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_pieces long, round_trip boolean")
 
 
+def find_spans(text: str, tokens: list[str]) -> list[tuple[str, int, int]]:
+    """Where each token is found from the end of the one before on; one that isn't found (a piece with a mark for a blank) is taken to stand there."""
+    out, at = [], 0
+    for t in tokens:
+        start = text.find(t, at)
+        start = at if start < 0 else start
+        at = start + len(t)
+        out.append((t, start, at))
+    return out
+
+
+def piece_spans(spark: SparkSession, docs: DataFrame, model: str | None = None) -> DataFrame:
+    """(doc_id, pieces): each piece of the whole text with its start and end, and the text that the pieces decode to."""
+    if model is None:
+        import public_tokenizers
+
+        model = public_tokenizers.path("piece_bpe_32k.model")
+    _package_path(spark)
+    with open(model, "rb") as f:
+        held = spark.sparkContext.broadcast(f.read())
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import sentencepiece
+
+        sp = sentencepiece.SentencePieceProcessor(model_proto=held.value)
+        for f in frames:
+            texts = f["text"].fillna("").tolist()
+            pieces = sp.encode(texts, out_type=str, num_threads=1)
+            yield pd.DataFrame({"doc_id": f["doc_id"], "pieces": [[{"token": a, "start": b, "end": c} for a, b, c in find_spans(t, p)] for t, p in zip(texts, pieces)], "decoded": [sp.decode(p) for p in pieces]})
+
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, pieces array<struct<token:string,start:int,end:int>>, decoded string")
+
+
 PYTHON_LABELS = "FunctionDef ClassDef Name Constant Attribute Call BinOp UnaryOp Compare If For While Return Assign AugAssign AnnAssign Import ImportFrom Try Except With List Dict Tuple Set Lambda Comprehension GeneratorExp ListComp DictComp SetComp Expr Pass Break Continue Global Nonlocal Assert Delete Raise Yield YieldFrom AsyncFunctionDef AsyncFor AsyncWith Await OTHER".split()
 LABEL_WORDS = {"if": "If", "elif": "If", "else": "If", "for": "For", "while": "While", "try": "Try", "except": "Except", "with": "With", "return": "Return", "yield": "Yield", "await": "Await", "import": "Import", "from": "ImportFrom", "pass": "Pass", "break": "Break", "continue": "Continue", "global": "Global", "nonlocal": "Nonlocal", "assert": "Assert", "del": "Delete", "raise": "Raise", "lambda": "Lambda"}
 AUGMENTED = set("+= -= *= /= %= **= //= >>= <<= &= |= ^=".split())

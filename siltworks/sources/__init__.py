@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+import subprocess
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import decoded
+from ..functions.text import decoded, preprocess, strip
 
 EXTENSIONS = (".c", ".h", ".cpp", ".cc", ".cxx", ".hpp", ".hxx")
 BOM = "name string, author string, url string, stars int, language string, description string, commit_hash string"
@@ -28,7 +33,7 @@ def bom(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(value) of the non-blank lines."""
-    return spark.read.text(path).where(F.trim("value") != "")
+    return spark.read.text(path).where(strip(F.col("value")) != "")
 
 
 def json_or_text(df: DataFrame, column: str, schema: str, text_field: str) -> DataFrame:
@@ -54,3 +59,99 @@ def training_log(spark: SparkSession, path: str) -> DataFrame:
 
 def model_config(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path, multiLine=True)
+
+
+def processed_files(files: DataFrame, text: str = "text") -> DataFrame:
+    """files with ``cleaned`` and the number of critical changes; only texts of more than 100 characters are checked, and one that can't be read (null) becomes an empty one."""
+    from ..functions.code import semantic_issues
+
+    t = F.replace(F.coalesce(F.col(text), F.lit("")), F.lit("\0"), F.lit(""))
+    df = files.withColumn("cleaned", F.coalesce(preprocess(t), F.lit("")))
+    critical = F.size(F.filter(semantic_issues(t, F.col("cleaned")), lambda x: x["severity"] == "critical"))
+    return df.withColumn("critical_issues", F.when(F.length(t) > 100, critical).otherwise(F.lit(0)).cast("long"))
+
+
+def offset_index(spark: SparkSession, path: str) -> DataFrame:
+    """(line_no, line_offset) of a JSON index ``{"line_offsets": [...]}``."""
+    whole = spark.read.text(path, wholetext=True)
+    return whole.select(F.posexplode(F.from_json("value", "line_offsets array<bigint>")["line_offsets"]).alias("line_no", "line_offset"))
+
+
+def lines_at(index: DataFrame, numbers: DataFrame, key: str = "line_no") -> DataFrame:
+    """The indexed lines whose number ``numbers`` has: an equi join, where a seek would be one read at a time."""
+    return index.join(numbers.select(key).distinct(), key, "left_semi")
+
+
+def head(df: DataFrame, order: list[str], text: str, rows: int = 10) -> DataFrame:
+    """The non-blank ones of the first rows."""
+    return df.orderBy(*order).limit(rows).where(strip(F.col(text)) != "")
+
+
+API = "name string, owner struct<login:string>, html_url string, stargazers_count int, language string, description string"
+
+
+def bom_projection(repositories: DataFrame, commit_hash: str | Column) -> DataFrame:
+    """Rows of a hosting service's answer (API) as rows of BOM."""
+    return repositories.select("name", F.col("owner.login").alias("author"), F.col("html_url").alias("url"), F.col("stargazers_count").alias("stars"), "language", "description", (F.col(commit_hash) if isinstance(commit_hash, str) else commit_hash).alias("commit_hash"))
+
+
+def top_repositories(spark: SparkSession, fetch: Callable[[str, int], str], language: str = "C", repositories: int = 100) -> DataFrame:
+    """The best starred repositories of a language, by ``fetch``, which gets the language and the number and returns the service's JSON answer; none where it fails. The network is the caller's."""
+    try:
+        items = json.loads(fetch(language, repositories))["items"]
+    except (OSError, ValueError, KeyError):
+        items = []
+    df = spark.read.schema(API).json(spark.createDataFrame([(json.dumps(x),) for x in items], "value string"))
+    return df.where(F.col("language") == language).orderBy(F.desc("stargazers_count"), "name").limit(repositories)
+
+
+def latest_commits(boms: DataFrame, fetch: Callable[[str], str | None]) -> DataFrame:
+    """boms with commit_hash by ``fetch``, which gets ``author/name`` on a worker; null where it fails. One call a row, so the service's limits set the pace, not Spark."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            found = []
+            for full in f["author"].str.cat(f["name"], sep="/"):
+                try:
+                    found.append(fetch(full))
+                except (OSError, ValueError):
+                    found.append(None)
+            yield f.assign(commit_hash=pd.Series(found, index=f.index, dtype=object))
+
+    return boms.select(*[f.split()[0] for f in BOM.split(", ")]).mapInPandas(run, BOM)
+
+
+def discovered_repositories(spark: SparkSession, root: str, max_depth: int = 1) -> DataFrame:
+    """(name, path) of folders under root that hold a ``.git`` folder, down to a depth; of equal names the last path wins. Only the ``HEAD`` files are listed."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "HEAD").load(root).select("path")
+    prefix = F.lit(root.rstrip("/") + "/")
+    rest = F.substring("path", F.instr(F.col("path"), root.rstrip("/") + "/") + F.length(prefix), F.length("path"))
+    repo = found.where(F.endswith("path", F.lit("/.git/HEAD"))).select(F.regexp_replace("path", "/\\.git/HEAD$", "").alias("path"), F.size(F.split(rest, "/")).alias("parts"))
+    repo = repo.where(F.col("parts") - 2 <= max_depth).select(F.element_at(F.split("path", "/"), -1).alias("name"), "path")
+    return repo.groupBy("name").agg(F.max("path").alias("path"))
+
+
+def git_info(repositories: DataFrame, path: str = "path") -> DataFrame:
+    """repositories (name, path) with the commit and remote of each working tree, null where git has none. Runs where the folders are: on one machine, or on a mount that workers share."""
+
+    def ask(folder: str, *args: str) -> str | None:
+        try:
+            return subprocess.run(["git", "-C", folder, *args], capture_output=True, text=True, check=True, timeout=60).stdout.strip() or None
+        except (OSError, subprocess.SubprocessError):
+            return None
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            folders = [p.removeprefix("file:") for p in f["path"]]
+            yield pd.DataFrame({"name": f["name"], "path": f["path"], "commit_hash": [ask(p, "rev-parse", "HEAD") for p in folders], "remote_url": [ask(p, "config", "--get", "remote.origin.url") for p in folders]})
+
+    return repositories.select("name", F.col(path).alias("path")).mapInPandas(run, "name string, path string, commit_hash string, remote_url string")
+
+
+def bom_updated(boms: DataFrame, local: DataFrame) -> DataFrame:
+    """boms with the commit of the local tree of the same name, else of the same remote; a url is only filled in where there is none."""
+    by_name = local.select(F.col("name").alias("n"), F.col("commit_hash").alias("n_hash"), F.col("remote_url").alias("n_url"))
+    by_url = local.where("remote_url IS NOT NULL").groupBy(F.col("remote_url").alias("u")).agg(F.min(F.struct("name", "commit_hash"))["commit_hash"].alias("u_hash"))
+    out = boms.join(by_name, boms["name"] == F.col("n"), "left").join(by_url, F.col("n").isNull() & (boms["url"] == F.col("u")), "left")
+    new = {"commit_hash": F.coalesce("n_hash", "u_hash", boms["commit_hash"]), "url": F.coalesce(boms["url"], F.col("n_url"))}
+    return out.select(*[new[c].alias(c) if c in new else boms[c] for c in boms.columns])
