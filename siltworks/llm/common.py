@@ -10,6 +10,8 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.staging import shared_dir
+
 #: The white space of every contract in this subpackage: blank and 0x09-0x0D.
 WS_CLASS = r"[\x20\x09-\x0D]"
 WS_CHARS = "\t\n\x0b\x0c\r"
@@ -28,15 +30,6 @@ def with_package(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``. A session on one machine (tests) may do without: it gets a local one. Any other must name it, as it can't be set once the session runs."""
-    if folder := spark.conf.get("spark.checkpoint.dir", None):
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return "/tmp/siltworks-checkpoints"
-
-
 #: The tables that this process has written and not deleted yet, by the scope they belong to, and the folder that holds them.
 _SCOPES: list[dict[str, SparkSession]] = [{}]
 _RUN = uuid.uuid4().hex
