@@ -101,7 +101,7 @@ def top_repositories(spark: SparkSession, fetch: Callable[[str, int], str], lang
         items = json.loads(fetch(language, repositories))["items"]
     except (OSError, ValueError, KeyError):
         items = []
-    df = spark.read.schema(API).json(spark.createDataFrame([(json.dumps(x),) for x in items], "value string"))
+    df = spark.createDataFrame([(json.dumps(x),) for x in items], "value string").select(F.from_json("value", API).alias("x")).select("x.*")
     return df.where(F.col("language") == language).orderBy(F.desc("stargazers_count"), "name").limit(repositories)
 
 
@@ -122,13 +122,15 @@ def latest_commits(boms: DataFrame, fetch: Callable[[str], str | None]) -> DataF
 
 
 def discovered_repositories(spark: SparkSession, root: str, max_depth: int = 1) -> DataFrame:
-    """(name, path) of folders under root that hold a ``.git`` folder, down to a depth; of equal names the last path wins. Only the ``HEAD`` files are listed."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "HEAD").load(root).select("path")
-    prefix = F.lit(root.rstrip("/") + "/")
-    rest = F.substring("path", F.instr(F.col("path"), root.rstrip("/") + "/") + F.length(prefix), F.length("path"))
-    repo = found.where(F.endswith("path", F.lit("/.git/HEAD"))).select(F.regexp_replace("path", "/\\.git/HEAD$", "").alias("path"), F.size(F.split(rest, "/")).alias("parts"))
-    repo = repo.where(F.col("parts") - 2 <= max_depth).select(F.element_at(F.split("path", "/"), -1).alias("name"), "path")
-    return repo.groupBy("name").agg(F.max("path").alias("path"))
+    """(name, path) of folders under root that hold a ``.git`` folder, down to a depth; of equal names the last path wins. Only folder names are listed, in any store: a scan would skip hidden folders."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs, found = path(root).getFileSystem(spark._jsc.hadoopConfiguration()), {}
+    for depth in range(max_depth + 1):
+        for x in fs.globStatus(path(root.rstrip("/") + "/*" * depth + "/.git")) or []:
+            repo = x.getPath().getParent()
+            if x.isDirectory() and "/.git/" not in f"{repo}/":
+                found[repo.getName()] = max(str(repo), found.get(repo.getName(), ""))
+    return spark.createDataFrame(sorted(found.items()), "name string, path string")
 
 
 def git_info(repositories: DataFrame, path: str = "path") -> DataFrame:

@@ -52,4 +52,4 @@ def write_embeddings(df: DataFrame, path: str, key: str, embedding: str) -> None
 def write_bom(boms: DataFrame, path: str) -> None:
     """A JSON array, one row to a line; of a bill of materials there are as many rows as repositories."""
     rows = F.array_sort(F.collect_list(F.struct(*boms.columns)))
-    boms.agg(F.concat(F.lit("["), F.array_join(F.transform(rows, F.to_json), ",\n"), F.lit("]")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    boms.agg(F.concat(F.lit("["), F.array_join(F.transform(rows, lambda r: F.to_json(r)), ",\n"), F.lit("]")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
