@@ -35,11 +35,11 @@ _SCOPES: list[dict[str, SparkSession]] = [{}]
 _RUN = uuid.uuid4().hex
 
 
-def staged(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+def staged(spark: SparkSession, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost executor costs a reread."""
     path = f"{shared_dir(spark)}/siltworks/{_RUN}/{name}-{uuid.uuid4().hex}"
     _SCOPES[-1][path] = spark
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
     return out

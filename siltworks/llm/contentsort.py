@@ -4,8 +4,8 @@ Sampled splitters range-partition the normalised texts (by a short start, a hash
 that separates texts with the same start, and a salt), the external sort of each
 partition puts equals side by side, and full comparisons of neighbours find the
 groups; the smallest identifier of a group stays. Only DataFrame functions are used.
-Texts are normalised once: a table holds them with their start and hash, so
-counting and sampling read these two alone.
+A table holds the rows with the start and hash of their text, so counting and sampling read
+these two alone; it is compressed well, as it is the one copy of the corpus beside the shuffle.
 
 A text with more copies than a quarter of a partition's share is dealt out over
 salts, so that no task gets a whole hot group; its salted parts are then compared
@@ -43,7 +43,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     row = F.struct(*[docs[c] for c in docs.columns]) if carry else F.struct(docs[id_col].alias(id_col))
     rows = docs.select(row.alias("row"), docs[id_col].alias("id"), normalised(docs[text_col]).alias("norm"))
-    rows = texts = staged(spark, rows.select("row", "id", "norm", F.xxhash64("norm").alias("h"), F.substring("norm", 1, START_CHARS).alias("start")), "normalised-texts")
+    own = [] if carry else ["norm"]  # a carried text is normalised again where it is compared, instead of being kept twice
+    rows = texts = staged(spark, rows.select("row", "id", *own, F.xxhash64("norm").alias("h"), F.substring("norm", 1, START_CHARS).alias("start")), "texts", "zstd")
 
     # how often each text occurs, to find the hot ones; counted before the shuffle and after
     counts = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
@@ -53,9 +54,11 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     any_hot = not hot.isEmpty()
     # rows of a hot text may share an id: their place in the table deals them out
     salted = rows.withColumn("place", F.monotonically_increasing_id()).join(F.broadcast(hot), rows["h"] == hot["hot_h"], "left") if any_hot else rows.withColumn("salts", F.lit(None).cast("int")).withColumn("place", F.lit(0))
-    rows = salted.select("row", "id", "norm", "h", "start", F.when(F.col("salts").isNull(), -1).otherwise(F.pmod(F.xxhash64("place"), F.col("salts")).cast("int")).alias("salt"))
+    rows = salted.select("row", "id", *own, "h", "start", F.when(F.col("salts").isNull(), -1).otherwise(F.pmod(F.xxhash64("place"), F.col("salts")).cast("int")).alias("salt"))
 
     placed = rows.repartitionByRange(n, "start", "h", "salt")
+    if carry:
+        placed = placed.withColumn("norm", normalised(F.col("row")[text_col]))
     group = Window.partitionBy("start", "h", "salt", "norm").orderBy(F.col("id").asc_nulls_last())
     whole_group = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     found = placed.select(
