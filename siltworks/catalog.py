@@ -609,7 +609,7 @@ def _duck_label() -> str:
     return "CASE " + " ".join(f"WHEN t IN ({q(ws)}) THEN {no[n]}" for n, ws in C.WORD_LABELS) + f""" WHEN t LIKE '"%"' OR t = '"' THEN {no['StringLiteral']} WHEN t LIKE '''%''' OR t = '''' THEN {no['CharacterLiteral']} WHEN regexp_matches({plain}, '^[0-9]+$') THEN {no['IntegerLiteral']} WHEN regexp_matches(regexp_replace({plain}, '[fFlL]', '', 'g'), '^[0-9]+$') THEN {no['FloatLiteral']} """ + " ".join(f"WHEN t IN ({q(ws)}) THEN {no[n]}" for n, ws in C.OPERATOR_LABELS) + f" WHEN regexp_matches(replace(t, '_', ''), '^[A-Za-z0-9]+$') THEN {no['VariableReference']} ELSE {no['Other']} END"
 
 
-TOKENS = f"k AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(text, '{Q(C.C_TOKEN_RE2)}'), lambda x: NOT (x LIKE '//%' OR x LIKE '/*%' OR x LIKE '#%'))) AS t FROM ({CODE})), l AS (SELECT doc_id, t, {_duck_label()} AS label FROM k)"
+TOKENS = f"k AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(text, '{Q(C.C_TOKEN_RE2)}'), lambda x: NOT (x LIKE '//%' OR x LIKE '/*%' OR x LIKE '#%' OR (x LIKE 'asm%' AND contains(x, '{{'))))) AS t FROM ({CODE})), l AS (SELECT doc_id, t, {_duck_label()} AS label FROM k)"
 
 
 def labelled(spark, sf):
@@ -713,7 +713,7 @@ def vulnerability_evaluation(spark, sf):
 
 
 # ---- labels and contexts ----
-@query(f"WITH {TOKENS}, o AS (SELECT doc_id, list_transform(list_filter(regexp_extract_all(text, '{Q(C.C_TOKEN_RE2)}'), lambda x: NOT (x LIKE '//%' OR x LIKE '/*%' OR x LIKE '#%')), lambda t: {_duck_label()}) AS ls FROM ({CODE})) SELECT doc_id, md5(array_to_string(list_concat(list_concat([35], list_concat(list_slice(ls, 1, 46), [35])), list_transform(range(greatest(46 - len(ls), 0)), lambda k: -100)), ',')) AS labels_md5 FROM o")
+@query(f"WITH {TOKENS}, o AS (SELECT doc_id, list_transform(list_filter(regexp_extract_all(text, '{Q(C.C_TOKEN_RE2)}'), lambda x: NOT (x LIKE '//%' OR x LIKE '/*%' OR x LIKE '#%' OR (x LIKE 'asm%' AND contains(x, '{{')))), lambda t: {_duck_label()}) AS ls FROM ({CODE})) SELECT doc_id, md5(array_to_string(list_concat(list_concat([35], list_concat(list_slice(ls, 1, 46), [35])), list_transform(range(greatest(46 - len(ls), 0)), lambda k: -100)), ',')) AS labels_md5 FROM o")
 def label_vectors(spark, sf):
     """Labels of 48 places: cut, with a special place at each end, padded."""
     v = C.label_vector(F.col("labels"), 48, C.LABELS.index("Other"))
@@ -721,7 +721,7 @@ def label_vectors(spark, sf):
     return d.select("doc_id", F.md5(F.array_join(F.transform(v, lambda x: x.cast("string")), ",").cast("binary")).alias("labels_md5"))
 
 
-@query(f"WITH t AS (SELECT doc_id, list_filter(regexp_extract_all(text, '{Q(C.C_TOKEN_RE2)}'), lambda x: NOT (x LIKE '//%' OR x LIKE '/*%' OR x LIKE '#%')) AS ts FROM ({CODE})), x AS (SELECT doc_id, ts, unnest(range(len(ts))) AS i FROM t) SELECT doc_id, i::INT AS i, ts[i + 1] AS token, CASE WHEN i > 0 THEN ts[i] END AS before, array_to_string(list_slice(ts, greatest(i - 1, 1), i + 3), ' ') AS near FROM x")
+@query(f"WITH t AS (SELECT doc_id, list_filter(regexp_extract_all(text, '{Q(C.C_TOKEN_RE2)}'), lambda x: NOT (x LIKE '//%' OR x LIKE '/*%' OR x LIKE '#%' OR (x LIKE 'asm%' AND contains(x, '{{')))) AS ts FROM ({CODE})), x AS (SELECT doc_id, ts, unnest(range(len(ts))) AS i FROM t) SELECT doc_id, i::INT AS i, ts[i + 1] AS token, CASE WHEN i > 0 THEN ts[i] END AS before, array_to_string(list_slice(ts, greatest(i - 1, 1), i + 3), ' ') AS near FROM x")
 def token_context(spark, sf):
     d = code(spark, sf).select("doc_id", F.posexplode(C.context(C.c_tokens(F.col("text")))).alias("i", "x"))
     return d.select("doc_id", "i", "x.token", "x.before", F.array_join("x.near", " ").alias("near"))

@@ -58,8 +58,8 @@ IDENTIFIER_WORD = rf"\b{IDENTIFIER}\b"
 GATE = r"(?i)(?:exec|execute|eval|system|popen|proc_open|shell_exec|passthru|call|strcpy|strcat|gets|scanf|sprintf|write|open|file|include|include_once|require|require_once|md5|sha1|loads|load|random|rand|file_get_contents|readfile|file_put_contents|header|setcookie|ldap_search|ldap_query|xpath|xpath_query|DOMDocument|SimpleXMLElement|xml_parser_create|session_start)\s*\(|(?:query|innerHTML|outerHTML|password|api_key|secret|token|key)\s*=|\$_(?:GET|POST|REQUEST|COOKIE)"
 GATE_WITHOUT = r"(?i)hashlib\.|Crypto\.Cipher\.|(?:select|insert|update|delete)\s+from\s"
 
-#: Tokens of C, longest operators first; comments and directive lines are skipped, as a parser's hidden channel does.
-C_TOKEN = r"""(?s)/\*.*?\*/|//[^\n]*|#[^\n]*|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|[A-Za-z_][A-Za-z0-9_]*|\.?[0-9](?:[eEpP][+-]|[0-9A-Za-z_.])*+|\.\.\.|<<=|>>=|->|\+\+|--|<<|>>|<=|>=|==|!=|&&|\|\||[-+*/%&|^]=|[-+*/%&|^~!<>=?:;,.(){}\[\]]"""
+#: Tokens of C, longest operators first; comments, directives with the lines that continue them and assembler blocks are skipped, as a parser's hidden channel does.
+C_TOKEN = r"""(?s)/\*.*?\*/|//[^\n]*|#(?:[^\n]*\\\r?\n)*+[^\n]*|asm[^{]*\{[^}]*\}|(?:u8|[uUL])?"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|[uUL]?'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|[A-Za-z_][A-Za-z0-9_]*|\.?[0-9](?:[eEpP][+-]|[0-9A-Za-z_.])*+|\.\.\.|<<=|>>=|->|\+\+|--|<<|>>|<=|>=|==|!=|&&|\|\||[-+*/%&|^]=|[-+*/%&|^~!<>=?:;,.(){}\[\]]"""
 C_TOKEN_RE2 = C_TOKEN.replace("*+", "*")
 
 
@@ -154,7 +154,7 @@ def vulnerability_score(text: Column) -> Column:
 
 
 def c_tokens(text: Column) -> Column:
-    return F.filter(_all(text, C_TOKEN), lambda x: ~(x.startswith("//") | x.startswith("/*") | x.startswith("#")))
+    return F.filter(_all(text, C_TOKEN), lambda x: ~(x.startswith("//") | x.startswith("/*") | x.startswith("#") | (x.startswith("asm") & x.contains("{"))))
 
 
 def token_label(t: Column) -> Column:

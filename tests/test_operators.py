@@ -141,6 +141,13 @@ def test_labels_and_contexts(spark):
     assert one(spark, "aé", lambda t: C.detokenized(C.tokens_from(C.char_ids(C.char_tokens(t)), v))) == "a[UNK]"
 
 
+def test_c_tokens(spark):
+    text = '#define A(x) \\\n  x + 1\nL"a\\"b" u8"c" L\'d\' asm volatile { mov ax, 1; } int asm_x = 1 >>= 2; // no\n#if Z\n/* no */ x->y'
+    assert one(spark, text, C.c_tokens) == ['L"a\\"b"', 'u8"c"', "L'd'", "int", "asm_x", "=", "1", ">>=", "2", ";", "x", "->", "y"]
+    assert one(spark, "#define B \\\n" * 20_000 + "int a;", C.c_tokens) == []  # a directive of many lines
+    assert one(spark, '"' + "a\\n" * 100_000 + '" b', C.c_tokens)[-1] == "b"
+
+
 def test_every_detection_passes_the_gate(spark):
     samples = ["execute( 'a' + 'b'", "query = 'a' + b'", "popen (x+", "gets(a)", "innerHTML = a +", "file (../", "api_key = 'x'", "sha1(a)", "hashlib.md5", "Crypto.Cipher.DES", "marshal.loads(x)", "yaml.load(x)", "require_once($x", "select from t where a + b", "private_key='abcdef'", "mt_rand(", "readfile($x", "setcookie($x", "ldap_query($x", "xpath($x", "new DOMDocument(", "$_COOKIE", "session_start()"]
     texts = samples + [x.upper() for x in samples]
