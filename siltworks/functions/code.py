@@ -171,6 +171,11 @@ def token_label(t: Column) -> Column:
     return out.when(F.replace(t, F.lit("_"), F.lit("")).rlike("^[A-Za-z0-9]+$"), no["VariableReference"]).otherwise(no["Other"])
 
 
+def label_map() -> dict[str, int]:
+    """Each label's number."""
+    return {name: k for k, name in enumerate(LABELS)}
+
+
 def ast_similarity(a: Column, b: Column) -> Column:
     def part(p: str) -> Column:
         x, y = count(a, p), count(b, p)

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import format_bytes
 from ..plans.staging import staged
 
 SIZE_LIMITS = [("<1KB", 1024), ("1-10KB", 10240), ("10-100KB", 102400)]
@@ -29,6 +30,32 @@ def quality_flags() -> Column:
     return F.array_join(F.array_compact(F.array(rule(F.col("comment_ratio") < 0.1, "low_comments"), rule(F.col("non_ascii_ratio") > 0.01, "non_ascii"), rule(F.col("duplicate_ratio") > 0.05, "duplicates"), rule(F.col("avg_file_size") > 50000, "large_files"), rule(F.col("without_includes") > 0, "no_includes"), rule(F.col("long_line_files") > 0.1 * F.col("total_files"), "long_lines"))), ",")
 
 
+SIZE_COLUMNS = {"under_1kb": "<1KB", "kb_1_10": "1-10KB", "kb_10_100": "10-100KB", "over_100kb": ">100KB"}
+
+
+def report_text() -> Column:
+    """A repository's report with its duplicate_ratio, and optionally a map ``extensions`` of files, as text for people."""
+    n = F.greatest(F.col("total_files"), F.lit(1))
+    count = lambda name, c: F.format_string(f"{name}: %,d", c)
+    share = lambda name, c: F.format_string(f"{name}: %.2f%%", F.col(c) * 100.0)
+    each = lambda name, c: F.format_string("  %s: %,d files (%.1f%%)", name, c, c * 100.0 / n)
+    size = lambda name, c: F.concat(F.lit(f"{name}: "), format_bytes(F.floor(c).cast("double")))
+    flags = quality_flags()
+    lines = [
+        count("files", F.col("total_files")), size("size", F.col("total_bytes")), count("lines", F.col("total_lines")), count("lines of code", F.col("code_lines")), size("mean size", F.col("avg_file_size")),
+        share("comments", "comment_ratio"), share("non-ASCII", "non_ascii_ratio"), share("duplicates", "duplicate_ratio"), F.format_string("functions in 1000 lines: %.1f", "function_density"), F.format_string("branches in 100 lines: %.1f", "complexity_score"),
+        F.lit("by size:"), *[each(F.lit(name), F.col(c)) for c, name in SIZE_COLUMNS.items()],
+        F.when(flags == "", F.lit("no issues")).otherwise(F.concat(F.lit("issues: "), flags)),
+    ]
+    return F.array_join(F.array(*lines), "\n")
+
+
+def extension_text(extensions: Column, files: Column) -> Column:
+    """Files by extension, in the order of their names."""
+    rows = F.array_sort(F.map_entries(extensions))
+    return F.array_join(F.transform(rows, lambda x: F.format_string("  %s: %,d files (%.1f%%)", x["key"], x["value"], x["value"] * 100.0 / F.greatest(files, F.lit(1)))), "\n")
+
+
 def duplicate_groups(files: DataFrame, folded: Column, key: list[str]) -> DataFrame:
     """Groups of more than one equal folded text, over files."""
     g = files.groupBy(*key, F.sha2(folded, 256).alias("h")).agg(F.count(F.lit(1)).alias("c"))

@@ -168,6 +168,17 @@ def batch_means(batches: DataFrame, *columns: str) -> DataFrame:
     return batches.agg(F.count(F.lit(1)).alias("batches"), *[F.avg(c).alias(f"average_{c}") for c in columns])
 
 
+def task_results(batches: DataFrame, task: str, samples: str = "samples", metrics: tuple[str, ...] = ()) -> DataFrame:
+    """The result of an evaluation from its batches (loss, accuracy, samples and the task's metrics): means over batches, and for masked language modelling the perplexity of the mean loss. Zeros where there is no batch."""
+    out = batches.agg(F.coalesce(F.avg("loss"), F.lit(0.0)).alias("average_loss"), F.coalesce(F.avg("accuracy"), F.lit(0.0)).alias("average_accuracy"), *[F.avg(m).alias(f"average_{m}") for m in metrics], F.coalesce(F.sum(samples), F.lit(0)).cast("long").alias("num_samples"))
+    return out.withColumns({"task": F.lit(task), "average_perplexity": F.exp("average_loss") if task == "mlm" else F.lit(0.0)})
+
+
+def unfinished(batches: DataFrame, done: DataFrame, batch: str = "batch") -> DataFrame:
+    """Batches that an interrupted evaluation has not written yet: ``done`` is the table that it appends to."""
+    return batches.join(done.select(batch).distinct(), batch, "left_anti")
+
+
 def model_evaluation(rows: DataFrame, batch: str, logits: str, ids: str, mask: str) -> DataFrame:
     """(loss, accuracy, perplexity): mean over batches of the mean cross entropy of places whose id isn't 0, and the share of right places among those that the mask has."""
     places = rows.select(batch, F.explode(F.arrays_zip(F.col(logits).alias("x"), F.col(ids).alias("id"), F.col(mask).alias("m"))).alias("t")).select(batch, F.transform("t.x", lambda v: v.cast("double")).alias("x"), "t.id", "t.m")

@@ -57,8 +57,23 @@ def training_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("step int, epoch int, loss double, accuracy double").json(path)
 
 
+CONFIG = "vocab_size int, hidden_size int, num_hidden_layers int, num_attention_heads int, intermediate_size int, max_position_embeddings int, type_vocab_size int, pad_token_id int, hidden_act string, hidden_dropout_prob double, attention_probs_dropout_prob double, layer_norm_eps double, initializer_range double, model_type string"
+
+
 def model_config(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.json(path, multiLine=True)
+    """One row of CONFIG; what a file doesn't state is null."""
+    return spark.read.schema(CONFIG).json(path, multiLine=True)
+
+
+def checked_config(config: DataFrame):
+    """The sizes of a one-row configuration, checked."""
+    from ..plans.arguments import ModelConfig
+
+    r = config.first()
+    if r is None:
+        raise ValueError("the configuration is empty")
+    names = {"vocab_size": "vocab_size", "hidden_size": "hidden_size", "num_hidden_layers": "layers", "num_attention_heads": "heads", "intermediate_size": "intermediate_size", "max_position_embeddings": "max_positions", "type_vocab_size": "token_types"}
+    return ModelConfig(**{to: r[c] for c, to in names.items() if r[c] is not None})
 
 
 def processed_files(files: DataFrame, text: str = "text") -> DataFrame:

@@ -230,3 +230,27 @@ def test_inverted_trend(spark):
     rows = spark.createDataFrame([("a", k, float(k)) for k in range(12)], "g string, k int, v double")
     both = rows.select("k", monitor.trend("v", ["k"], ["g"]).alias("up"), monitor.trend("v", ["k"], ["g"], higher_is_better=False).alias("down")).orderBy("k").collect()
     assert [r["up"] for r in both] == ["insufficient_data"] * 10 + ["increasing"] * 2 and both[11]["down"] == "decreasing"
+
+
+def test_report_text(spark):
+    files = T.file_metrics(spark.createDataFrame([("r", "a.c", "int a; // x\n" * 200), ("r", "b.h", "/* y */")], "repo string, path string, text string"))
+    report = corpus.repository_report(files).withColumn("duplicate_ratio", F.lit(0.125))
+    text = report.select(corpus.report_text()).first()[0].split("\n")
+    assert text[:2] == ["files: 2", "size: 2.4 KB"] and "duplicates: 12.50%" in text and "  1-10KB: 1 files (50.0%)" in text and text[-1] == "issues: low_comments,duplicates,no_includes"
+    ext = F.create_map(F.lit(".h"), F.lit(1), F.lit(".c"), F.lit(3))
+    assert spark.range(1).select(corpus.extension_text(ext, F.lit(4))).first()[0] == "  .c: 3 files (75.0%)\n  .h: 1 files (25.0%)"
+
+
+def test_task_results_and_configuration(spark, tmp_path):
+    b = spark.createDataFrame([(0, 2.3, 0.5, 8, 0.25), (1, 2.3, 1.0, 2, 0.75)], "batch int, loss double, accuracy double, samples int, f1 double")
+    r = evaluate.task_results(b, "mlm").first()
+    assert (r["average_loss"], r["average_accuracy"], r["num_samples"], round(r["average_perplexity"], 3)) == (2.3, 0.75, 10, 9.974)
+    assert evaluate.task_results(b, "vi", metrics=("f1",)).first()["average_f1"] == 0.5 and evaluate.task_results(b.limit(0), "ast").first()["num_samples"] == 0
+    assert [x["batch"] for x in evaluate.unfinished(b, b.where("batch = 0")).collect()] == [1]
+    assert len(C.label_map()) == 36 and C.label_map()["Other"] == 35
+    (tmp_path / "c.json").write_text('{"vocab_size": 128, "hidden_size": 64,\n "num_hidden_layers": 2, "num_attention_heads": 4, "intermediate_size": 128, "other": []}')
+    config = sources.checked_config(sources.model_config(spark, str(tmp_path / "c.json")))
+    assert (config.vocab_size, config.layers, config.max_positions) == (128, 2, 512)
+    (tmp_path / "bad.json").write_text('{"vocab_size": 0}')
+    with pytest.raises(ValueError):
+        sources.checked_config(sources.model_config(spark, str(tmp_path / "bad.json")))
