@@ -13,7 +13,7 @@ The graph has as many rows as there are distinct host pairs; page rows are
 aggregated before the first shuffle, so a host with a third of all pages is one row
 per task. Ranks are cut from their lineage by a written table every few rounds, and final
 when less than TOLERANCE of all mass is in motion: what is left to come is less than
-TOLERANCE / (1 - DAMPING).
+TOLERANCE / (1 - DAMPING). A round takes as many tasks as its rows need: a graph of few hosts one.
 
 Defined results: a null url or one without ``://`` has empty host and path, no
 rule and the verdict allow; empty tables give no rows; repeated rows are judged
@@ -44,7 +44,9 @@ class Rule:
 
 RULES = [Rule("block", "com", "/en/"), Rule("allow", "example.com", "/en/7"), Rule("block", "net", "/de/"), Rule("block", "example.net", "/de/8"), Rule("block", "org", "/es/")]
 #: Ranks are final when a round moves less than TOLERANCE in all. What is in motion shrinks by the damping each round, so ROUNDS is never reached before that.
-ROUNDS, DAMPING, CUT_EVERY, TOLERANCE = 200, 0.85, 6, 1e-6
+ROUNDS, DAMPING, CUT_EVERY, TOLERANCE = 200, 0.85, 4, 1e-6
+#: Rows of hosts or edges for each task of a round.
+ROWS_A_TASK = 200_000
 #: Distrust, as a multiple of what a host gets from a walk without leaning, from which on it is blocked.
 BLOCK_LIFT = 2.0
 #: The host of an absolute link, or of one that leaves out the scheme.
@@ -92,11 +94,11 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return linked.unionByName(both).groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
-def personalised_rank(spark: SparkSession, edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """(host, rank, base): power iteration of two PageRanks at once, that restart at ``seeds`` (host, s, u: one row a host; s and u each sum to a constant): rank by s, base by u. Mass of hosts without edges is not handed on. Ends once ranks hold still."""
+def personalised_rank(spark: SparkSession, edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, tasks: int = 1 << 30) -> DataFrame:
+    """(host, rank, base): power iteration of two PageRanks at once, that restart at ``seeds`` (host, s, u: one row a host; s and u each sum to a constant): rank by s, base by u. Mass of hosts without edges is not handed on. Ends once ranks hold still. A round has at most ``tasks`` tasks."""
     out_w = edges.groupBy("src").agg(F.sum("w").alias("out"))
-    shares = staged(spark, edges.join(out_w, "src").select("src", "dst", (F.col("w") / F.col("out")).alias("p")), "shares")
-    both = lambda d, *c: d.groupBy("host").agg(*[F.sum(x).alias(x) for x in c])
+    shares = staged(spark, edges.join(out_w, "src").select("src", "dst", (F.col("w") / F.col("out")).alias("p")).coalesce(tasks), "shares")
+    both = lambda d, *c: d.groupBy("host").agg(*[F.sum(x).alias(x) for x in c]).coalesce(tasks)
     restart = seeds.select("host", ((1 - damping) * F.col("s")).alias("rank"), ((1 - damping) * F.col("u")).alias("base"))
     rank, old = seeds.select("host", F.col("s").alias("rank"), F.col("u").alias("base")), None
     for k in range(rounds):
@@ -127,13 +129,14 @@ def judge(spark: SparkSession, pages: DataFrame, rules: list[Rule] | None = None
     hosts = staged(spark, seen.where("host <> ''").groupBy("host").agg(share("allow"), share("block")), "hosts")
     edges = staged(spark, host_edges(pages), "edges")
     nodes = hosts.unionByName(edges.select(F.explode(F.array("src", "dst")).alias("host"), F.lit(0.0).alias("allow"), F.lit(0.0).alias("block"))).groupBy("host").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block"))
-    nodes = staged(spark, nodes, "nodes")
+    tasks = -(-2 * (edges.count() + hosts.count()) // ROWS_A_TASK) or 1
+    nodes = staged(spark, nodes.coalesce(tasks), "nodes")
     sums = nodes.agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("allow").alias("allow"), F.sum("block").alias("block")).first()
     # both ranks are found at once: hosts of the trust graph are marked "+", those of the distrust graph, with its edges turned round, "-"
     mark = lambda m, c: F.concat(F.lit(m), F.col(c))
     graph = edges.select(mark("+", "src").alias("src"), mark("+", "dst").alias("dst"), "w").unionByName(edges.select(mark("-", "dst").alias("src"), mark("-", "src").alias("dst"), "w"))
     seeds = lambda m, c: nodes.select(mark(m, "host").alias("host"), (F.col(c) / F.lit(sums[c] or 1.0)).alias("s"), F.lit(1 / (sums["n"] or 1.0)).alias("u"))
-    ranks = personalised_rank(spark, graph, seeds("+", "allow").unionByName(seeds("-", "block")))
+    ranks = personalised_rank(spark, graph, seeds("+", "allow").unionByName(seeds("-", "block")), tasks=tasks)
     of = lambda m: ranks.where(F.startswith("host", F.lit(m))).select(F.substring("host", 2, 1 << 30).alias("h"), F.round("rank", 12).alias("rank"), F.round(F.col("rank") / F.col("base"), 6).alias("lift"))
     by_host = of("+").select("h", F.col("rank").alias("trust"), F.col("lift").alias("trust_lift")).join(of("-").select("h", F.col("rank").alias("distrust"), F.col("lift").alias("distrust_lift")), "h")
     out = seen.join(by_host, seen["host"] == by_host["h"], "left")
