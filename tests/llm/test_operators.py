@@ -310,7 +310,7 @@ def brute_verdicts(spark, pages, got):
     return verdicts
 
 
-def test_token_pack(spark, docs, none):
+def test_token_pack(spark, docs, none, tmp_path):
     import public_tokenizers as P
 
     path = P.path("byte_bpe_50k.tiktoken")
@@ -327,6 +327,9 @@ def test_token_pack(spark, docs, none):
             assert got.get(d, []) == lists[0]
         else:
             assert sorted(got[d]) == sorted(lists[0] + lists[1])
+    tokenpack.write_packed(packed, str(tmp_path / "packed"))
+    again = spark.read.parquet(str(tmp_path / "packed"))
+    assert sorted(map(tuple, tokenpack.unpacked(again, 64).collect())) == sorted(map(tuple, tokenpack.unpacked(packed, 64).collect()))
     for r in packed.collect():
         cu, pos = r["cu_seqlens"], np.frombuffer(r["position_ids"], "<u2")
         assert cu[-1] == r["n_tokens"] <= 64 and all((pos[a:b] == np.arange(b - a)).all() for a, b in zip(cu, cu[1:]))

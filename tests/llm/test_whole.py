@@ -2,7 +2,7 @@
 
 import pytest
 
-from siltworks.llm import licenses, urlgraph
+from siltworks.llm import common, licenses, urlgraph
 
 WRAPPED = {
     "mit": "/*\n * Permission is hereby granted, free of charge, to any person obtaining a copy\n * of this software and associated documentation files (the Software)\n */",
@@ -33,3 +33,17 @@ def test_ranks_converge_on_a_long_chain(spark):
         assert got[k]["distrust"] == pytest.approx(0.15 * 0.85 ** (n - k), abs=1e-9) and got[k]["trust"] == 0
         assert got[k]["distrust_lift"] == pytest.approx(lift, abs=1e-4) and got[k]["verdict"] == ("block" if lift >= urlgraph.BLOCK_LIFT else "allow")
     assert {got[k]["verdict"] for k in range(n)} == {"block", "allow"}
+
+
+def test_staged_tables_go_with_their_scope(spark):
+    import os
+
+    at = lambda df: df._staged_path.removeprefix("file:")
+    with common.scratch() as keep:
+        gone = common.staged(spark, spark.range(3), "gone")
+        kept = keep(common.staged(spark, spark.range(4), "kept", "zstd"))
+        folder = common.folder(spark, "runs")
+        spark.range(1).write.parquet(folder)
+    assert not os.path.exists(at(gone)) and not os.path.exists(folder.removeprefix("file:")) and kept.count() == 4
+    common.discard(spark, kept)
+    assert not os.path.exists(at(kept))
