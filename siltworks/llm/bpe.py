@@ -8,7 +8,7 @@ a trie; one depth-first walk hands the last-token states down, so a prefix that
 many words share is encoded once.
 
 Defined results: null text counts as empty (no token, empty decoded text);
-repeated rows give repeated results; a text of any length is read whole; extra
+repeated rows give repeated results; a text of any length is read whole; an empty table gives no rows; extra
 columns are ignored. The added token of the vocabulary file is cut out of the
 text first, as the tokenizers library does.
 """
