@@ -337,7 +337,7 @@ def file_quality(spark, sf):
     return T.file_quality(d).select("doc_id", "file_size", F.round("comment_ratio", 9).alias("comment_ratio"), F.round("avg_line_length", 9).alias("avg_line_length"), "encoding")
 
 
-@query("SELECT event_type, event_id, CASE WHEN n < 11 THEN 'insufficient_data' WHEN abs(a - b) < 0.01 THEN 'stable' WHEN a > b THEN 'increasing' ELSE 'decreasing' END AS trend, round(w, 6) AS window_avg FROM (SELECT event_type, event_id, row_number() OVER o AS n, avg(value) OVER (o ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS a, avg(value) OVER (o ROWS BETWEEN 19 PRECEDING AND 10 PRECEDING) AS b, avg(value) OVER (o ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS w FROM events WINDOW o AS (PARTITION BY event_type, user_id ORDER BY ts, event_id))")
+@query("SELECT event_type, event_id, CASE WHEN n < 11 THEN 'insufficient_data' WHEN abs(round(a - b, 9)) < 0.01 THEN 'stable' WHEN a > b THEN 'increasing' ELSE 'decreasing' END AS trend, round(w, 6) AS window_avg FROM (SELECT event_type, event_id, row_number() OVER o AS n, avg(value) OVER (o ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS a, avg(value) OVER (o ROWS BETWEEN 19 PRECEDING AND 10 PRECEDING) AS b, avg(value) OVER (o ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS w FROM events WINDOW o AS (PARTITION BY event_type, user_id ORDER BY ts, event_id))")
 def quality_trends(spark, sf):
     order = ["ts", "event_id"]
     w = Window.partitionBy("event_type", "user_id").orderBy(*order).rowsBetween(-99, 0)
@@ -350,7 +350,7 @@ BATCHES = """SELECT event_type AS epoch, CAST(floor(event_id / CAST(64 AS DOUBLE
 LIMITS = {"min_avg_length": 35, "max_avg_length": 65, "min_vocab_coverage": 0.07, "max_duplicate_ratio": 0.1, "max_encoding_errors": 1, "max_semantic_issues": 6, "max_critical_semantic_issues": 1}
 DUCK_ALERTS = "list_filter([CASE WHEN avg_sequence_length < 35 THEN 'low_length' END, CASE WHEN avg_sequence_length > 65 THEN 'high_length' END, CASE WHEN vocab_coverage < 0.07::DOUBLE THEN 'low_coverage' END, CASE WHEN duplicate_ratio > 0.1::DOUBLE THEN 'duplicates' END, CASE WHEN encoding_errors > 1 THEN 'encoding_errors' END, CASE WHEN semantic_issues > 6 THEN 'semantic_issues' END, CASE WHEN critical_semantic_issues > 1 THEN 'critical_semantic_issues' END, CASE WHEN error_count > 0 THEN 'errors' END], lambda x: x IS NOT NULL)"
 MONITOR = f"b AS (SELECT *, {DUCK_ALERTS} AS alerts FROM ({BATCHES.format(events='events')}))"
-DUCK_TREND = lambda n, new, old: f"CASE WHEN {n} < 11 THEN 'insufficient_data' WHEN abs({new} - {old}) < 0.01 THEN 'stable' WHEN {new} > {old} THEN 'increasing' ELSE 'decreasing' END"
+DUCK_TREND = lambda n, new, old: f"CASE WHEN {n} < 11 THEN 'insufficient_data' WHEN abs(round({new} - {old}, 9)) < 0.01 THEN 'stable' WHEN {new} > {old} THEN 'increasing' ELSE 'decreasing' END"
 
 
 def monitor_batches(spark, sf):

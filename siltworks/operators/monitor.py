@@ -39,7 +39,9 @@ def alerts(t: dict | None = None) -> Column:
 
 
 def direction(new: Column, old: Column) -> Column:
-    return F.when(F.abs(new - old) < 0.01, "stable").when(new > old, "increasing").otherwise("decreasing")
+    """Rounded, so that the order in which a mean is added up has no say in it."""
+    d = F.round(new - old, 9)
+    return F.when(F.abs(d) < 0.01, "stable").when(d > 0, "increasing").otherwise("decreasing")
 
 
 def trend(value: str, order, part: list[str], higher_is_better: bool = True) -> Column:

@@ -22,7 +22,7 @@ NAMES = [f.split()[0] for f in OUT.split(", ")]
 
 
 def _direction(new: list[float], old: list[float]) -> str:
-    d = sum(new) / len(new) - sum(old) / len(old)
+    d = round(sum(new) / len(new) - sum(old) / len(old), 9)
     return "stable" if abs(d) < 0.01 else "increasing" if d > 0 else "decreasing"
 
 
