@@ -56,10 +56,11 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     salted = rows.withColumn("place", F.monotonically_increasing_id()).join(F.broadcast(hot), rows["h"] == hot["hot_h"], "left") if any_hot else rows.withColumn("salts", F.lit(None).cast("int")).withColumn("place", F.lit(0))
     rows = salted.select("row", "id", *own, "h", "start", F.when(F.col("salts").isNull(), -1).otherwise(F.pmod(F.xxhash64("place"), F.col("salts")).cast("int")).alias("salt"))
 
-    placed = rows.repartitionByRange(n, "start", "h", "salt")
+    keys = ["start", "h", "salt"] if any_hot else ["start", "h"]  # a salt that is always the same would cost the window a second exchange
+    placed = rows.repartitionByRange(n, *keys)
     if carry:
         placed = placed.withColumn("norm", normalised(F.col("row")[text_col]))
-    group = Window.partitionBy("start", "h", "salt", "norm").orderBy(F.col("id").asc_nulls_last())
+    group = Window.partitionBy(*keys, "norm").orderBy(F.col("id").asc_nulls_last())
     whole_group = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     found = placed.select(
         "row", "id", "h", "salt", "norm",
