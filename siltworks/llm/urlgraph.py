@@ -42,7 +42,7 @@ class Rule:
         return self.host + self.path
 
 
-RULES = [Rule("block", "com", "/en/"), Rule("allow", "example.com", "/en/7"), Rule("block", "net", "/de/"), Rule("block", "example.net", "/de/8"), Rule("block", "org", "/es/")]
+RULES = [Rule("block", "com", "/en/"), Rule("allow", "example.com", "/en/7"), Rule("allow", "net", "/de/"), Rule("block", "example.net", "/de/8"), Rule("block", "org", "/es/")]
 #: Ranks are final when less than TOLERANCE of their mass is in motion. That shrinks by the damping each round, so ROUNDS is never reached before.
 ROUNDS, DAMPING, CUT_EVERY, TOLERANCE = 200, 0.85, 8, 1e-6
 #: Rows of hosts or edges for each task of a round.
