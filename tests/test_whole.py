@@ -143,3 +143,22 @@ def test_bleu_keeps_every_pair(spark):
     rows = [(1, ["a", "b"], ["a", "b"]), (1, ["a", "b"], ["a", "b"]), (2, [], ["a"]), (3, None, ["a"]), (4, ["z"], ["a"]), (5, ["a"], None)]
     got = sorted(tuple(r) for r in evaluate.bleu(spark.createDataFrame(rows, "id long, p array<string>, r array<string>"), "id", "p", "r").collect())
     assert got == [(1, 1.0), (1, 1.0), (2, 0.0), (3, 0.0), (4, pytest.approx(1e-10)), (5, pytest.approx(1e-10))]
+
+
+def test_pieces_are_held_for_few_texts_at_once(spark):
+    import pyarrow as pa
+    import public_tokenizers
+    import sentencepiece
+
+    from siltworks.operators import tokenizers
+
+    texts = ["a" * 400_000, None, "b" * 300_000, "c" * 900_000, "", "d é  x"]
+    assert [(at, len(ts)) for at, ts in tokenizers._steps(pa.array(texts))] == [(0, 2), (2, 1), (3, 1), (4, 2)]
+    texts = ["one  two é", None, "", "x = 1\ny"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    want = {k: sp.encode(t or "", out_type=str) for k, t in enumerate(texts)}
+    got = {r["doc_id"]: r for r in tokenizers.piece_spans(spark, docs).collect()}
+    for k, p in want.items():
+        assert [tuple(x) for x in got[k]["pieces"]] == tokenizers.find_spans(texts[k] or "", p) and got[k]["decoded"] == sp.decode(p)
+    assert {r["doc_id"]: (r["n_pieces"], r["round_trip"]) for r in tokenizers.piece_tokens(spark, docs).collect()} == {k: (len(p), 2 * len(sp.decode(p)) >= len(texts[k] or "")) for k, p in want.items()}
