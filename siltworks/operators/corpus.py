@@ -63,10 +63,10 @@ def duplicate_groups(files: DataFrame, folded: Column, key: list[str]) -> DataFr
 
 
 def prefix_sums(rows: DataFrame, order: list[str], sums: dict[str, Column]) -> DataFrame:
-    """rows with the sum of each column over all rows before it in ``order``, 0 for the first. Rows are placed by range once and staged; then sums within a partition, and the totals of those before it. No task gets all rows, only one row for each partition."""
+    """rows with the sum of each column over all rows before it in ``order``, 0 for the first. Rows are staged before they are placed by range, since that reads them twice, and after; then sums within a partition, and the totals of those before it. No task gets all rows, only one row for each partition."""
     spark, tag = rows.sparkSession, f"_{uuid.uuid4().hex}_"
     part, names = f"{tag}part", {name: f"{tag}{k}" for k, name in enumerate(sums)}
-    values = rows.withColumns({names[name]: c.cast("long") for name, c in sums.items()})
+    values = staged(spark, rows.withColumns({names[name]: c.cast("long") for name, c in sums.items()}), "values")
     placed = staged(spark, values.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), "placed")
     totals = placed.groupBy(F.col(part).alias(f"{tag}at")).agg(*[F.sum(c).alias(f"{c}_all") for c in names.values()])
     earlier = Window.orderBy(f"{tag}at").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
