@@ -162,3 +162,8 @@ def test_pieces_are_held_for_few_texts_at_once(spark):
     for k, p in want.items():
         assert [tuple(x) for x in got[k]["pieces"]] == tokenizers.find_spans(texts[k] or "", p) and got[k]["decoded"] == sp.decode(p)
     assert {r["doc_id"]: (r["n_pieces"], r["round_trip"]) for r in tokenizers.piece_tokens(spark, docs).collect()} == {k: (len(p), 2 * len(sp.decode(p)) >= len(texts[k] or "")) for k, p in want.items()}
+
+
+def test_draws_compare_digits_as_numbers(spark):
+    df = spark.range(2000).select("id", *[C.uniform_below(x, F.col("id"), F.lit("a")).alias(f"u{k}") for k, x in enumerate((0.15, 0.8, 0.9))])
+    assert all((r["u0"], r["u1"], r["u2"]) == tuple(uniform(r["id"], "a") < x for x in (0.15, 0.8, 0.9)) for r in df.collect())
