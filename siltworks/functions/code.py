@@ -195,6 +195,18 @@ def char_ids(tokens: Column) -> Column:
     return F.transform(tokens, lambda c: F.when(F.ascii(c) < 128, F.ascii(c) + 5).otherwise(0))
 
 
+def ascii_seen(characters: Column) -> tuple[Column, Column]:
+    """The ASCII codes among few distinct characters, as the bits of two longs (codes below 64, the others)."""
+    bit = lambda c, first: F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(c) - first)
+    bits = lambda first: F.aggregate(characters, F.lit(0).cast("long"), lambda seen, c: F.when((c != "") & F.ascii(c).between(first, first + 63), seen.bitwiseOR(bit(c, first))).otherwise(seen))
+    return bits(0), bits(64)
+
+
+def unknown_folded(text: Column) -> Column:
+    """The text with one and the same sign for each character that has no id of its own: equal for texts of equal ids."""
+    return F.when(F.length(text) == F.octet_length(text), text).otherwise(F.regexp_replace(text, r"[^\x00-\x7F]", "\x80"))
+
+
 def keychar_tokens(text: Column) -> Column:
     words = "|".join(sorted(KEYWORDS, key=lambda w: (-len(w), w)))
     return _all(text, rf"(?s)(?:{words})(?![\p{{L}}\p{{N}}_])|.")

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import random
 import re
 
 import duckdb
@@ -26,6 +27,22 @@ def test_batches_read_whole_texts(spark, tmp_path):
     assert alerts == {(0, "low_coverage"), (0, "encoding_errors"), (1, "high_length"), (1, "low_coverage"), (1, "duplicates")}
 
 
+def test_text_statistics_without_lists_of_ids(spark):
+    from siltworks.operators import monitor
+
+    rng = random.Random(3)
+    signs = [chr(k) for k in range(128)] + ["\x80", "é", "\u2028", "\ufffd", "\U0001f600"]
+    texts = [None, "", "\x00", "\x7f", "?", "@", "é", "ü", "é€", "a\x00"] + ["".join(rng.choices(signs, k=rng.randrange(40))) for _ in range(150)]
+    rows = [(k % 7, rng.choice(texts)) for k in range(300)] + [(7, None), (8, ""), (9, "é"), (9, "ü"), (10, "".join(signs)), (11, None), (11, "b"), (None, "x")] + [(12 + k, t) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "batch_id long, text string").withColumn("err", C.literal_count(F.col("text"), "\ufffd"))
+    by_text = monitor.text_statistics(df, errors="err")
+    by_ids = monitor.batch_statistics(df.where("batch_id IS NOT NULL").withColumn("ids", catalog.ids_of(F.col("text"))), errors="err")
+    got = sorted(tuple(r) for r in by_text.where("batch_id IS NOT NULL").collect())
+    assert got == sorted(tuple(r) for r in by_ids.collect()) and len(got) == 12 + len(texts)
+    plan = by_text._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan and plan.count("array_distinct(") == 1
+
+
 PYTHON = {
     "def f(a: int) -> int:\n    x = [a, 2]\n    x += 1\n    return not x\n": "FunctionDef Name Call Name OTHER Name OTHER OTHER Name OTHER Name Assign List Name OTHER Constant OTHER Name AugAssign Constant Return UnaryOp Name".split(),
     "class A:\n    pass\n": "ClassDef Constant OTHER Pass".split(),
