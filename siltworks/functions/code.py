@@ -186,8 +186,13 @@ def ast_similarity(a: Column, b: Column) -> Column:
 
 
 # ---- tokenizers ----
+def characters(text: Column) -> Column:
+    """The characters of a text that isn't empty; an empty one gives one empty sign."""
+    return F.split(text, "")
+
+
 def char_tokens(text: Column) -> Column:
-    return F.filter(F.split(text, ""), lambda x: x != "")
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(characters(text))
 
 
 def char_ids(tokens: Column) -> Column:

@@ -89,6 +89,13 @@ def test_masks_and_spans_over_documents(spark, tmp_path):
     assert rows("token_spans") == sorted((k, c, i, i + 1) for k, t in enumerate(texts) for i, c in enumerate(t or ""))
 
 
+def test_spans_of_characters_need_no_filtered_lists(spark, tmp_path):
+    spark.createDataFrame([(0, "é\U0001f600a"), (1, ""), (2, None)], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = catalog.token_spans(spark, str(tmp_path))
+    assert sorted(tuple(r) for r in got.collect()) == [(0, "a", 2, 3), (0, "é", 0, 1), (0, "\U0001f600", 1, 2)]
+    assert "lambda" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_spans_of_long_texts(spark):
     words = [f"w{k % 1500}" for k in range(70_000)]
     ends = list(itertools.accumulate(map(len, words)))
