@@ -55,9 +55,14 @@ OPERATOR_LABELS = [("BinaryExpression", "+ - * / % << >> & | ^"), ("UnaryExpress
 # ---- end of fixed values ----
 
 IDENTIFIER_WORD = rf"\b{IDENTIFIER}\b"
-#: What every detection holds: one of these before a parenthesis or an equals sign, or without one.
-GATE = r"(?i)(?:exec|execute|eval|system|popen|proc_open|shell_exec|passthru|call|strcpy|strcat|gets|scanf|sprintf|write|open|file|include|include_once|require|require_once|md5|sha1|loads|load|random|rand|file_get_contents|readfile|file_put_contents|header|setcookie|ldap_search|ldap_query|xpath|xpath_query|DOMDocument|SimpleXMLElement|xml_parser_create|session_start)\s*\(|(?:query|innerHTML|outerHTML|password|api_key|secret|token|key)\s*=|\$_(?:GET|POST|REQUEST|COOKIE)"
-GATE_WITHOUT = r"(?i)hashlib\.|Crypto\.Cipher\.|(?:select|insert|update|delete)\s+from\s"
+#: What every detection holds: one of these names before a parenthesis or an equals sign, a superglobal, a statement's verb before "from", or a module's name.
+CALLED = "exec execute eval system popen proc_open shell_exec passthru call strcpy strcat gets scanf sprintf write open file include include_once require require_once md5 sha1 loads load random rand file_get_contents readfile file_put_contents header setcookie ldap_search ldap_query xpath xpath_query DOMDocument SimpleXMLElement xml_parser_create session_start".split()
+ASSIGNED, VERBS = "query innerHTML outerHTML password api_key secret token key".split(), "select insert update delete".split()
+SUPERGLOBAL, MODULES = r"(?i)\$_(?:GET|POST|REQUEST|COOKIE)", ("hashlib.", "crypto.cipher.")
+_backward = lambda names: "(?:" + "|".join(n[::-1] for n in names) + ")"
+#: For the text read from its end: it begins with the rare sign, so most places fail at once, whereas names first would all be tried at each place.
+GATE_BACKWARD = rf"(?i)\(\s*+{_backward(CALLED)}|=\s*+{_backward(ASSIGNED)}"
+VERB_BACKWARD = rf"(?i)\smorf\s++{_backward(VERBS)}"
 
 #: Tokens of C, longest operators first; comments, directives with the lines that continue them and assembler blocks are skipped, as a parser's hidden channel does.
 C_TOKEN = r"""(?s)/\*.*?\*/|//[^\n]*|#(?:[^\n]*\\\r?\n)*+[^\n]*|asm[^{]*\{[^}]*\}|(?:u8|[uUL])?"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|[uUL]?'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|[A-Za-z_][A-Za-z0-9_]*|\.?[0-9](?:[eEpP][+-]|[0-9A-Za-z_.])*+|\.\.\.|<<=|>>=|->|\+\+|--|<<|>>|<=|>=|==|!=|&&|\|\||[-+*/%&|^]=|[-+*/%&|^~!<>=?:;,.(){}\[\]]"""
@@ -125,8 +130,10 @@ def plain_identifiers(text: Column) -> Column:
 
 def may_be_vulnerable(text: Column) -> Column:
     """Whether any detection can match at all: each needs a call, an assignment, a superglobal, a statement or a module's name. Literals first, which most prose fails."""
-    literal = text.contains("(") | text.contains("=") | text.contains("$_")
-    return (literal & text.rlike(GATE)) | text.rlike(GATE_WITHOUT)
+    lower, back = F.lower(text), F.reverse(text)
+    named = (text.contains("(") | text.contains("=")) & back.rlike(GATE_BACKWARD)
+    verb = lower.contains("from") & reduce(lambda a, b: a | b, [lower.contains(v) for v in VERBS]) & back.rlike(VERB_BACKWARD)
+    return named | (text.contains("$_") & text.rlike(SUPERGLOBAL)) | verb | reduce(lambda a, b: a | b, [lower.contains(m) for m in MODULES])
 
 
 def family_counts(text: Column) -> dict[str, Column]:

@@ -89,6 +89,21 @@ def test_masks_and_spans_over_documents(spark, tmp_path):
     assert rows("token_spans") == sorted((k, c, i, i + 1) for k, t in enumerate(texts) for i, c in enumerate(t or ""))
 
 
+def test_the_gate_reads_from_the_end(spark, tmp_path):
+    rng = random.Random(5)
+    names = "exec eval(|file|token|key|QUERY|xpath|select|Update|from|$_GET|$_get|$_|hashlib.|HASHLIB|crypto.cipher.|DOMDocument|include_once|\u212aey".split("|")
+    texts = [None, "", "(", "="] + ["".join(rng.choice(rng.choice([names, list("(= \n\t\r\x0b\xa0é"), list("(=ab ")])) for _ in range(rng.randrange(1, 9))) for _ in range(3000)]
+    forward = re.compile(rf"(?ia)(?:{'|'.join(C.CALLED)})\s*\(|(?:{'|'.join(C.ASSIGNED)})\s*=|\$_(?:GET|POST|REQUEST|COOKIE)|hashlib\.|Crypto\.Cipher\.|(?:select|insert|update|delete)\s+from\s".replace("\\s", "[ \\t\\n\\x0b\\f\\r]"))
+    want = [None if t is None else bool(forward.search(t)) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    assert [r["m"] for r in df.select("k", C.may_be_vulnerable(F.col("text")).alias("m")).orderBy("k").collect()] == want and 300 < sum(map(bool, want)) < 2700
+    spark.createDataFrame([(1, "ab", "")], "doc_id long, text string, html string").withColumn("page_id", F.col("doc_id")).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(str(tmp_path / "documents.parquet")).write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame([(1, "n", "m", "b", "t", 3, 1.0)], "p_partkey long, p_name string, p_mfgr string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(str(tmp_path / "part.parquet"))
+    plan = catalog.vuln_labels(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "substring(text" in plan and "split(text" not in plan  # ids of 64 characters, not of the whole text
+
+
 def test_spans_of_characters_need_no_filtered_lists(spark, tmp_path):
     spark.createDataFrame([(0, "é\U0001f600a"), (1, ""), (2, None)], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
     got = catalog.token_spans(spark, str(tmp_path))
