@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Python's white space, spelled out for java.util.regex and RE2.
 WS = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+#: A line that begins with // or /* or ends with */, but for white space: one match a line, as the first branch takes all of it.
+COMMENT_LINE = rf"(?md)^[{WS}&&[^\n]]*+/[/*][^\n]*+|\*/[{WS}&&[^\n]]*+$"
 #: Quoted strings (closed by a quote that no backslash stands before), comments, plain stretches.
 _PIECES = r"""(?s)(?<!\\)"(?:.*?(?<!\\)"|.*\z)|(?<!\\)'(?:.*?(?<!\\)'|.*\z)|/\*(?:.*?\*/|.*\z)|//[^\n]*|[^"'/]+|."""
 FUNCTION = r"(?m)^\s*\w[\w\s]*\*?\s*\w+\s*\([^)]*\)\s*\{"
@@ -106,14 +108,14 @@ def file_metrics(df, text: str = "text"):
 
 def file_quality(df, text: str = "text"):
     """df with size, share of comment lines, mean line length and encoding; a file that couldn't be read (null) has zeros and an unknown encoding."""
-    t, lines = F.col(text), F.split(F.col(text), "\n")
-    note = lambda x: x.startswith("//") | x.startswith("/*") | x.endswith("*/")
-    n = F.greatest(F.size(lines), F.lit(1))
+    t = F.col(text)
+    n = F.octet_length(t) - F.octet_length(F.replace(t, F.lit("\n"), F.lit(""))) + 1
+    notes = F.when(t.contains("//") | t.contains("/*") | t.contains("*/"), count(t, COMMENT_LINE)).otherwise(0)
     return df.withColumns(
         {
             "file_size": F.coalesce(F.octet_length(t), F.lit(0)).cast("long"),
-            "comment_ratio": F.when(t.isNull(), 0.0).otherwise(F.size(F.filter(lines, lambda x: note(strip(x)))) / n),
-            "avg_line_length": F.when(t.isNull(), 0.0).otherwise((F.length(t) - F.size(lines) + 1) / n),  # all but the line ends
+            "comment_ratio": F.when(t.isNull(), 0.0).otherwise(notes / n),
+            "avg_line_length": F.when(t.isNull(), 0.0).otherwise((F.length(t) - n + 1) / n),  # all but the line ends
             "encoding": F.when(t.isNull(), "unknown").otherwise("utf-8"),
         }
     )

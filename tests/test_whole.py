@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from siltworks import catalog
 from siltworks.functions import code as C
+from siltworks.functions import text as T
 from siltworks.operators import evaluate
 
 
@@ -104,6 +105,18 @@ def test_the_gate_reads_from_the_end(spark, tmp_path):
     assert "substring(text" in plan and "split(text" not in plan  # ids of 64 characters, not of the whole text
 
 
+def test_comment_lines_are_counted_in_whole_texts(spark):
+    rng, signs = random.Random(4), ["//", "/*", "*/", "/", "*", "\n", "\n", " ", "\t", "\r", "\x0b", "\x1c", "\x85", "\u2028", "\u3000", "a", "é", "\U0001f600"]
+    texts = ["\n", "\n//", "//\n", "/*/", "*/", " */ \r\n", "// a */\n*/\n", "a */ b", "\u2028// x", "*/\u2028"] + ["".join(rng.choices(signs, k=rng.randrange(25))) for _ in range(2000)]
+    df = T.file_quality(spark.createDataFrame(list(enumerate(texts)), "k long, text string"))
+    got = {r["k"]: (r["comment_ratio"], r["avg_line_length"]) for r in df.collect()}
+    for k, t in enumerate(texts):
+        lines = t.split("\n")
+        notes = sum(x.startswith(("//", "/*")) or x.endswith("*/") for x in map(str.strip, lines))
+        assert got[k] == (notes / len(lines), sum(map(len, lines)) / len(lines)), repr(t)
+    assert "lambda" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_spans_of_characters_need_no_filtered_lists(spark, tmp_path):
     spark.createDataFrame([(0, "é\U0001f600a"), (1, ""), (2, None)], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
     got = catalog.token_spans(spark, str(tmp_path))
